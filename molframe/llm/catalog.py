@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from molframe.llm import bpe
+from molframe.llm import bpe, chat, mix, ogg
 
 
 def queries() -> dict:
-    return {"op1_bpe": bpe.op1_bpe}
+    return {"op1_bpe": bpe.op1_bpe, "op5_chat": chat.op5_chat, "op8_mix": mix.op8_mix, "op9_ogg": ogg.op9_ogg}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op5_chat": chat.OP5_SQL, "op8_mix": mix.OP8_SQL}
