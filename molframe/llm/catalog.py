@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from molframe.llm import bpe, chat, mix, ogg
+from molframe.llm import bpe, chat, crf, mix, ogg, quality, tokencount
 
 
 def queries() -> dict:
-    return {"op1_bpe": bpe.op1_bpe, "op5_chat": chat.op5_chat, "op8_mix": mix.op8_mix, "op9_ogg": ogg.op9_ogg}
+    return {
+        "op1_bpe": bpe.op1_bpe,
+        "op2_langid": crf.op2_langid,
+        "op5_chat": chat.op5_chat,
+        "op6_token_counts": tokencount.op6_token_counts,
+        "op8_mix": mix.op8_mix,
+        "op9_ogg": ogg.op9_ogg,
+        "op10_quality": quality.op10_quality,
+    }
 
 
 def oracle_sql() -> dict:
