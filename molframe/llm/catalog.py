@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from molframe.llm import bpe, chat, crf, mix, ogg, quality, tokencount
+from molframe.llm import bpe, chat, crf, mix, ogg, quality, spotsigs, tokencount
 
 
 def queries() -> dict:
     return {
         "op1_bpe": bpe.op1_bpe,
         "op2_langid": crf.op2_langid,
+        "op4_spotsigs": spotsigs.op4_spotsigs,
         "op5_chat": chat.op5_chat,
         "op6_token_counts": tokencount.op6_token_counts,
         "op8_mix": mix.op8_mix,
