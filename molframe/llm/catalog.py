@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from molframe.llm import bpe, chat, crf, mix, ogg, quality, spotsigs, tokencount
+from molframe.llm import bpe, chat, crf, mix, neardup, ogg, quality, spotsigs, tokencount
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_spotsigs": spotsigs.op4_spotsigs,
         "op5_chat": chat.op5_chat,
         "op6_token_counts": tokencount.op6_token_counts,
+        "op7_near_duplicates": neardup.op7_near_duplicates,
         "op8_mix": mix.op8_mix,
         "op9_ogg": ogg.op9_ogg,
         "op10_quality": quality.op10_quality,
