@@ -213,19 +213,23 @@ def _where(ranks_path: str | None, pattern: str | None) -> tuple[str, str]:
     return ranks_path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
 
 
-def bpe_encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(id, n_tokens long, ids array<int>) of every text."""
+def bpe_encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None, keep: tuple[str, ...] = (), decode: bool = False) -> DataFrame:
+    """(id, the columns of keep, n_tokens long, ids array<int>) of every text; with decode also decoded, the text that the ids give."""
     where = _where(ranks_path, pattern)
 
     def run(batches):
         own = codec(*where)
         for pdf in batches:
-            ids = [np.array(x.split(","), np.int32) if x else np.empty(0, np.int32) for x in own.encode_texts(pdf["text"])]
-            yield pd.DataFrame({"id": pdf["id"], "n_tokens": [len(x) for x in ids], "ids": ids})
-
-    kind = df.schema[id_col].dataType.simpleString()
-    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, n_tokens long, ids array<int>")
-    return out.withColumnRenamed("id", id_col)
+            texts = list(own.encode_texts(pdf["text_"]))
+            ids = [np.array(x.split(","), np.int32) if x else np.empty(0, np.int32) for x in texts]
+            out = pdf.drop(columns="text_").assign(n_tokens=[len(x) for x in ids], ids=ids)
+            yield out.assign(decoded=[own.decode_text(x).decode() for x in texts]) if decode else out
+
+    named = {id_col: "id_"} | {c: f"keep_{i}" for i, c in enumerate(keep) if c != id_col}
+    chosen = df.select(*[F.col(c).alias(n) for c, n in named.items()], F.col(text_col).alias("text_"))
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema if f.name != "text_")
+    out = chosen.mapInPandas(run, f"{shape}, n_tokens long, ids array<int>{', decoded string' * decode}")
+    return out.select(*[F.col(n).alias(c) for c, n in named.items()], "n_tokens", "ids", *["decoded"][: int(decode)])
 
 
 def bpe_decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:

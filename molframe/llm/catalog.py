@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from molframe.llm import bpe, chat, crf, mix, neardup, ogg, quality, spotsigs, tokencount
+from molframe.llm import bpe, chat, crf, mix, neardup, ogg, quality, spotsigs, suffix, tokencount
 
 
 def queries() -> dict:
     return {
         "op1_bpe": bpe.op1_bpe,
         "op2_langid": crf.op2_langid,
+        "op3_suffix_dedup": suffix.op3_suffix_dedup,
         "op4_spotsigs": spotsigs.op4_spotsigs,
         "op5_chat": chat.op5_chat,
         "op6_token_counts": tokencount.op6_token_counts,

@@ -37,18 +37,17 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
     )
 
 
-def mix_sources(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """(id, source, size, source_size, target, copies, taken): how often the mix takes each row."""
+def mix_sources(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, source, size, source_size, target, copies, taken, the columns of keep): how often the mix takes each row."""
     own_hash = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text_col), F.lit(""))))
-    rows = written(
-        df.select(
-            F.col(id_col).alias("id"),
-            F.col(source_col).alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.conv(F.substring(own_hash, 1, LEVEL_BITS * LEVELS // 4), 16, 10).cast("long").alias("hash"),
-        ),
-        "mix-rows",
+    measured = df.select(
+        F.col(id_col).alias("id"),
+        F.col(source_col).alias("source"),
+        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.conv(F.substring(own_hash, 1, LEVEL_BITS * LEVELS // 4), 16, 10).cast("long").alias("hash"),
+        *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)],
     )
+    rows = written(measured.drop(*[f"keep_{i}" for i in range(len(keep))]), "mix-rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     edge = source_targets(sizes, weights, share, most).select(
         "*",
@@ -60,8 +59,9 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", source_col: str = "source
     for level in range(1, LEVELS + 1):
         edge = written(_refined(rows, edge, LEVEL_BITS * (LEVELS - level)), f"mix-level{level}")
     copies = (F.col("epochs") + F.when(F.col("hash") <= F.col("last"), 1).otherwise(0)).cast("long")
-    return rows.join(edge.withColumnRenamed("source", "edge_source"), F.col("source").eqNullSafe(F.col("edge_source"))).select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+    # columns to keep come from the rows themselves, whose sizes and hashes are computed once more; else the narrow table is read
+    return (measured if keep else rows).join(edge.withColumnRenamed("source", "edge_source"), F.col("source").eqNullSafe(F.col("edge_source"))).select(
+        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)]
     )
 
 
