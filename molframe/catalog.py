@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from molframe.plans import q_basic, q_cluster
+
 FLAGSHIP = "family_sizes_identity"
+_PARTS = (q_basic, q_cluster)
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for part in _PARTS for name, sql in part.SQL.items()}
