@@ -269,7 +269,7 @@ class Reader:
             if held and (count >= BLOCK_WORDS or i == len(texts) - 1):
                 if len(self.row) > REMEMBERED:
                     self.row, self.scores = {}, self.scores[:0]
-                new = sorted(set().union(*words) - self.row.keys())
+                new = sorted(w for w in set().union(*words) if w not in self.row)
                 if new:
                     self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
                     self.scores = np.concatenate([self.scores, self.tagger.emissions(new)])

@@ -55,7 +55,7 @@ class Shingler:
         except KeyError:
             if len(known) > REMEMBERED:
                 known.clear()
-            known.update((x, xxhash.xxh64_intdigest(x)) for x in set(words) - known.keys())
+            known.update([(x, xxhash.xxh64_intdigest(x)) for x in set(words) if x not in known])
             w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         n = min(SHINGLE, len(w))
         out = np.zeros(len(w) - n + 1, np.uint64)
