@@ -7,7 +7,8 @@ A string of LENGTH bytes that starts anywhere else too is a repeat; every byte t
 2. Segments of equal anchor and equal content are repeats as a whole; from here on a content counts once, however many copies it has.
 3. Different contents of an anchor may share part of their windows. Their contents make an enhanced suffix array; a stack scan of its common prefixes gives the tree
    of intervals, and an interval whose occurrences are preceded by different bytes is a maximal repeat group, output with all its occurrences. An anchor with more contents
-   than one task should hold is settled by counting its windows, by hash, in as many tasks as there are.
+   than one task should hold is settled by counting, by hash, in as many tasks as there are: first blocks of neighbouring windows, then, only in blocks that are alike in what their
+   windows have in common but not as a whole, single windows.
 
 Defined results: a null text is empty; texts shorter than LENGTH keep all bytes; matches never cross documents; repeated rows are copies of each other; an empty table gives
 an empty result; extra input columns are ignored.
@@ -28,6 +29,8 @@ from molframe.session import table, written
 LENGTH, GRAM = 400, 64
 #: Contents of an anchor that go to one suffix array at most, and bytes of contents of an array.
 GROUP, ARRAY_BYTES = 1000, 1 << 20
+#: Windows of a block, where anchors of more contents are counted.
+STRIP = 10
 #: Bytes of a document hashed at once.
 BLOCK = 1 << 20
 _BASES = (np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xC2B2AE3D27D4EB4F | 1))
@@ -98,6 +101,21 @@ class Segmenter:
         n = len(x) - self.length + 1
         return self.two.between(sums, slice(0, n), slice(self.length, len(x) + 1), slice(0, n)).view(np.int64)
 
+    def strips(self, data: bytes, offset: int, strip: int) -> tuple[np.ndarray, ...]:
+        """(strip, core, whole, first, windows) of the blocks of a content's windows. Blocks lie at fixed distances from the anchor; core is a hash of the bytes that all windows of a full block
+        have in common, whole one of all bytes of the windows that are there."""
+        x = np.frombuffer(data, np.uint8)
+        sums = self.two.sums(x)
+        n = len(x) - self.length + 1
+        number = np.arange(n) - offset
+        number = np.floor_divide(number, strip)
+        first = np.flatnonzero(np.diff(number, prepend=number[0] - 1))
+        windows = np.diff(first, append=n)
+        begin = number[first] * strip + offset  # of the full block
+        core = self.two.between(sums, begin + strip - 1, begin + self.length, begin + strip - 1)
+        whole = self.two.between(sums, first, first + windows - 1 + self.length, first) ^ mixed(((first - begin) * strip + windows).astype(np.uint64))
+        return number[first], core.view(np.int64), whole.view(np.int64), first, windows
+
 
 def suffix_array(contents: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(places, lcp, of, data): the suffixes of at least `least` bytes of all contents in order, as places in the joined data; the common prefix of each with the one before; the
@@ -216,7 +234,7 @@ def repeat_spans(df: DataFrame, text_col: str = "text", length: int = LENGTH, gr
     often = segments.groupBy("anchor").count().filter("count > 1").select("anchor")
     met = written(segments.join(often, "anchor", "left_semi"), "met")
     # a row for each different content: what only one text has needs a closer look if its anchor has others
-    own = met.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("node", "start")).alias("at"), F.any_value("windows").alias("windows"))
+    own = met.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("node", "start")).alias("at"), F.any_value("windows").alias("windows"), F.any_value("offset").alias("offset"))
     own = written(own, "contents")
     many = own.groupBy("anchor").agg(F.count("*").alias("contents"), F.min("copies").alias("least")).filter("contents > 1 AND least = 1").select("anchor", "contents")
     look = written(_with_bytes(texts, own.join(many, "anchor"), length), "look")
@@ -248,7 +266,7 @@ def _gathered(cut):
 
 def _with_bytes(texts: DataFrame, contents: DataFrame, length: int) -> DataFrame:
     """contents with their bytes, from one of the texts they are in."""
-    wanted = contents.groupBy(F.col("at.node").alias("node")).agg(F.collect_list(F.struct("anchor", "content", "contents", "copies", F.col("at.start").alias("start"), "windows")).alias("wanted"))
+    wanted = contents.groupBy(F.col("at.node").alias("node")).agg(F.collect_list(F.struct("anchor", "content", "contents", "copies", F.col("at.start").alias("start"), "windows", "offset")).alias("wanted"))
 
     def take(batches):
         for pdf in batches:
@@ -259,10 +277,10 @@ def _with_bytes(texts: DataFrame, contents: DataFrame, length: int) -> DataFrame
                     continue
                 seen.add(bytes(node))
                 data = text.encode()
-                rows += [(w["anchor"], w["content"], w["contents"], w["copies"], data[w["start"] : w["start"] + w["windows"] + length - 1]) for w in wanted]
-            yield pd.DataFrame(rows, columns=["anchor", "content", "contents", "copies", "bytes"])
+                rows += [(w["anchor"], w["content"], w["contents"], w["copies"], w["offset"], data[w["start"] : w["start"] + w["windows"] + length - 1]) for w in wanted]
+            yield pd.DataFrame(rows, columns=["anchor", "content", "contents", "copies", "offset", "bytes"])
 
-    got = texts.join(wanted, "node").mapInPandas(take, "anchor long, content long, contents long, copies long, bytes binary")
+    got = texts.join(wanted, "node").mapInPandas(take, "anchor long, content long, contents long, copies long, offset int, bytes binary")
     return got.dropDuplicates(["anchor", "content"])
 
 
@@ -290,19 +308,38 @@ def _arrays(length: int):
 
 
 def _counted(look: DataFrame, length: int, gram: int) -> DataFrame:
-    """The same for anchors of very many contents: their windows, counted by hash."""
+    """The same for anchors of very many contents: what they share is counted by hash, blocks of windows first."""
+    strip = min(STRIP, length)
+
+    def blocks(batches):
+        own = Segmenter(length, gram)
+        for pdf in batches:
+            for anchor, content, copies, offset, data in zip(pdf["anchor"], pdf["content"], pdf["copies"], pdf["offset"], pdf["bytes"], strict=True):
+                number, core, whole, first, windows = own.strips(bytes(data), offset, strip)
+                yield pd.DataFrame({"anchor": anchor, "content": content, "copies": copies, "strip": number, "core": core, "whole": whole, "first": first, "windows": windows})
+
+    rows = written(look.mapInPandas(_gathered(blocks), "anchor long, content long, copies long, strip int, core long, whole long, first int, windows int"), "strips")
+    part = ["anchor", "strip", "core"]
+    wholes = rows.groupBy(*part, "whole").agg(F.count("*").alias("n"), F.min(F.struct("content", "first", "windows", "copies")).alias("one"))
+    span = F.struct(F.col("first").alias("start"), (F.col("first") + F.col("windows") + (length - 1)).cast("int").alias("end"))
+    alike = rows.filter("copies = 1").join(wholes.filter("n > 1").select(*part, "whole"), [*part, "whole"], "left_semi").select("anchor", "content", span.alias("span"))
+    # blocks of one core that differ as a whole: their windows, one by one, for one content of each whole
+    unlike = wholes.join(wholes.groupBy(*part).count().filter("count > 1").select(*part), part, "left_semi").select("anchor", "n", "one.*", "strip")
+    closer = look.select("anchor", "content", "bytes").join(unlike, ["anchor", "content"])
+    cut = F.expr(f"substring(bytes, first + 1, windows + {length - 1})")
 
     def windows(batches):
         own = Segmenter(length, gram)
         for pdf in batches:
-            for anchor, content, copies, data in zip(pdf["anchor"], pdf["content"], pdf["copies"], pdf["bytes"], strict=True):
+            for anchor, content, lone, first, data in zip(pdf["anchor"], pdf["content"], pdf["lone"], pdf["first"], pdf["part"], strict=True):
                 h = own.window_hashes(bytes(data))
-                yield pd.DataFrame({"anchor": anchor, "content": content, "copies": copies, "start": np.arange(len(h)), "hash": h})
+                yield pd.DataFrame({"anchor": anchor, "content": content, "lone": lone, "start": first + np.arange(len(h)), "hash": h})
 
-    rows = look.mapInPandas(_gathered(windows), "anchor long, content long, copies long, start int, hash long")
-    twice = rows.groupBy("anchor", "hash").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "hash")
-    hit = rows.filter("copies = 1").join(twice, ["anchor", "hash"], "left_semi").groupBy("anchor", "content").agg(F.array_sort(F.collect_list("start")).alias("starts"))
-    return hit.select("anchor", "content", F.transform("starts", lambda s: F.struct(s.cast("int").alias("start"), (s + length).cast("int").alias("end"))).alias("spans"))
+    lone = ((F.col("n") == 1) & (F.col("copies") == 1)).alias("lone")
+    single = written(closer.select("anchor", "content", lone, "first", cut.alias("part")).mapInPandas(_gathered(windows), "anchor long, content long, lone boolean, start int, hash long"), "windows")
+    twice = single.groupBy("anchor", "hash").count().filter("count > 1").select("anchor", "hash")
+    hit = single.filter("lone").join(twice, ["anchor", "hash"], "left_semi").select("anchor", "content", F.struct("start", (F.col("start") + length).cast("int").alias("end")).alias("span"))
+    return alike.union(hit).groupBy("anchor", "content").agg(F.collect_list("span").alias("spans"))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep: tuple[str, ...] = (), texts: bool = False) -> DataFrame:
