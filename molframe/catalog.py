@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from molframe.plans import q_basic, q_cluster
+from molframe.plans import q_basic, q_cluster, q_consensus
 
 FLAGSHIP = "family_sizes_identity"
-_PARTS = (q_basic, q_cluster)
+_PARTS = (q_basic, q_cluster, q_consensus)
 
 
 def queries() -> dict:

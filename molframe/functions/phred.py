@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from molframe.functions.bind import let
+
 LEAST, MOST, PRECISION = 2, 93, 0.001
 TIE = 2.220446049250313e-16
 BASES = "ACGT"
@@ -54,15 +56,29 @@ def looked_up(values: list, index: Column) -> Column:
 
 def called(scores: Column, pre_umi: int) -> Column:
     """struct<base, qual> of four log-likelihoods (A, C, G, T): the unique greatest and its posterior error, or N at the least quality where another comes within TIE of it."""
-    best = F.array_max(scores)
-    at = F.array_position(scores, best).cast("int") - 1
-    # a later lane that ties the running maximum voids the call
-    ties = F.size(F.filter(F.transform(scores, lambda x, i: (i > at) & (F.abs(x - best) <= TIE)), lambda t: t))
-    others = F.aggregate(F.transform(scores, lambda x, i: F.when(i == at, F.lit(0.0)).otherwise(F.exp(x - best))), F.lit(0.0), lambda s, x: s + x)
-    ln_wrong = F.log(others) - F.log1p(others)
     pre = ln_error(pre_umi)
-    high, low = F.greatest(ln_wrong, F.lit(pre)), F.least(ln_wrong, F.lit(pre))
-    both = F.when((high - low >= 6) | (others == 0), high).otherwise(F.log(F.exp(high) + F.exp(low) - F.lit(4 / 3) * F.exp(high + low)))
-    both = F.when(others == 0, F.lit(pre)).otherwise(both)
-    qual = F.when(both < ln_error(MOST), MOST).otherwise(F.least(F.lit(MOST), F.greatest(F.lit(LEAST), F.floor(both * F.lit(-10 / math.log(10)) + F.lit(PRECISION)).cast("int"))))
-    return F.when(ties > 0, F.struct(F.lit("N").alias("base"), F.lit(LEAST).alias("qual"))).otherwise(F.struct(F.substring(F.lit(BASES), at + 1, F.lit(1)).alias("base"), qual.cast("int").alias("qual")))
+    none = F.struct(F.lit("N").alias("base"), F.lit(LEAST).alias("qual"))
+
+    def best_of(s: Column) -> Column:
+        return F.struct(s["scores"].alias("scores"), s["best"].alias("best"), (F.array_position(s["scores"], s["best"]).cast("int") - 1).alias("at"))
+
+    def call(x: Column) -> Column:
+        # a later lane that ties the greatest voids the call
+        ties = F.exists(F.transform(x["scores"], lambda v, i: (i > x["at"]) & (F.abs(v - x["best"]) <= TIE)), lambda t: t)
+        others = F.aggregate(F.transform(x["scores"], lambda v, i: F.when(i == x["at"], F.lit(0.0)).otherwise(F.exp(v - x["best"]))), F.lit(0.0), lambda s, v: s + v)
+        base = F.substring(F.lit(BASES), x["at"] + 1, F.lit(1))
+        return F.when(ties, none).otherwise(F.struct(base.alias("base"), let(others, quality).alias("qual")))
+
+    def quality(others: Column) -> Column:
+        return let(F.log(others) - F.log1p(others), lambda wrong: F.when(others == 0, to_qual(F.lit(pre))).otherwise(let(both_trials(wrong), to_qual)))
+
+    def both_trials(wrong: Column) -> Column:
+        high, low = F.greatest(wrong, F.lit(pre)), F.least(wrong, F.lit(pre))
+        return F.when(high - low >= 6, high).otherwise(F.log(F.exp(high) + F.exp(low) - F.lit(4 / 3) * F.exp(high + low)))
+
+    def to_qual(ln_p: Column) -> Column:
+        whole = F.floor(ln_p * F.lit(-10 / math.log(10)) + F.lit(PRECISION)).cast("int")
+        return F.when(ln_p < ln_error(MOST), MOST).otherwise(F.least(F.lit(MOST), F.greatest(F.lit(LEAST), whole))).cast("int")
+
+    bound = let(F.struct(scores.alias("scores")), lambda s: F.struct(s["scores"].alias("scores"), F.array_max(s["scores"]).alias("best")))
+    return let(let(bound, best_of), call)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from molframe.functions.bind import let
 from molframe.functions.phred import BASES, LEAST, called, looked_up, right_and_wrong, single_read
 
 MOST_SHORT = 32767
@@ -17,10 +18,9 @@ MOST_SHORT = 32767
 def base_scores(counts: Column, post_umi: int) -> Column:
     """Log-likelihoods of A, C, G, T of an array of (qual, base, n); summed in that array's order."""
     right, wrong = right_and_wrong(post_umi)
-    table = F.array(*[F.struct(F.lit(r).alias("right"), F.lit(w).alias("wrong")) for r, w in zip(right, wrong, strict=True)])
-    rows = F.transform(counts, lambda c: F.struct(c["base"].alias("base"), c["n"].cast("double").alias("n"), F.get(table, c["qual"]).alias("ll")))
-    one = lambda b: F.aggregate(rows, F.lit(0.0), lambda s, c: s + c["n"] * F.when(c["base"] == b, c["ll"]["right"]).otherwise(c["ll"]["wrong"]))
-    return F.array(*[one(b) for b in BASES])
+    rows = F.transform(counts, lambda c: F.struct(c["base"].alias("base"), (c["n"] * looked_up(right, c["qual"])).alias("right"), (c["n"] * looked_up(wrong, c["qual"])).alias("wrong")))
+    one = lambda rows, b: F.aggregate(rows, F.lit(0.0), lambda s, c: s + F.when(c["base"] == b, c["right"]).otherwise(c["wrong"]))
+    return let(rows, lambda rows: F.array(*[one(rows, b) for b in BASES]))
 
 
 def positions(reads: DataFrame, family: list[str], seq: str = "seq", qual: str = "qual") -> DataFrame:
@@ -140,7 +140,7 @@ def call_overlaps(pairs: DataFrame, keys: list[str], **options) -> DataFrame:
     start, end = F.greatest("pos1", "pos2"), F.least(F.col("pos1") + F.length("seq1"), F.col("pos2") + F.length("seq2"))
     at = lambda text, i: F.substring(text, (i + 1).cast("int"), F.lit(1))
 
-    def side(n: int) -> tuple[Column, Column]:
+    def side(n: int) -> Column:
         places = F.sequence(F.lit(0), F.length(f"seq{n}") - 1)
 
         def one(i: Column) -> Column:
@@ -150,11 +150,11 @@ def call_overlaps(pairs: DataFrame, keys: list[str], **options) -> DataFrame:
             own = F.struct(at(F.col(f"seq{n}"), i).alias("base"), F.get(f"qual{n}", i).alias("qual"))
             return F.when((ref >= start) & (ref < end), F.struct(pair[f"base{n}"].alias("base"), pair[f"qual{n}"].alias("qual"))).otherwise(own)
 
-        done = F.when(F.length(f"seq{n}") > 0, F.transform(places, one)).otherwise(F.array())
-        return F.array_join(F.transform(done, lambda p: p["base"]), "").alias(f"seq{n}"), F.transform(done, lambda p: p["qual"]).alias(f"qual{n}")
+        return F.when(F.length(f"seq{n}") > 0, F.transform(places, one)).otherwise(F.array())
 
-    (s1, q1), (s2, q2) = side(1), side(2)
-    return pairs.select(*keys, "pos1", s1, q1, "pos2", s2, q2)
+    done = pairs.select(*keys, "pos1", "pos2", side(1).alias("done1"), side(2).alias("done2"))
+    part = lambda n, f: F.transform(f"done{n}", lambda p: p[f])
+    return done.select(*keys, "pos1", F.array_join(part(1, "base"), "").alias("seq1"), part(1, "qual").alias("qual1"), "pos2", F.array_join(part(2, "base"), "").alias("seq2"), part(2, "qual").alias("qual2"))
 
 
 def codec(pairs: DataFrame, keys: list[str], outer: int = 5, outer_qual: int | None = None, single_qual: int | None = None, min_duplex: int = 1, max_rate: float = 1.0) -> DataFrame:
