@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from molframe.plans import q_basic, q_cluster, q_consensus
+from molframe.plans import q_basic, q_cluster, q_consensus, q_more
 
 FLAGSHIP = "family_sizes_identity"
-_PARTS = (q_basic, q_cluster, q_consensus)
+_PARTS = (q_basic, q_cluster, q_consensus, q_more)
 
 
 def queries() -> dict:

@@ -166,8 +166,12 @@ def codec(pairs: DataFrame, keys: list[str], outer: int = 5, outer_qual: int | N
     lowered = lambda q, most: q if most is None else F.least(q, F.lit(most))
 
     def one(ref: Column) -> Column:
-        a, b, in_a, in_b = at(1, ref), at(2, ref), covers(1, ref), covers(2, ref)
-        both = combine_strands(a, b)
+        sides = F.struct(at(1, ref).alias("a"), at(2, ref).alias("b"), covers(1, ref).alias("in_a"), covers(2, ref).alias("in_b"), ref.alias("ref"))
+        return let(sides, lambda x: let(F.struct(x.alias("x"), combine_strands(x["a"], x["b"]).alias("both")), combined))
+
+    def combined(y: Column) -> Column:
+        x, both = y["x"], y["both"]
+        a, b, in_a, in_b, ref = x["a"], x["b"], x["in_a"], x["in_b"], x["ref"]
         base = F.when(in_a & in_b, both["base"]).when(in_a, a["base"]).when(in_b, b["base"]).otherwise("N")
         qual = F.when(in_a & in_b, both["qual"]).when(in_a, lowered(a["qual"], single_qual)).when(in_b, lowered(b["qual"], single_qual)).otherwise(LEAST)
         edge = (ref < first + outer) | (ref >= last - outer)
