@@ -124,13 +124,13 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, node binary, n int, bands array<long>, shingles array<int>")
 
 
-def candidates(members: DataFrame) -> DataFrame:
+def candidates(members: DataFrame, least: float = LEAST) -> DataFrame:
     """(a, b), a < b: of members (band, node, n) each node with the least and the greatest of its buckets, if their set sizes allow a link."""
     one = F.struct("node", "n")
     ends = members.groupBy("band").agg(F.min(one).alias("low"), F.max(one).alias("high")).filter(F.col("low.node") != F.col("high.node"))
     met = members.join(ends, "band")
     pairs = met.select("node", "n", F.explode(F.array("low", "high")).alias("end")).filter(F.col("node") != F.col("end.node"))
-    pairs = pairs.filter(F.least("n", "end.n") >= F.greatest("n", "end.n") * F.lit(LEAST) - F.lit(1e-9))
+    pairs = pairs.filter(F.least("n", "end.n") >= F.greatest("n", "end.n") * F.lit(least) - F.lit(1e-9))
     return pairs.select(F.least("node", "end.node").alias("a"), F.greatest("node", "end.node").alias("b")).distinct()
 
 

@@ -74,3 +74,24 @@ def test_bounds(spark):
     df = spark.range(1).select(F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(4), F.lit(5)).alias("a"), F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(4)).alias("b"), F.array(F.lit(1)).alias("c"))
     r = df.select(s.bounded_likeness(F.col("a"), F.col("b"), 0.8).alias("ab"), s.bounded_likeness(F.col("a"), F.col("c"), 0.8).alias("ac"), s.length_part(F.col("a"), 0.8).alias("pa"), s.length_part(F.col("b"), 0.8).alias("pb")).first()
     assert r.ab == 0.8 and r.ac is None and abs(r.pa - r.pb) <= 1
+
+
+def test_classes_equal_brute_force(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()]
+    sets = {i: brute(t or "") for i, t in docs}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            a, b = sets[i], sets[j]
+            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b) - 1e-12:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    got = {r.doc_id: r.class_id for r in s.spot_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: find(i) for i in ids}
