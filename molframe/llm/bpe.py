@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from molframe.llm.rows import back, sent, sent_type
 from molframe.session import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -226,10 +227,10 @@ def bpe_encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
             yield out.assign(decoded=[own.decode_text(x).decode() for x in texts]) if decode else out
 
     named = {id_col: "id_"} | {c: f"keep_{i}" for i, c in enumerate(keep) if c != id_col}
-    chosen = df.select(*[F.col(c).alias(n) for c, n in named.items()], F.col(text_col).alias("text_"))
-    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema if f.name != "text_")
+    chosen = df.select(*[sent(df, c).alias(n) for c, n in named.items()], F.col(text_col).alias("text_"))
+    shape = ", ".join(f"{n} {sent_type(df, c)}" for c, n in named.items())
     out = chosen.mapInPandas(run, f"{shape}, n_tokens long, ids array<int>{', decoded string' * decode}")
-    return out.select(*[F.col(n).alias(c) for c, n in named.items()], "n_tokens", "ids", *["decoded"][: int(decode)])
+    return out.select(*[back(df, c, n) for c, n in named.items()], "n_tokens", "ids", *["decoded"][: int(decode)])
 
 
 def bpe_decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -241,9 +242,8 @@ def bpe_decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", rank
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["id"], "decoded": [b"".join(map(token.__getitem__, [] if x is None else list(x))) for x in pdf["ids"]]})
 
-    kind = df.schema[id_col].dataType.simpleString()
-    out = df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInPandas(run, f"id {kind}, decoded binary")
-    return out.withColumnRenamed("id", id_col)
+    out = df.select(sent(df, id_col).alias("id"), F.col(ids_col).alias("ids")).mapInPandas(run, f"id {sent_type(df, id_col)}, decoded binary")
+    return out.select(back(df, id_col, "id"), "decoded")
 
 
 def bpe_round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -258,9 +258,8 @@ def bpe_round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out.insert(0, "id", pdf["id"].to_numpy())
             yield out
 
-    kind = df.schema[id_col].dataType.simpleString()
-    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return out.withColumnRenamed("id", id_col)
+    out = df.select(sent(df, id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {sent_type(df, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return out.select(back(df, id_col, "id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from molframe.llm.rows import dealt, held_out
+from molframe.llm.rows import back, dealt, held_out, sent, sent_type
 from molframe.session import table
 
 WORDS = re.compile(r"[^\W\d_]+")
@@ -309,9 +309,8 @@ def tag_languages(df: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_co
                 n_words[i], switches[i], shares[i] = len(p), np.count_nonzero(best[1:] != best[:-1]), p.mean(0)
             yield pd.DataFrame({"id": pdf["id"], "lang_pred": lang, "score": score, "n_words": n_words, "shares": shares, "n_switches": switches})
 
-    kind = df.schema[id_col].dataType.simpleString()
-    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, lang_pred string, score double, n_words long, shares array<double>, n_switches long")
-    return out.withColumnRenamed("id", id_col)
+    out = df.select(sent(df, id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {sent_type(df, id_col)}, lang_pred string, score double, n_words long, shares array<double>, n_switches long")
+    return out.select(back(df, id_col, "id"), *out.columns[1:])
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

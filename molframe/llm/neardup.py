@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molframe.llm.graph import components
+from molframe.llm.rows import sent, sent_type
 from molframe.session import table, written
 
 SHINGLE, LEAST = 5, 0.8
@@ -115,13 +116,13 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 if held >= BLOCK_WORDS or i == len(texts) - 1:
                     keys = band_keys(prob_min_hash([s for s, _ in sets], [w for _, w in sets]))
                     yield pd.DataFrame({
-                        "id": pd.array(ids[begin : i + 1], pdf["id"].dtype), "node": [xxhash.xxh3_128_digest(s.tobytes()) for s, _ in sets], "n": [len(s) for s, _ in sets],
+                        "id": pd.Series(ids[begin : i + 1], dtype=pdf["id"].dtype), "node": [xxhash.xxh3_128_digest(s.tobytes()) for s, _ in sets], "n": [len(s) for s, _ in sets],
                         "bands": [k if len(s) else k[:0] for k, (s, _) in zip(keys, sets, strict=True)], "shingles": [s.view(np.int32) for s, _ in sets],
                     })
                     sets, begin, held = [], i + 1, 0
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, node binary, n int, bands array<long>, shingles array<int>")
+    out = df.select(sent(df, id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {sent_type(df, id_col)}, node binary, n int, bands array<long>, shingles array<int>")
+    return out.withColumn("id", F.col("id").cast(df.schema[id_col].dataType))
 
 
 def candidates(members: DataFrame, least: float = LEAST) -> DataFrame:

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from molframe.llm.rows import back, sent, sent_type
 from molframe.session import table
 
 UNIT, RATE = 192, 8000
@@ -152,10 +153,6 @@ def features(streams: dict[int, Stream], bad: int) -> tuple[bytes, str]:
     return samples, said
 
 
-def _kind(df: DataFrame, name: str) -> str:
-    return df.schema[name].dataType.simpleString()
-
-
 def ogg_encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, media binary) of every text."""
 
@@ -163,7 +160,8 @@ def ogg_encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["id"], "media": [mux(payload_of(t)[1]) for t in pdf["text"]]})
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {_kind(df, id_col)}, media binary").withColumnRenamed("id", id_col)
+    out = df.select(sent(df, id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {sent_type(df, id_col)}, media binary")
+    return out.select(back(df, id_col, "id"), "media")
 
 
 def ogg_packets(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", rate: int = RATE) -> DataFrame:
@@ -176,8 +174,8 @@ def ogg_packets(df: DataFrame, id_col: str = "doc_id", media_col: str = "media",
                 for s in streams.values():
                     yield pd.DataFrame({"id": [key] * len(s.packets), "serial": s.serial, "packet": range(len(s.packets)), "seconds": timestamps(s, rate), "data": s.packets, "bad_pages": bad})
 
-    kind = _kind(df, id_col)
-    return df.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).mapInPandas(run, f"id {kind}, serial long, packet long, seconds double, data binary, bad_pages long").withColumnRenamed("id", id_col)
+    out = df.select(sent(df, id_col).alias("id"), F.col(media_col).alias("media")).mapInPandas(run, f"id {sent_type(df, id_col)}, serial long, packet long, seconds double, data binary, bad_pages long")
+    return out.select(back(df, id_col, "id"), *out.columns[1:])
 
 
 def ogg_round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,8 +193,9 @@ def ogg_round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out.insert(0, "id", pdf["id"].to_numpy())
             yield out
 
-    shape = f"id {_kind(df, id_col)}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, shape).withColumnRenamed("id", id_col)
+    shape = f"id {sent_type(df, id_col)}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    out = df.select(sent(df, id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, shape)
+    return out.select(back(df, id_col, "id"), *out.columns[1:])
 
 
 def op9_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:

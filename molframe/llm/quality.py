@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molframe.llm.rows import dealt, held_out
+from molframe.llm.rows import back, dealt, held_out, sent, sent_type
 from molframe.session import table
 
 CODE, STRIDE, CHUNK, FILTERS = 8, 8, 512, 32
@@ -147,10 +147,10 @@ def score_quality(df: DataFrame, network: Network | None, id_col: str = "doc_id"
             yield (pdf if text_col in keep else pdf.drop(columns="text_")).assign(score_=score)
 
     named = {id_col: "id_", text_col: "text_"} | {c: f"keep_{i}" for i, c in enumerate(keep) if c not in (id_col, text_col)}
-    chosen = df.select(*[F.col(c).alias(n) for c, n in named.items()])
-    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema if f.name != "text_" or text_col in keep)
+    chosen = df.select(*[sent(df, c).alias(n) for c, n in named.items()])
+    shape = ", ".join(f"{n} {sent_type(df, c)}" for c, n in named.items() if n != "text_" or text_col in keep)
     out = chosen.mapInPandas(run, f"{shape}, score_ double")
-    return out.select(F.col("id_").alias(id_col), *[F.col(named[c]).alias(c) for c in keep if c not in (id_col, "score")], F.col("score_").alias("score"))
+    return out.select(back(df, id_col, "id_"), *[back(df, c, named[c]) for c in keep if c not in (id_col, "score")], F.col("score_").alias("score"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molframe.llm.neardup import mixed
+from molframe.llm.rows import back, sent, sent_type
 from molframe.session import table, written
 
 LENGTH, GRAM = 400, 64
@@ -345,7 +346,7 @@ def _counted(look: DataFrame, length: int, gram: int) -> DataFrame:
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep: tuple[str, ...] = (), texts: bool = False) -> DataFrame:
     """(id, the columns of keep, n_bytes, n_removed, spans array<struct<start, end>> merged, kept_sha256, and with texts: kept, the remaining bytes as text, those cut within a character left out)."""
     named = {id_col: "id"} | {c: f"keep_{i}" for i, c in enumerate(keep) if c != id_col}
-    rows = _keyed(df, text_col, *[F.col(c).alias(n) for c, n in named.items()])
+    rows = _keyed(df, text_col, *[sent(df, c).alias(n) for c, n in named.items()])
     rows = rows.join(repeat_spans(df, text_col, length, gram), "node", "left").drop("node")
 
     def run(batches):
@@ -363,9 +364,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             got = pd.DataFrame(out, columns=["n_bytes", "n_removed", "spans", "kept_sha256", "kept"])
             yield pd.concat([pdf.drop(columns=["text", "spans"]).reset_index(drop=True), got], axis=1)
 
-    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("text", "spans"))
+    shape = ", ".join(f"{n} {sent_type(df, c)}" for c, n in named.items())
     out = rows.mapInPandas(run, f"{shape}, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept_sha256 string, kept string")
-    return out.select(*[F.col(n).alias(c) for c, n in named.items()], "n_bytes", "n_removed", "spans", "kept_sha256", *["kept"][: int(texts)])
+    return out.select(*[back(df, c, n) for c, n in named.items()], "n_bytes", "n_removed", "spans", "kept_sha256", *["kept"][: int(texts)])
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molframe.llm.bpe import BLOCK_CHARS, NONE, RANKS, REMEMBERED, PairTable, codec
+from molframe.llm.rows import back, sent, sent_type
 from molframe.session import table
 
 
@@ -121,9 +122,8 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out.insert(0, "id", pdf["id"].to_numpy())
             yield out
 
-    kind = df.schema[id_col].dataType.simpleString()
-    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, n_pretokens long, n_tokens long")
-    return out.withColumnRenamed("id", id_col)
+    out = df.select(sent(df, id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {sent_type(df, id_col)}, n_pretokens long, n_tokens long")
+    return out.select(back(df, id_col, "id"), "n_pretokens", "n_tokens")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
