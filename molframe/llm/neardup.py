@@ -135,10 +135,19 @@ def candidates(members: DataFrame, least: float = LEAST) -> DataFrame:
     return pairs.select(F.least("node", "end.node").alias("a"), F.greatest("node", "end.node").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
-    """The pairs whose shingle sets have a Jaccard similarity of LEAST or more, with it."""
+def sets_of(pairs: DataFrame, sketch: DataFrame, known: DataFrame | None) -> DataFrame:
+    """(node, shingles) of the pairs' nodes: those known from earlier rounds, and from the sketches only the others, so that the sketches' sets move once."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = written(sketch.select("node", "shingles").join(nodes, "node", "left_semi").groupBy("node").agg(F.any_value("shingles").alias("shingles")), "sets")
+    if known is not None:
+        nodes = written(nodes.join(known.select("node"), "node", "left_anti"), "new-nodes")
+        if nodes.isEmpty():
+            return known
+    new = written(sketch.select("node", "shingles").join(nodes, "node", "left_semi").groupBy("node").agg(F.any_value("shingles").alias("shingles")), "sets")
+    return new if known is None else known.union(new)
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose shingle sets have a Jaccard similarity of LEAST or more, with it."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
     both = both.select("a", "b", F.size("of_a").alias("m"), F.size("of_b").alias("n"), F.size(F.array_intersect("of_a", "of_b")).alias("same"))
     return both.select("a", "b", (F.col("same") / (F.col("m") + F.col("n") - F.col("same"))).alias("likeness")).filter(F.col("likeness") >= LEAST)
@@ -151,6 +160,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = nodes.select(F.explode("bands").alias("band"), "node", "n")
     links: list[DataFrame] = []
     tried: list[DataFrame] = []
+    sets: DataFrame | None = None
     for left in range(ROUNDS, 0, -1):
         pairs = candidates(members)
         for t in tried:
@@ -158,7 +168,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         tried.append(pairs := written(pairs, "pairs"))
         if pairs.isEmpty():
             break
-        links.append(written(verified(pairs, sketch), "links"))
+        sets = sets_of(pairs, sketch, sets)
+        links.append(written(verified(pairs, sets), "links"))
         labels = components(reduce(DataFrame.union, [x.select("a", "b") for x in links]))
         if left > 1:
             members = written(left_over(members, labels), "members")
