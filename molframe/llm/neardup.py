@@ -5,8 +5,8 @@ weight, to random slots; a slot keeps the shingle that arrived first, and a shin
 slot with their probability Jaccard similarity. Bands of slots make candidates; those are verified by the exact Jaccard similarity of
 their shingle sets, and the links found are joined into classes.
 
-Documents with equal sets are one node from the start. In a bucket, each node is paired with the bucket's least and greatest node, never with all. What then
-isn't in the least one's component is left over for the next of ROUNDS rounds, with new least and greatest nodes.
+Documents with equal sets are one node from the start. In a bucket, every two nodes that may be alike are compared, unless they are in one class already. Rounds of hubs come first: each
+node is paired with two hubs of its bucket, the least node and the one with the most links so far, which then leave that bucket, as their pairs are settled. Once rounds no longer pay, all pairs that are left are compared.
 
 Defined results: words are split at white space, in lower case; a text of fewer than five words is one shingle; null texts and texts without words are alike;
 class_id is the least id of the class (null if all are null); repeated rows are in one class; an empty table gives an empty result; extra input columns are ignored.
@@ -14,6 +14,8 @@ class_id is the least id of the class (null if all are null); repeated rows are
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -29,7 +31,8 @@ from molframe.session import table, written
 SHINGLE, LEAST = 5, 0.8
 #: At a similarity of 0.8 two documents meet in none of the bands with a probability of 5e-8.
 BANDS, BAND_SLOTS = 32, 4
-SLOTS, ROUNDS = BANDS * BAND_SLOTS, 3
+#: ROUNDS of hubs are run at least before all pairs that are left are compared, in cells of a side of about CELL nodes.
+SLOTS, ROUNDS, CELL = BANDS * BAND_SLOTS, 3, 500
 #: Words whose shingles are held at once; distinct words whose hashes a worker remembers.
 BLOCK_WORDS, REMEMBERED = 150_000, 400_000
 _NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -135,6 +138,89 @@ def candidates(members: DataFrame, least: float = LEAST) -> DataFrame:
     return pairs.select(F.least("node", "end.node").alias("a"), F.greatest("node", "end.node").alias("b")).distinct()
 
 
+def possible(pairs: DataFrame, one: str, other: str, least: float) -> DataFrame:
+    """(a, b), a < b: of pairs (one, other: node and n) those whose set sizes allow a link."""
+    m, n = F.col(f"{one}.n"), F.col(f"{other}.n")
+    pairs = pairs.filter(F.least(m, n) >= F.greatest(m, n) * F.lit(least) - F.lit(1e-9))
+    return pairs.select(F.least(f"{one}.node", f"{other}.node").alias("a"), F.greatest(f"{one}.node", f"{other}.node").alias("b")).distinct()
+
+
+def hubs(members: DataFrame) -> DataFrame:
+    """(band, low, high) of members (band, node, n, degree): each bucket's least node and the one with the most links, if they are two."""
+    ends = members.groupBy("band").agg(F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("degree", "node", "n")).alias("high"), F.max(F.struct("node", "n")).alias("last"))
+    # where the least node has the most links, the greatest is the other hub
+    high = F.when(F.col("high.node") == F.col("low.node"), F.col("last")).otherwise(F.struct("high.node", "high.n"))
+    return ends.select("band", "low", high.alias("high")).filter(F.col("low.node") != F.col("high.node"))
+
+
+def with_hubs(members: DataFrame, ends: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b: each member with the hubs of its buckets."""
+    pairs = members.join(ends, "band").select(F.struct("node", "n").alias("own"), F.explode(F.array("low", "high")).alias("end")).filter(F.col("own.node") != F.col("end.node"))
+    return possible(pairs, "own", "end", least)
+
+
+def not_settled(members: DataFrame, ends: DataFrame, labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(band, node, n, degree, label): the members but hubs, of buckets in which these are of more than one component."""
+    degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    of = labels.join(degrees, "node")  # both have the nodes of links
+    rows = members.select("band", "node", "n").join(ends, "band").filter((F.col("node") != F.col("low.node")) & (F.col("node") != F.col("high.node"))).select("band", "node", "n")
+    rows = rows.join(of, "node", "left").select("band", "node", "n", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("label", "node").alias("label"))
+    mixed_ones = rows.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter(F.col("x") != F.col("y")).select("band")
+    return rows.join(mixed_ones, "band", "left_semi")
+
+
+def unsettled_pairs(members: DataFrame) -> tuple[int, int]:
+    """The number of members, and of pairs of members of a bucket that are of different components."""
+    counts = members.groupBy("band", "label").agg(F.count("*").cast("double").alias("c")).groupBy("band").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("within"))
+    n, pairs = counts.agg(F.sum("c"), F.sum((F.col("c") * F.col("c") - F.col("within")) / 2)).first()
+    return int(n or 0), int(pairs or 0)
+
+
+def across(members: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b: all pairs of members of a bucket that are of different components. A bucket is dealt to the cells of a square, each of about CELL x CELL pairs."""
+    sizes = members.groupBy("band").agg(F.ceil(F.count("*") / F.lit(CELL)).cast("int").alias("side"))
+    rows = members.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("node"), F.col("side")).cast("int")).withColumn("every", F.explode(F.sequence(F.lit(0), F.col("side") - 1)))
+    one = rows.select("band", F.col("own").alias("x"), F.col("every").alias("y"), F.struct("node", "n").alias("one"), F.col("label").alias("one_label"))
+    other = rows.select("band", F.col("every").alias("x"), F.col("own").alias("y"), F.struct("node", "n").alias("other"), F.col("label").alias("other_label"))
+    pairs = one.join(other, ["band", "x", "y"]).filter((F.col("one.node") < F.col("other.node")) & (F.col("one_label") != F.col("other_label")))
+    return possible(pairs, "one", "other", least)
+
+
+def classes_of(members: DataFrame, verify: Callable[[DataFrame], DataFrame], least: float = LEAST) -> DataFrame | None:
+    """(node, label) of the nodes with links, or None: any two members (band, node, n) of a bucket that `verify` keeps of the pairs (a, b) are linked, directly or over others."""
+    links: list[DataFrame] = []
+    tried: list[DataFrame] = []
+
+    def settled(pairs: DataFrame) -> DataFrame | None:
+        """The labels, after these pairs too."""
+        for t in tried:
+            pairs = pairs.join(t, ["a", "b"], "left_anti")
+        tried.append(pairs := written(pairs, "pairs"))
+        if not pairs.isEmpty():
+            links.append(written(verify(pairs).select("a", "b"), "links"))
+        return components(reduce(DataFrame.union, links)) if links else None
+
+    members = members.withColumn("degree", F.lit(0).cast("long"))
+    labels, was = None, math.inf
+    for done in range(1, 1 << 30):
+        ends = written(hubs(members), "hubs")
+        if ends.isEmpty():
+            return labels
+        labels = settled(with_hubs(members, ends, least))
+        if labels is None:  # no bucket has nodes of like sizes, but their other members may
+            found = members.sparkSession.createDataFrame([], "a binary, b binary")
+            known = found.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        else:
+            found, known = reduce(DataFrame.union, links), labels
+        members = written(not_settled(members, ends, known, found), "members")
+        n, pairs = unsettled_pairs(members)
+        if not pairs:
+            return labels
+        if pairs <= 2 * n or (done >= ROUNDS and pairs > was / 2):
+            return settled(across(members, least))
+        was = pairs
+
+
 def sets_of(pairs: DataFrame, sketch: DataFrame, known: DataFrame | None) -> DataFrame:
     """(node, shingles) of the pairs' nodes: those known from earlier rounds, and from the sketches only the others, so that the sketches' sets move once."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
@@ -158,22 +244,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sketch = written(sketches(df, id_col, text_col), "sketch")
     nodes = written(sketch.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "nodes")
     members = nodes.select(F.explode("bands").alias("band"), "node", "n")
-    links: list[DataFrame] = []
-    tried: list[DataFrame] = []
     sets: DataFrame | None = None
-    for left in range(ROUNDS, 0, -1):
-        pairs = candidates(members)
-        for t in tried:
-            pairs = pairs.join(t, ["a", "b"], "left_anti")
-        tried.append(pairs := written(pairs, "pairs"))
-        if pairs.isEmpty():
-            break
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        nonlocal sets
         sets = sets_of(pairs, sketch, sets)
-        links.append(written(verified(pairs, sets), "links"))
-        labels = components(reduce(DataFrame.union, [x.select("a", "b") for x in links]))
-        if left > 1:
-            members = written(left_over(members, labels), "members")
-    if not links:
+        return verified(pairs, sets)
+
+    labels = classes_of(members, verify)
+    if labels is None:
         labels = nodes.select("node", F.col("node").alias("label")).limit(0)
     placed = nodes.select("node", "id", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = placed.groupBy("label").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))

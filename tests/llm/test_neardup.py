@@ -85,3 +85,34 @@ def test_chains_and_edges(spark):
     want = {x.class_id for x in out.collect()} | {None}
     assert sorted(k.doc_id if k.doc_id is not None else -1 for k in kept) == sorted(-1 if w is None else w for w in want)
     assert nd.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_star_of_edits(spark):
+    """Edits of one text that are alike to it alone, not to each other: it is the only one to link them."""
+    r = random.Random(4)
+    words = [f"w{r.randrange(5000)}" for _ in range(400)]
+    rows = [(0, " ".join(words))]
+    for i in range(1, 1001):
+        edit = [*words]
+        for k in r.sample(range(8, 392, 8), 6):
+            edit[k] = f"x{i}x{k}"
+        rows.append((i, " ".join(edit)))
+    out = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.class_id for x in out} == {0} and len(out) == 1001
+
+
+def test_all_pairs_of_buckets(spark, monkeypatch):
+    """Links between any members of a bucket are found, in cells too, whichever its hubs are."""
+    r = random.Random(5)
+    names = [bytes([i]) for i in range(60)]
+    order = r.sample(names, 60)
+    linked = {tuple(sorted(p)) for p in zip(order[:40:2], order[1:40:2])} | {tuple(sorted(p)) for p in zip(order[1:10:2], order[2:10:2])}
+    members = spark.createDataFrame([(band, x, 10) for band in (1, 2) for x in names], "band long, node binary, n int")
+    links = spark.createDataFrame(sorted(linked), "a binary, b binary")
+    monkeypatch.setattr(nd, "CELL", 7)
+    labels = {bytes(x.node): bytes(x.label) for x in nd.classes_of(members, lambda pairs: pairs.join(links, ["a", "b"], "left_semi")).collect()}
+    root = {x: x for x in names}
+    for _ in names:
+        for a, b in linked:
+            root[a] = root[b] = min(root[a], root[b])
+    assert labels == {x: root[x] for p in linked for x in p}
