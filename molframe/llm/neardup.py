@@ -1,9 +1,9 @@
 """Near-duplicates by ProbMinHash.
 
-A document is its set of five-word shingles, weighted by how often each occurs. In ProbMinHash every shingle sends a Poisson process of arrivals, at the rate of its
+A document is its set of five-word shingles. In ProbMinHash every shingle sends a Poisson process of arrivals, at the rate of its
 weight, to random slots; a slot keeps the shingle that arrived first, and a shingle ends once its next arrival comes after all slots' times. Two documents agree in a
-slot with their probability Jaccard similarity. Bands of slots make candidates; those are verified by the exact Jaccard similarity of
-their shingle sets, and the links found are joined into classes.
+slot with their probability Jaccard similarity. All shingles have weight 1 here, however often they occur, so that this is the Jaccard similarity of the sets, by which links are decided.
+Bands of slots make candidates; those are verified by the exact Jaccard similarity, and the links found are joined into classes.
 
 Documents with equal sets are one node from the start. In a bucket, every two nodes that may be alike are compared, unless they are in one class already. Rounds of hubs come first: each
 node is paired with two hubs of its bucket, the least node and the one with the most links so far, which then leave that bucket, as their pairs are settled. Once rounds no longer pay, all pairs that are left are compared.
@@ -67,10 +67,9 @@ class Shingler:
             out = out * np.uint64(0x9E3779B97F4A7C15) + w[k : len(w) - n + 1 + k]
         return mixed(out)
 
-    def weighted(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct 32-bit shingles of a text, sorted, and their weights."""
-        s, n = np.unique((self.hashes((text or "").lower().split()) >> np.uint64(32)).astype(np.uint32), return_counts=True)
-        return s, 1 + np.log2(n)
+    def distinct(self, text: str | None) -> np.ndarray:
+        """Distinct 32-bit shingles of a text, sorted."""
+        return np.unique((self.hashes((text or "").lower().split()) >> np.uint64(32)).astype(np.uint32))
 
 
 def prob_min_hash(shingles: list[np.ndarray], weights: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
@@ -111,16 +110,16 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         own = Shingler()
         for pdf in batches:
             ids, texts = list(pdf["id"]), list(pdf["text"])
-            sets: list[tuple[np.ndarray, np.ndarray]] = []
+            sets: list[np.ndarray] = []
             begin = held = 0
             for i, text in enumerate(texts):
-                sets.append(own.weighted(text))
-                held += len(sets[-1][0])
+                sets.append(own.distinct(text))
+                held += len(sets[-1])
                 if held >= BLOCK_WORDS or i == len(texts) - 1:
-                    keys = band_keys(prob_min_hash([s for s, _ in sets], [w for _, w in sets]))
+                    keys = band_keys(prob_min_hash(sets, [np.ones(len(s)) for s in sets]))
                     yield pd.DataFrame({
-                        "id": pd.Series(ids[begin : i + 1], dtype=pdf["id"].dtype), "node": [xxhash.xxh3_128_digest(s.tobytes()) for s, _ in sets], "n": [len(s) for s, _ in sets],
-                        "bands": [k if len(s) else k[:0] for k, (s, _) in zip(keys, sets, strict=True)], "shingles": [s.view(np.int32) for s, _ in sets],
+                        "id": pd.Series(ids[begin : i + 1], dtype=pdf["id"].dtype), "node": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "n": [len(s) for s in sets],
+                        "bands": [k if len(s) else k[:0] for k, s in zip(keys, sets, strict=True)], "shingles": [s.view(np.int32) for s in sets],
                     })
                     sets, begin, held = [], i + 1, 0
 
