@@ -230,7 +230,7 @@ def _(spark, d):
 def _(spark, d):
     rows = reads(spark, d)
     places = rows.select("pos", "rx", F.lit(0).alias("tid"), F.posexplode(F.split("seq", "")).alias("at", "base")).withColumn("ref_pos", F.col("pos") + F.col("at"))
-    reference = spark.range(0, 100_000).select(F.lit(0).alias("tid"), F.col("id").alias("ref_pos"), F.when(F.col("id") % 3 == 1, "C").otherwise("A").alias("ref"))
+    reference = places.select("tid", "ref_pos").distinct().withColumn("ref", F.when(F.col("ref_pos") % 3 == 1, "C").otherwise("A"))
     return order.methylation(places, reference, ["pos", "rx"])
 
 
