@@ -127,16 +127,6 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return out.withColumn("id", F.col("id").cast(df.schema[id_col].dataType))
 
 
-def candidates(members: DataFrame, least: float = LEAST) -> DataFrame:
-    """(a, b), a < b: of members (band, node, n) each node with the least and the greatest of its buckets, if their set sizes allow a link."""
-    one = F.struct("node", "n")
-    ends = members.groupBy("band").agg(F.min(one).alias("low"), F.max(one).alias("high")).filter(F.col("low.node") != F.col("high.node"))
-    met = members.join(ends, "band")
-    pairs = met.select("node", "n", F.explode(F.array("low", "high")).alias("end")).filter(F.col("node") != F.col("end.node"))
-    pairs = pairs.filter(F.least("n", "end.n") >= F.greatest("n", "end.n") * F.lit(least) - F.lit(1e-9))
-    return pairs.select(F.least("node", "end.node").alias("a"), F.greatest("node", "end.node").alias("b")).distinct()
-
-
 def possible(pairs: DataFrame, one: str, other: str, least: float) -> DataFrame:
     """(a, b), a < b: of pairs (one, other: node and n) those whose set sizes allow a link."""
     m, n = F.col(f"{one}.n"), F.col(f"{other}.n")
@@ -259,14 +249,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return sketch.select("id", "node").join(placed, "node").select(F.col("id").alias(id_col), "class_id", F.col("label").alias("class_key"), "class_size")
 
 
-def left_over(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Of buckets in which more than one component is left, the members outside the component of the least one."""
-    ends = members.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter(F.col("low") != F.col("high")).select("band", "low")
-    label = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"{name}_label"))
-    rows = members.join(ends, "band").join(label("node"), "node", "left").join(label("low"), "low", "left")
-    return rows.filter(F.coalesce("node_label", "node") != F.coalesce("low_label", "low")).select("band", "node", "n")
-
-
 def one_of_each(df: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The row of df with its class's least id, for each class. Of repeated rows with that id one stays; rows without id stay if their class has no other."""
     first = classes.filter(F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy(F.col(id_col).alias("first_id")).agg(F.count("*").alias("rows"))

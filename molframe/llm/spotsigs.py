@@ -14,8 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from molframe.llm.graph import components
-from molframe.llm.neardup import ROUNDS, candidates, left_over
+from molframe.llm.neardup import classes_of
 from molframe.session import table, written
 
 #: Common words of English, French, German and Spanish.
@@ -132,7 +131,7 @@ def spot_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, class_id, class_size): rows whose fingerprints are at least `least` alike, directly or over others, are a class; class_id is its least id.
 
     Equal fingerprints are one node. Nodes are parted by set length, each into its own part and the next, so that sets that can be alike meet. In a part a node is listed under the prefix of its
-    signatures, rarest first, that any set as alike must share one of; under a signature it is paired with the least and greatest node listed, what then is left over with those of the next rounds."""
+    signatures, rarest first, that any set as alike must share one of; under a signature every two nodes listed are compared, unless they are in one class already (neardup.classes_of)."""
     rows = written(spot_fingerprints(df, id_col, text_col).select(F.col(id_col).alias("id"), "signatures", F.unhex(F.md5("fingerprint")).alias("node")), "spots")
     nodes = written(rows.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("signatures").alias("signatures")), "spot-nodes")
     size = F.size("signatures")
@@ -142,21 +141,11 @@ def spot_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prefix = listed.join(often, "s").withColumn("nth", F.row_number().over(rare)).filter(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
     members = prefix.select("s", "node", "n", F.explode(F.array("part", F.col("part") + 1)).alias("p"))
     members = members.select(F.xxhash64("s", "p").alias("band"), "node", "n")
-    labels = nodes.select("node", F.col("node").alias("label"))  # of nodes without links
-    links = tried = None
-    for left in range(ROUNDS, 0, -1):
-        pairs = candidates(members, least)
-        pairs = written(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs, "spot-pairs")
-        if pairs.isEmpty():
-            break
-        tried = pairs if tried is None else tried.union(pairs)
-        of = lambda name: nodes.select(F.col("node").alias(name), F.col("signatures").alias(f"of_{name}"))
-        found = pairs.join(of("a"), "a").join(of("b"), "b").filter(bounded_likeness(F.col("of_a"), F.col("of_b"), least).isNotNull()).select("a", "b")
-        found = written(found, "spot-links")
-        links = found if links is None else links.union(found)
-        labels = components(links)
-        if left > 1:
-            members = written(left_over(members, labels), "spot-members")
+    of = lambda name: nodes.select(F.col("node").alias(name), F.col("signatures").alias(f"of_{name}"))
+    alike = bounded_likeness(F.col("of_a"), F.col("of_b"), least).isNotNull()
+    labels = classes_of(written(members, "spot-members"), lambda pairs: pairs.join(of("a"), "a").join(of("b"), "b").filter(alike).select("a", "b"), least)
+    if labels is None:
+        labels = nodes.select("node", F.col("node").alias("label")).limit(0)
     placed = nodes.select("node", "id", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = placed.groupBy("label").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
     return rows.select("id", "node").join(placed.select("node", "label").join(classes, "label"), "node").select(F.col("id").alias(id_col), "class_id", "class_size")

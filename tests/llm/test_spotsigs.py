@@ -95,3 +95,16 @@ def test_classes_equal_brute_force(spark):
                 root[max(x, y)] = min(x, y)
     got = {r.doc_id: r.class_id for r in s.spot_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {i: find(i) for i in ids}
+
+
+def test_star_of_edits(spark):
+    """Edits of one text that are alike to it alone: each lacks four of its 40 spots and has four of its own."""
+    spots = [f"the k{i} l{i}" for i in range(40)]
+    rows = [(0, " ".join(spots))]
+    for i in range(1, 301):
+        edit = [*spots]
+        for j in range(4):
+            edit[(i * 7 + j * 11 + i // 40 * j) % 40] = f"the x{i}x{j} y{i}"
+        rows.append((i, " ".join(edit)))
+    got = s.spot_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.class_id for r in got} == {0} and len(got) == 301
