@@ -1,4 +1,4 @@
-"""Rows that models learn from (those whose crc32(id as text) mod 4 is not 2), and columns that pass through pandas unharmed."""
+"""Rows that models learn from (those whose crc32(id as text) mod 4 is not 2), batches of bounded size, and columns that pass through pandas unharmed."""
 
 from __future__ import annotations
 
@@ -7,6 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Rows of texts that a Python worker gets at once, at most.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> None:
+    """Keeps Arrow batches of the session at BATCH_ROWS rows or fewer, since whole texts go to Python. It has no bearing on results."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+
+
 def held_out(id_col: str) -> Column:
     """True for rows that no model may learn from; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2

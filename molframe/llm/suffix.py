@@ -4,11 +4,13 @@ A string of LENGTH bytes that starts anywhere else too is a repeat; every byte t
 
 1. Each window of LENGTH bytes has an anchor: its leftmost GRAM-byte substring of least hash, the same wherever the window's content is the same. The windows of one anchor
    form a segment of a document. Anchors that occur once in the corpus can't be in a repeat.
-2. Segments of equal anchor and equal content are repeats as a whole; from here on a content counts once, however many copies it has.
+2. Segments of equal content, by a cryptographic digest of 128 bits of their bytes, are repeats as a whole; from here on a content counts once, however many copies it has.
 3. Different contents of an anchor may share part of their windows. Their contents make an enhanced suffix array; a stack scan of its common prefixes gives the tree
-   of intervals, and an interval whose occurrences are preceded by different bytes is a maximal repeat group, output with all its occurrences. An anchor with more contents
-   than one task should hold is settled by counting, by hash, in as many tasks as there are: first blocks of neighbouring windows, then, only in blocks that are alike in what their
-   windows have in common but not as a whole, single windows.
+   of intervals, and an interval whose occurrences are preceded by different bytes is a maximal repeat group, output with all its occurrences.
+
+An array takes the contents of one part whole. An anchor of more contents than a task should hold is parted first: windows that begin farther before the anchor share more bytes to its left, the others more to its
+right, so the contents are cut in two halves of their windows and parted by the bytes that all windows of a half share. This goes on, at most until parts are of single windows, where contents that are
+in one part are equal. The answers are the same at every limit; hashes only choose anchors, and no decision rests on them.
 
 Defined results: a null text is empty; texts shorter than LENGTH keep all bytes; matches never cross documents; repeated rows are copies of each other; an empty table gives
 an empty result; extra input columns are ignored.
@@ -17,6 +19,8 @@ an empty result; extra input columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,24 +28,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molframe.llm.neardup import mixed
-from molframe.llm.rows import back, sent, sent_type
+from molframe.llm.rows import back, sent, sent_type, small_batches
 from molframe.session import table, written
 
 LENGTH, GRAM = 400, 64
-#: Contents of an anchor that go to one suffix array at most, and bytes of contents of an array.
-GROUP, ARRAY_BYTES = 1000, 1 << 20
-#: Windows of a block, where anchors of more contents are counted.
-STRIP = 10
+#: Contents of a part that go to one suffix array at most, and bytes of contents of an array of several parts.
+GROUP, ARRAY_BYTES = 1000, 1 << 18
 #: Bytes of a document hashed at once.
 BLOCK = 1 << 20
-_BASES = (np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xC2B2AE3D27D4EB4F | 1))
+#: Rows of a frame that is handed back.
+FRAME_ROWS = 20_000
+_BASE = 0x9E3779B97F4A7C15
 
 
 class Powers:
     """Powers of an odd base modulo 2^64, and of its inverse."""
 
-    def __init__(self, base: np.uint64):
-        self.base, self.inverse = base, np.uint64(pow(int(base), -1, 1 << 64))
+    def __init__(self, base: int):
+        self.base, self.inverse = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
         self.up = self.down = np.ones(1, np.uint64)
 
     def grow(self, n: int) -> None:
@@ -49,40 +53,34 @@ class Powers:
             fill = lambda b: np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(n, b, np.uint64))])
             self.up, self.down = fill(self.base), fill(self.inverse)
 
-    def sums(self, data: np.ndarray) -> np.ndarray:
-        """Prefix sums of byte times power."""
+    def hashes(self, data: np.ndarray, size: int) -> np.ndarray:
+        """A hash of each substring of `size` bytes, the same at every place."""
         self.grow(len(data) + 1)
-        out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=out[1:])
-        return out
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=sums[1:])
+        return mixed((sums[size:] - sums[: len(data) - size + 1]) * self.down[: len(data) - size + 1])
+
 
-    def between(self, sums: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice, at: np.ndarray | slice) -> np.ndarray:
-        """Hashes of data[start:end], the same at every place."""
-        return mixed((sums[end] - sums[start]) * self.down[at])
+def digests(parts: Iterable[bytes | memoryview]) -> np.ndarray:
+    """A cryptographic digest of each part, as two numbers: parts of equal digests are taken as equal."""
+    return np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in parts]), np.int64).reshape(-1, 2)
 
 
 class Segmenter:
     def __init__(self, length: int = LENGTH, gram: int = GRAM):
-        self.length, self.gram = length, gram
-        self.one, self.two = Powers(_BASES[0]), Powers(_BASES[1])
+        self.length, self.gram, self.powers = length, gram, Powers(_BASE)
 
     def segments(self, data: bytes) -> tuple[np.ndarray, ...]:
-        """(anchor, content, start, windows, offset): hashes of the anchor and of the content, the first window's start, the windows, the anchor's place from start."""
-        parts = []
-        last = len(data) - self.length + 1  # windows
-        for k in range(0, max(last, 0), BLOCK):
-            parts.append(self._block(np.frombuffer(data, np.uint8)[k : k + BLOCK + self.length - 1], k))
+        """(anchor, c1, c2, start, windows, offset): the anchor's hash, the digest of the content, the first window's start, the windows, the anchor's place from start."""
+        parts = [self._block(data[k : k + BLOCK + self.length - 1], k) for k in range(0, max(len(data) - self.length + 1, 0), BLOCK)]
         if not parts:
-            return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int64))
+            return tuple(np.empty(0, np.int64) for _ in range(6))
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
-    def _block(self, data: np.ndarray, begin: int) -> tuple[np.ndarray, ...]:
-        n, g = len(data), self.gram
-        one, two = self.one.sums(data), self.two.sums(data)
-        grams = n - g + 1
-        h = self.one.between(one, slice(0, grams), slice(g, n + 1), slice(0, grams))
-        least = (h & np.uint64(0xFFFFFFFFFE000000)) | np.arange(grams, dtype=np.uint64)  # of equal hashes the leftmost
-        want, have = self.length - g + 1, 1
+    def _block(self, data: bytes, begin: int) -> tuple[np.ndarray, ...]:
+        h = self.powers.hashes(np.frombuffer(data, np.uint8), self.gram)
+        least = (h & np.uint64(0xFFFFFFFFFE000000)) | np.arange(len(h), dtype=np.uint64)  # of equal hashes the leftmost
+        want, have = self.length - self.gram + 1, 1
         while have * 2 <= want:
             least = np.minimum(least[:-have], least[have:])
             have *= 2
@@ -91,31 +89,9 @@ class Segmenter:
         at = (least & np.uint64(0x1FFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.diff(at, prepend=-1))
         windows = np.diff(first, append=len(at))
-        offset = at[first] - first
-        end = first + windows + self.length - 1
-        content = self.two.between(two, first, end, first) ^ mixed(offset.astype(np.uint64) + np.uint64(1))
-        return h[at[first]].view(np.int64), content.view(np.int64), first + begin, windows, offset
-
-    def window_hashes(self, data: bytes) -> np.ndarray:
-        x = np.frombuffer(data, np.uint8)
-        sums = self.two.sums(x)
-        n = len(x) - self.length + 1
-        return self.two.between(sums, slice(0, n), slice(self.length, len(x) + 1), slice(0, n)).view(np.int64)
-
-    def strips(self, data: bytes, offset: int, strip: int) -> tuple[np.ndarray, ...]:
-        """(strip, core, whole, first, windows) of the blocks of a content's windows. Blocks lie at fixed distances from the anchor; core is a hash of the bytes that all windows of a full block
-        have in common, whole one of all bytes of the windows that are there."""
-        x = np.frombuffer(data, np.uint8)
-        sums = self.two.sums(x)
-        n = len(x) - self.length + 1
-        number = np.arange(n) - offset
-        number = np.floor_divide(number, strip)
-        first = np.flatnonzero(np.diff(number, prepend=number[0] - 1))
-        windows = np.diff(first, append=n)
-        begin = number[first] * strip + offset  # of the full block
-        core = self.two.between(sums, begin + strip - 1, begin + self.length, begin + strip - 1)
-        whole = self.two.between(sums, first, first + windows - 1 + self.length, first) ^ mixed(((first - begin) * strip + windows).astype(np.uint64))
-        return number[first], core.view(np.int64), whole.view(np.int64), first, windows
+        end, whole = first + windows + self.length - 1, memoryview(data)
+        content = digests(whole[a:b] for a, b in zip(first.tolist(), end.tolist(), strict=True))
+        return h[at[first]].view(np.int64), content[:, 0], content[:, 1], first + begin, windows, at[first] - first
 
 
 def suffix_array(contents: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -131,13 +107,13 @@ def suffix_array(contents: list[bytes], least: int) -> tuple[np.ndarray, np.ndar
         code = (code << 9) | np.where(inside, np.concatenate([data[k:], np.zeros(k, np.uint8)])[: len(data)].astype(np.int64) + 1, 0)
     ranks, step = [], 7
     rank = _ranks(code)
-    ranks.append((step, rank))
+    ranks.append((step, rank.astype(np.int32)))
     while step < size.max():
         nxt = np.zeros(len(data), np.int64)
         nxt[:-step] = rank[step:]
         rank = _ranks(rank * (len(data) + 2) + np.where(left > step, nxt + 1, 0))
         step *= 2
-        ranks.append((step, rank))
+        ranks.append((step, rank.astype(np.int32)))
     places = np.flatnonzero(left >= least)
     places = places[np.argsort(rank[places], kind="stable")]
     a, b = places[:-1], places[1:]
@@ -212,62 +188,82 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _keyed(df: DataFrame, text_col: str, *more: str) -> DataFrame:
+def _keyed(df: DataFrame, text_col: str, *more) -> DataFrame:
     """node: a digest of the text, the same for all copies of it."""
+    small_batches(df)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(*more, F.unhex(F.md5(text)).alias("node"), text.alias("text"))
+    return df.select(*more, F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32)).alias("node"), text.alias("text"))
 
 
-def repeat_spans(df: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(node, spans array<struct<start, end>>): byte spans, not yet merged, that repeats cover in the texts of digest node."""
+def _frames(names: str, parts: Iterable[tuple]) -> Iterator[pd.DataFrame]:
+    """Frames of about FRAME_ROWS rows from (first column's value, arrays of the other columns)."""
+    held: list[tuple] = []
+    rows = 0
+
+    def frame() -> pd.DataFrame:
+        sizes = [len(p[1]) for p in held]
+        first = np.empty(len(held), object)
+        first[:] = [p[0] for p in held]
+        return pd.DataFrame(dict(zip(names.split(), [np.repeat(first, sizes), *(np.concatenate(x) for x in list(zip(*held, strict=True))[1:])], strict=True)))
+
+    for part in parts:
+        if len(part[1]):
+            held.append(part)
+            rows += len(part[1])
+        if rows >= FRAME_ROWS:
+            yield frame()
+            held, rows = [], 0
+    if held:
+        yield frame()
+
+
+CONTENT = ["c1", "c2"]
+
+
+def _occurrences(df: DataFrame, text_col: str, length: int, gram: int, every: bool) -> tuple[DataFrame, DataFrame]:
+    """(met, found). met (node, anchor, c1, c2, start, windows, offset): the segments whose anchors occur more than once. found (c1, c2, start, end, s1, s2): the strings in the contents that are repeats; a content that has
+    copies is one as a whole. Unless every, contents with copies have no further rows, and overlapping spans of the others are merged, with null digests s1, s2."""
     texts = _keyed(df, text_col)
 
     def cut(batches):
         own = Segmenter(length, gram)
-        for pdf in batches:
-            for node, text in zip(pdf["node"], pdf["text"], strict=True):
-                anchor, content, start, windows, offset = own.segments(text.encode())
-                if len(anchor):
-                    yield pd.DataFrame({"node": [node] * len(anchor), "anchor": anchor, "content": content, "start": start, "windows": windows, "offset": offset})
+        yield from _frames("node anchor c1 c2 start windows offset", ((node, *own.segments(text.encode())) for pdf in batches for node, text in zip(pdf["node"], pdf["text"], strict=True)))
 
     long = texts.filter(F.octet_length("text") >= length)
-    segments = written(long.mapInPandas(_gathered(cut), "node binary, anchor long, content long, start int, windows int, offset int"), "segments")
-    often = segments.groupBy("anchor").count().filter("count > 1").select("anchor")
+    segments = written(long.mapInPandas(cut, "node binary, anchor long, c1 long, c2 long, start int, windows int, offset int"), "segments")
+    often = written(segments.groupBy("anchor").count().filter("count > 1").select("anchor"), "anchors")
     met = written(segments.join(often, "anchor", "left_semi"), "met")
-    # a row for each different content: what only one text has needs a closer look if its anchor has others
-    own = met.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("node", "start")).alias("at"), F.any_value("windows").alias("windows"), F.any_value("offset").alias("offset"))
-    own = written(own, "contents")
-    many = own.groupBy("anchor").agg(F.count("*").alias("contents"), F.min("copies").alias("least")).filter("contents > 1 AND least = 1").select("anchor", "contents")
-    look = written(_with_bytes(texts, own.join(many, "anchor"), length), "look")
-    small = look.filter(F.col("contents") <= GROUP).repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_arrays(length), "anchor long, content long, spans array<struct<start:int,end:int>>")
-    large = _counted(look.filter(F.col("contents") > GROUP), length, gram)
-    parts = written(small.union(large), "parts")
-    whole = own.filter("copies > 1").select("anchor", "content", F.array(F.struct(F.lit(0).alias("start"), (F.col("windows") + (length - 1)).cast("int").alias("end"))).alias("spans"))
-    found = met.select("anchor", "content", "node", "start").join(whole.union(parts), ["anchor", "content"])
-    shifted = F.transform("spans", lambda s: F.struct((s["start"] + F.col("start")).alias("start"), (s["end"] + F.col("start")).alias("end")))
-    return found.select("node", F.explode(shifted).alias("span")).distinct().groupBy("node").agg(F.collect_list("span").alias("spans"))
-
-
-def _gathered(cut):
-    """Joins the small tables of many documents to batches."""
+    # a row for each different content (its bytes give its anchor): what only one text has needs a closer look if its anchor has others
+    own = written(met.groupBy("anchor", *CONTENT).agg(F.count("*").alias("copies"), F.min(F.struct("node", "start")).alias("at"), F.any_value("windows").alias("windows"), F.any_value("offset").alias("offset")), "contents")
+    many = written(own.groupBy("anchor").agg(F.count("*").alias("contents"), F.min("copies").alias("least")).filter((F.col("contents") > 1) & (F.lit(every) | (F.col("least") == 1))).select("anchor", "contents"), "parts")
+    zero = F.lit(0)
+    look = written(_with_bytes(texts, own.join(many, "anchor"), length).select(F.col("anchor").alias("k1"), zero.cast("long").alias("k2"), zero.alias("low"), F.lit(length - gram + 1).alias("high"), "contents", F.col("c1").alias("d1"), F.col("c2").alias("d2"), *CONTENT, zero.alias("first"), "offset", "copies", "bytes"), "look")
+    found = [own.filter("copies > 1").select(*CONTENT, zero.alias("start"), (F.col("windows") + (length - 1)).cast("int").alias("end"), F.col("c1").alias("s1"), F.col("c2").alias("s2"))]
+    pieces = None
+    while True:
+        small = look.filter(F.col("contents") <= GROUP).repartition("k1", "k2").sortWithinPartitions("k1", "k2")
+        inside = written(small.mapInPandas(_arrays(length, every), f"{KEYS}, first int, start int, end int, s1 long, s2 long"), "found")
+        if every and pieces is not None:  # the piece's other owners too
+            inside = inside.drop(*CONTENT, "first").join(pieces, [*PART, "d1", "d2"])
+        found.append(inside.select(*CONTENT, (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("end")).alias("end"), "s1", "s2"))
+        large = look.filter(F.col("contents") > GROUP)
+        if large.isEmpty():
+            break
+        pieces, alike, look = _halved(large, length, every)
+        # without every, what stands in contents with copies is known already
+        owners = pieces.filter(F.lit(every) | (F.col("copies") == 1)).join(alike, [*PART, "d1", "d2"])
+        found.append(owners.select(*CONTENT, F.col("first").alias("start"), (F.col("first") + F.col("size")).alias("end"), F.col("d1").alias("s1"), F.col("d2").alias("s2")))
+    return met, reduce(DataFrame.union, found)
 
-    def run(batches):
-        held, rows = [], 0
-        for pdf in cut(batches):
-            held.append(pdf)
-            rows += len(pdf)
-            if rows > 20000:
-                yield pd.concat(held, ignore_index=True)
-                held, rows = [], 0
-        if held:
-            yield pd.concat(held, ignore_index=True)
 
-    return run
+PART = ["k1", "k2"]
+KEYS = "k1 long, k2 long, d1 long, d2 long, c1 long, c2 long"
 
 
 def _with_bytes(texts: DataFrame, contents: DataFrame, length: int) -> DataFrame:
     """contents with their bytes, from one of the texts they are in."""
-    wanted = contents.groupBy(F.col("at.node").alias("node")).agg(F.collect_list(F.struct("anchor", "content", "contents", "copies", F.col("at.start").alias("start"), "windows", "offset")).alias("wanted"))
+    columns = ["anchor", "c1", "c2", "contents", "copies", "offset"]
+    wanted = written(contents.groupBy(F.col("at.node").alias("node")).agg(F.collect_list(F.struct(*columns, F.col("at.start").alias("start"), "windows")).alias("wanted")), "wanted")
 
     def take(batches):
         for pdf in batches:
@@ -278,69 +274,88 @@ def _with_bytes(texts: DataFrame, contents: DataFrame, length: int) -> DataFrame
                     continue
                 seen.add(bytes(node))
                 data = text.encode()
-                rows += [(w["anchor"], w["content"], w["contents"], w["copies"], w["offset"], data[w["start"] : w["start"] + w["windows"] + length - 1]) for w in wanted]
-            yield pd.DataFrame(rows, columns=["anchor", "content", "contents", "copies", "offset", "bytes"])
+                rows += [(*[w[c] for c in columns], data[w["start"] : w["start"] + w["windows"] + length - 1]) for w in wanted]
+            yield pd.DataFrame(rows, columns=[*columns, "bytes"])
 
-    got = texts.join(wanted, "node").mapInPandas(take, "anchor long, content long, contents long, copies long, offset int, bytes binary")
-    return got.dropDuplicates(["anchor", "content"])
+    got = texts.join(wanted, "node").mapInPandas(take, "anchor long, c1 long, c2 long, contents long, copies long, offset int, bytes binary")
+    return got.dropDuplicates(CONTENT)
 
 
-def _arrays(length: int):
-    """Suffix arrays over whole anchors, as many as ARRAY_BYTES hold; rows come sorted by anchor."""
+def _halved(large: DataFrame, length: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Contents of large parts cut in halves of their windows, each parted by the bytes that its windows share. (pieces: part, digest and owner of every piece, its first window, size and owner's copies; alike: the pieces that are there more
+    than once; look: a row for each different piece of the parts that need a closer look)."""
+
+    def split(batches):
+        for pdf in batches:
+            rows = []
+            for k1, k2, low, high, c1, c2, first, offset, copies, data in zip(*(pdf[c].tolist() for c in ("k1", "k2", "low", "high", "c1", "c2", "first", "offset", "copies", "bytes")), strict=True):
+                data, half, part = bytes(data), (low + high) // 2, f"{k1} {k2} ".encode()
+                nearest = offset - (len(data) - length)  # the last window's distance before the anchor
+                for begin, end in ((low, half), (half, high)):
+                    near, far = max(begin, nearest), min(end - 1, offset)
+                    if near <= far:
+                        shared = data[offset - begin : offset - (end - 1) + length]
+                        rows.append((part + b"%d " % begin + shared, begin, end, c1, c2, first + offset - far, far, copies, data[offset - far : offset - near + length]))
+            out = pd.DataFrame(rows, columns=["shared", "low", "high", "c1", "c2", "first", "offset", "copies", "bytes"])
+            key, own = digests(out.pop("shared")), digests(out["bytes"])
+            yield out.assign(k1=key[:, 0], k2=key[:, 1], d1=own[:, 0], d2=own[:, 1])
+
+    columns = "k1 long, k2 long, d1 long, d2 long, low int, high int, c1 long, c2 long, first int, offset int, copies long, bytes binary"
+    cut = written(large.mapInPandas(split, columns), "halves")
+    pieces = cut.select(*PART, "d1", "d2", *CONTENT, "first", F.octet_length("bytes").alias("size"), "copies")
+    one = F.any_value(F.struct(*CONTENT, "low", "high", "first", "offset", "bytes")).alias("one")
+    different = written(cut.groupBy(*PART, "d1", "d2").agg(F.sum("copies").alias("copies"), one), "pieces")
+    parts = written(different.groupBy(*PART).agg(F.count("*").alias("contents"), F.min("copies").alias("least")).filter((F.col("contents") > 1) & (F.lit(every) | (F.col("least") == 1))).select(*PART, "contents"), "parts")
+    look = different.join(parts, PART).select(*PART, "one.low", "one.high", "contents", "d1", "d2", "one.c1", "one.c2", "one.first", "one.offset", "copies", "one.bytes")
+    return pieces, different.filter("copies > 1").select(*PART, "d1", "d2"), written(look, "look")
+
+
+def _arrays(length: int, every: bool) -> Callable:
+    """Suffix arrays over whole parts, as many as ARRAY_BYTES hold; rows come sorted by part."""
 
     def solve(rows):
-        spans = covered(maximal_repeats([r[3] for r in rows], length), len(rows))
-        keep = [(r[0], r[1], [{"start": a, "end": b} for a, b in s]) for r, s in zip(rows, spans, strict=True) if s and r[2] == 1]
-        return pd.DataFrame(keep, columns=["anchor", "content", "spans"])
+        contents = [r[-1] for r in rows]
+        groups = maximal_repeats(contents, length)
+        if every:
+            keys = digests(contents[which[0]][starts[0] : starts[0] + n] for n, which, starts in groups)
+            at = [(c, s, s + n, *key) for (n, which, starts), key in zip(groups, keys.tolist(), strict=True) for c, s in zip(which.tolist(), starts.tolist(), strict=True)]
+        else:
+            at = [(c, a, b, None, None) for c, spans in enumerate(covered(groups, len(rows))) if rows[c][-2] == 1 for a, b in spans]
+        out = pd.DataFrame([(*rows[c][:7], *x) for c, *x in at], columns=["k1", "k2", "d1", "d2", "c1", "c2", "first", "start", "end", "s1", "s2"])
+        return out.astype({"s1": "Int64", "s2": "Int64"})
 
     def run(batches):
         held, size = [], 0
         for pdf in batches:
-            for row in zip(pdf["anchor"].tolist(), pdf["content"].tolist(), pdf["copies"].tolist(), map(bytes, pdf["bytes"]), strict=True):
-                if size > ARRAY_BYTES and row[0] != held[-1][0]:
+            for row in zip(*(pdf[c].tolist() for c in ("k1", "k2", "d1", "d2", "c1", "c2", "first", "copies")), map(bytes, pdf["bytes"]), strict=True):
+                if size > ARRAY_BYTES and row[:2] != held[-1][:2]:
                     yield solve(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3])
+                size += len(row[-1])
         if held:
             yield solve(held)
 
     return run
 
 
-def _counted(look: DataFrame, length: int, gram: int) -> DataFrame:
-    """The same for anchors of very many contents: what they share is counted by hash, blocks of windows first."""
-    strip = min(STRIP, length)
-
-    def blocks(batches):
-        own = Segmenter(length, gram)
-        for pdf in batches:
-            for anchor, content, copies, offset, data in zip(pdf["anchor"], pdf["content"], pdf["copies"], pdf["offset"], pdf["bytes"], strict=True):
-                number, core, whole, first, windows = own.strips(bytes(data), offset, strip)
-                yield pd.DataFrame({"anchor": anchor, "content": content, "copies": copies, "strip": number, "core": core, "whole": whole, "first": first, "windows": windows})
-
-    rows = written(look.mapInPandas(_gathered(blocks), "anchor long, content long, copies long, strip int, core long, whole long, first int, windows int"), "strips")
-    part = ["anchor", "strip", "core"]
-    wholes = rows.groupBy(*part, "whole").agg(F.count("*").alias("n"), F.min(F.struct("content", "first", "windows", "copies")).alias("one"))
-    span = F.struct(F.col("first").alias("start"), (F.col("first") + F.col("windows") + (length - 1)).cast("int").alias("end"))
-    alike = rows.filter("copies = 1").join(wholes.filter("n > 1").select(*part, "whole"), [*part, "whole"], "left_semi").select("anchor", "content", span.alias("span"))
-    # blocks of one core that differ as a whole: their windows, one by one, for one content of each whole
-    unlike = wholes.join(wholes.groupBy(*part).count().filter("count > 1").select(*part), part, "left_semi").select("anchor", "n", "one.*", "strip")
-    closer = look.select("anchor", "content", "bytes").join(unlike, ["anchor", "content"])
-    cut = F.expr(f"substring(bytes, first + 1, windows + {length - 1})")
-
-    def windows(batches):
-        own = Segmenter(length, gram)
-        for pdf in batches:
-            for anchor, content, lone, first, data in zip(pdf["anchor"], pdf["content"], pdf["lone"], pdf["first"], pdf["part"], strict=True):
-                h = own.window_hashes(bytes(data))
-                yield pd.DataFrame({"anchor": anchor, "content": content, "lone": lone, "start": first + np.arange(len(h)), "hash": h})
-
-    lone = ((F.col("n") == 1) & (F.col("copies") == 1)).alias("lone")
-    single = written(closer.select("anchor", "content", lone, "first", cut.alias("part")).mapInPandas(_gathered(windows), "anchor long, content long, lone boolean, start int, hash long"), "windows")
-    twice = single.groupBy("anchor", "hash").count().filter("count > 1").select("anchor", "hash")
-    hit = single.filter("lone").join(twice, ["anchor", "hash"], "left_semi").select("anchor", "content", F.struct("start", (F.col("start") + length).cast("int").alias("end")).alias("span"))
-    return alike.union(hit).groupBy("anchor", "content").agg(F.collect_list("span").alias("spans"))
+def repeat_spans(df: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(node, spans array<struct<start, end>>): byte spans, not yet merged, that repeats cover in the texts of digest node."""
+    met, found = _occurrences(df, text_col, length, gram, every=False)
+    at = met.select(*CONTENT, "node", F.col("start").alias("base")).join(found, CONTENT)
+    span = F.struct((F.col("base") + F.col("start")).alias("start"), (F.col("base") + F.col("end")).alias("end"))
+    return written(at.select("node", span.alias("span")).distinct().groupBy("node").agg(F.collect_list("span").alias("spans")), "spans")
+
+
+def repeat_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(string binary: a digest, size, id, start): a row for every occurrence of each maximal repeat group, rows of equal texts included. A group's string is maximal among the windows that share an anchor, or a part of one: longer
+    repeats are groups that overlap, and together the groups cover all that occurs more than once."""
+    met, found = _occurrences(df, text_col, length, gram, every=True)
+    at = met.select(*CONTENT, "node", F.col("start").alias("base")).join(found, CONTENT)
+    key = F.unhex(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("s1", "s2")]))
+    groups = at.select(key.alias("string"), (F.col("end") - F.col("start")).alias("size"), "node", (F.col("base") + F.col("start")).alias("start")).distinct()
+    rows = _keyed(df, text_col, F.col(id_col).alias("id")).select("id", "node")
+    return written(groups, "groups").join(rows, "node").select("string", "size", F.col("id").alias(id_col), "start")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep: tuple[str, ...] = (), texts: bool = False) -> DataFrame:

@@ -78,6 +78,43 @@ def test_small_windows_against_brute_force(spark, monkeypatch, group):
     assert run(df, 40, 8) == dict(enumerate(brute(texts, 40)))
 
 
+def test_equal_sums_are_not_equal_strings(spark):
+    """Strings over a Thue-Morse word have equal polynomial hashes modulo 2^64 for every odd base."""
+    word = "".join("ab"[i.bit_count() & 1] for i in range(256))
+    other = word.translate(str.maketrans("ab", "ba"))
+    r = random.Random(3)
+    middle = "".join(r.choice("cdefghijklmnop") for _ in range(64))
+    df = spark.createDataFrame([(1, word + middle + other, 0), (2, other + middle + word, 0)], "doc_id long, text string, n_bytes int")
+    assert run(df, 400, 64) == dict(enumerate(brute([word + middle + other, other + middle + word], 400), 1))
+    assert all(x[1] == 0 for x in run(df, 400, 64).values())
+
+
+@pytest.mark.parametrize("group", [1000, 3])
+def test_groups_hold_all_occurrences(spark, monkeypatch, group):
+    monkeypatch.setattr(sx, "GROUP", group)
+    texts = [*some_texts(random.Random(7), 60, 40), None, "", "ab" * 200, "q" * 100]
+    texts += texts[:5]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    data = [(t or "").encode() for t in texts]
+    found = {}
+    for r in sx.repeat_groups(df, length=40, gram=8).collect():
+        found.setdefault((bytes(r.string), r.size), set()).add((r.doc_id, r.start))
+    strings = {}
+    for (key, size), at in found.items():
+        own = {data[i][s : s + size] for i, s in at}
+        assert len(at) > 1 and len(own) == 1 and len(max(own)) == size >= 40
+        strings[max(own)] = at
+    assert len(strings) == len(found)
+    covered = [set() for _ in data]
+    for string, at in strings.items():
+        for i, s in at:
+            covered[i].update(range(s, s + len(string)))
+    assert [len(c) for c in covered] == [x[1] for x in brute(texts, 40)]
+    if group == 1000:  # all occurrences there are
+        for string, at in strings.items():
+            assert at == {(i, s) for i, d in enumerate(data) for s in range(len(d) - len(string) + 1) if d[s : s + len(string)] == string}
+
+
 def test_documents_against_brute_force(spark):
     rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{DIR}/documents.parquet").collect())
     want = {i: x for (i, _), x in zip(rows, brute([t for _, t in rows], 400), strict=True)}
@@ -98,5 +135,5 @@ def test_blocks(monkeypatch):
     windows = len(data) - 39
     for block in (1 << 20, 1000):
         monkeypatch.setattr(sx, "BLOCK", block)
-        _, _, start, n, _ = sx.Segmenter(40, 8).segments(data)
+        _, _, _, start, n, _ = sx.Segmenter(40, 8).segments(data)
         assert start[0] == 0 and n.sum() == windows and (start[1:] == start[:-1] + n[:-1]).all()
