@@ -4,6 +4,8 @@ The distinct pre-tokens of a block of documents form a trie of bytes. Level by l
 its forward score once: the best log-probability of a unigram segmentation of the prefix, and the tokens in it. Walkers run the
 vocabulary's own trie alongside, from every node where a token may begin. Where a pre-token ends, the count is stored.
 
+A pre-token of more than CHAIN bytes shares next to nothing, so it gets the same scores along its own chain, without a round for every byte.
+
 A token's log-probability falls as the logarithm of its rank; single bytes, the fallback, have the least. Of segmentations that score alike the one with
 fewest tokens counts. Defined results: a null or empty text has no tokens; texts of any length are counted whole; extra input columns are ignored;
 repeated rows count alike.
@@ -20,10 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molframe.llm.bpe import BLOCK_CHARS, NONE, RANKS, REMEMBERED, PairTable, codec
-from molframe.llm.rows import back, sent, sent_type
+from molframe.llm.rows import back, sent, sent_type, small_batches
 from molframe.session import table
 
 
+#: Bytes of a pre-token that goes through the trie, at most; starts of tokens in a long one that are looked up at once.
+CHAIN, STARTS = 1000, 1 << 16
+
+
 def unigram_scores(ranks: dict[bytes, int]) -> dict[bytes, float]:
     floor = -float(np.log(len(ranks))) - 1
     return {t: floor if len(t) == 1 else -float(np.log(r + 1)) for t, r in ranks.items()}
@@ -48,8 +54,10 @@ class Counter:
 
     def counts(self, words: list[bytes]) -> np.ndarray:
         """Tokens in the best segmentation of each word."""
-        order = sorted(range(len(words)), key=words.__getitem__)
         out = np.zeros(len(words), np.int64)
+        for i in (i for i, w in enumerate(words) if len(w) > CHAIN):
+            out[i] = self.chain(words[i])
+        order = sorted((i for i, w in enumerate(words) if len(w) <= CHAIN), key=words.__getitem__)
         size = np.array([len(words[i]) for i in order], np.int64)
         flat = np.frombuffer(b"".join(words[i] for i in order), np.uint8)
         start = np.cumsum(size) - size
@@ -89,6 +97,29 @@ class Counter:
             tokens = np.minimum.reduceat(np.where(here == best[at], from_tokens + 1, np.iinfo(np.int64).max), first)
             node, depth = child, depth + 1
 
+    def chain(self, word: bytes) -> int:
+        """The same for one long word: the tokens at all starts of a block are looked up together, then scores go along the word."""
+        flat, n = np.frombuffer(word, np.uint8).astype(np.int32), len(word)
+        best, tokens = [-np.inf] * (n + 1), [0] * (n + 1)
+        best[0] = 0.0
+        for k in range(0, n, STARTS):
+            at, state, depth, found = np.arange(k, min(n, k + STARTS)), np.zeros(min(n - k, STARTS), np.int32), 0, []
+            while len(at):
+                state = self.step.merge(state, flat[at + depth])
+                on = state != NONE
+                at, state, depth = at[on], state[on], depth + 1
+                token = ~np.isnan(self.score[state])
+                found.append((at[token], np.full(np.count_nonzero(token), depth), self.score[state[token]]))
+                inside = at + depth < n
+                at, state = at[inside], state[inside]
+            start, size, score = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(start, kind="stable")
+            for a, b, v in zip(start[order].tolist(), (start + size)[order].tolist(), score[order].tolist(), strict=True):
+                here, count = best[a] + v, tokens[a] + 1
+                if here > best[b] or (here == best[b] and count < tokens[b]):
+                    best[b], tokens[b] = here, count
+        return tokens[n]
+
     def learn(self, pieces: set[str]) -> None:
         new = [p for p in pieces if p not in self.known]
         self.known.update(zip(new, self.counts([p.encode() for p in new]).tolist(), strict=True))
@@ -102,6 +133,7 @@ def _counter(ranks_path: str, pattern: str) -> Counter:
 def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(id, n_pretokens, n_tokens) of every whole text."""
     where = ranks_path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
+    small_batches(df)
 
     def run(batches):
         own, split = _counter(*where), codec(*where).split
