@@ -23,12 +23,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molframe.llm.rows import back, sent, sent_type
+from molframe.llm.rows import back, sent, sent_type, small_batches
 from molframe.session import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Characters of text whose pre-tokens are held at once, and pre-tokens remembered by a worker.
-BLOCK_CHARS, REMEMBERED = 2_000_000, 300_000
+BLOCK_CHARS, REMEMBERED = 2_000_000, 100_000
 #: Rows wider than this are merged alone, all occurrences of the minimum pair in a round.
 WIDE = 128
 
@@ -217,6 +217,7 @@ def _where(ranks_path: str | None, pattern: str | None) -> tuple[str, str]:
 def bpe_encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None, keep: tuple[str, ...] = (), decode: bool = False) -> DataFrame:
     """(id, the columns of keep, n_tokens long, ids array<int>) of every text; with decode also decoded, the text that the ids give."""
     where = _where(ranks_path, pattern)
+    small_batches(df)
 
     def run(batches):
         own = codec(*where)
@@ -249,6 +250,7 @@ def bpe_decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", rank
 def bpe_round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Encodes, decodes the ids and digests both, in one pass without moving the ids: (id, n_tokens, ids_sha256, decoded_sha256)."""
     where = _where(ranks_path, pattern)
+    small_batches(df)
 
     def run(batches):
         own = codec(*where)

@@ -20,11 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from molframe.llm.rows import back, dealt, held_out, sent, sent_type
+from molframe.llm.rows import back, dealt, held_out, sent, sent_type, small_batches
 from molframe.session import table
 
 WORDS = re.compile(r"[^\W\d_]+")
-TRAIN_ROWS, SEED = 150, 7
+TRAIN_ROWS, ALL_ROWS, SEED = 150, 15_000, 7
 #: Words of a training row that are used at most, spread over the whole row.
 ROW_WORDS = 600
 BUCKETS, AFFIX, GRAMS = 1 << 16, 4, (2, 3)
@@ -285,13 +285,17 @@ class Reader:
         return lang, score, parts
 
 
-def train_tagger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> Tagger:
-    """Learns from rows with text and language that aren't held out: of each language the train_rows least by a hash of the id."""
+def train_tagger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, all_rows: int = ALL_ROWS) -> Tagger:
+    """Learns from rows with text and language that aren't held out: of each language the train_rows least by a hash of the id, fewer where that would make more than all_rows. More languages than all_rows are an error."""
     rows = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(~held_out("id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    languages = rows.select("lang").distinct().count()
+    if languages > all_rows:
+        raise ValueError(f"{languages} languages; at most {all_rows} rows are learned from")
+    train_rows = min(train_rows, all_rows // max(1, languages))
     place = dealt("id", SEED)
     ids = rows.select("lang", F.coalesce(place, F.lit(0)).alias("place"), "id").withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("place", "id"))).filter(F.col("nth") <= train_rows)
     ids = ids.select(F.col("lang").alias("l"), F.col("id").alias("i")).distinct()
-    got = rows.join(F.broadcast(ids), (F.col("lang") == F.col("l")) & F.col("id").eqNullSafe(F.col("i")), "left_semi")  # at most train_rows ids a language
+    got = rows.join(F.broadcast(ids), (F.col("lang") == F.col("l")) & F.col("id").eqNullSafe(F.col("i")), "left_semi")  # at most all_rows ids
     got = got.groupBy("lang", "id").agg(F.min("text").alias("text")).orderBy("lang", "id").collect()
     return Tagger(sorted({r["lang"] for r in got})).fit([(r["text"], r["lang"]) for r in got])
 
@@ -299,6 +303,8 @@ def train_tagger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def tag_languages(df: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, n_words, shares array<double> of the languages in order of tagger.labels, n_switches: neighbours with other best labels)."""
 
+    small_batches(df)
+
     def run(batches):
         reader = Reader(tagger)
         for pdf in batches:

@@ -3,7 +3,7 @@
 A document is its set of five-word shingles. In ProbMinHash every shingle sends a Poisson process of arrivals, at the rate of its
 weight, to random slots; a slot keeps the shingle that arrived first, and a shingle ends once its next arrival comes after all slots' times. Two documents agree in a
 slot with their probability Jaccard similarity. All shingles have weight 1 here, however often they occur, so that this is the Jaccard similarity of the sets, by which links are decided.
-Bands of slots make candidates; those are verified by the exact Jaccard similarity, and the links found are joined into classes.
+Bands of slots make candidates; those are verified by the Jaccard similarity of the whole sets, of 32-bit hashes of shingles, and the links found are joined into classes.
 
 Documents with equal sets are one node from the start. In a bucket, every two nodes that may be alike are compared, unless they are in one class already. Rounds of hubs come first: each
 node is paired with two hubs of its bucket, the least node and the one with the most links so far, which then leave that bucket, as their pairs are settled. Once rounds no longer pay, all pairs that are left are compared.
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molframe.llm.graph import components
-from molframe.llm.rows import sent, sent_type
+from molframe.llm.rows import sent, sent_type, small_batches
 from molframe.session import table, written
 
 SHINGLE, LEAST = 5, 0.8
@@ -34,7 +34,7 @@ BANDS, BAND_SLOTS = 32, 4
 #: ROUNDS of hubs are run at least before all pairs that are left are compared, in cells of a side of about CELL nodes.
 SLOTS, ROUNDS, CELL = BANDS * BAND_SLOTS, 3, 500
 #: Words whose shingles are held at once; distinct words whose hashes a worker remembers.
-BLOCK_WORDS, REMEMBERED = 150_000, 400_000
+BLOCK_WORDS, REMEMBERED = 100_000, 100_000
 _NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -106,6 +106,8 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, node binary: digest of the set, n, bands array<long>, shingles array<int>) of every whole text."""
 
+    small_batches(df)
+
     def run(batches):
         own = Shingler()
         for pdf in batches:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molframe.llm.rows import back, sent, sent_type
+from molframe.llm.rows import back, sent, sent_type, small_batches
 from molframe.session import table
 
 UNIT, RATE = 192, 8000
@@ -156,6 +156,8 @@ def features(streams: dict[int, Stream], bad: int) -> tuple[bytes, str]:
 def ogg_encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, media binary) of every text."""
 
+    small_batches(df)
+
     def run(batches):
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["id"], "media": [mux(payload_of(t)[1]) for t in pdf["text"]]})
@@ -167,6 +169,8 @@ def ogg_encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def ogg_packets(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", rate: int = RATE) -> DataFrame:
     """(id, serial, packet, seconds, data, bad_pages): a row for each packet of each logical stream."""
 
+    small_batches(df)
+
     def run(batches):
         for pdf in batches:
             for key, media in zip(pdf["id"], pdf["media"], strict=True):
@@ -181,6 +185,8 @@ def ogg_packets(df: DataFrame, id_col: str = "doc_id", media_col: str = "media",
 def ogg_round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stores every text, reads the stored bytes back and digests both; a row for each input row."""
 
+    small_batches(df)
+
     def run(batches):
         for pdf in batches:
             rows = []

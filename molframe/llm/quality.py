@@ -4,19 +4,21 @@ Every byte has a code of CODE numbers; learned filters of WIDTH bytes slide by S
 max-pooled over chunks of CHUNK bytes that overlap by half, a logistic unit combines the pooled values, averaged over all
 chunks, into one probability.
 
-Learned from at most `train_rows` labelled rows (the bound of what reaches the driver), dealt by a hash of the id. Defined
+Learned from at most `train_rows` labelled rows (the bound of what reaches the driver), dealt by a hash of the id; in every epoch up to `train_chunks` chunks of each row, drawn anew. Scores are always of whole texts. Defined
 results: a null text scores as an empty one; rows without a label are scored like others; labels that contradict each other for an id count
 as their rounded mean; without any label the score is 0.5; extra input columns are ignored; repeated rows score alike.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molframe.llm.rows import back, dealt, held_out, sent, sent_type
+from molframe.llm.rows import dealt, held_out, small_batches
 from molframe.session import table
 
 CODE, STRIDE, CHUNK, FILTERS = 8, 8, 512, 32
@@ -27,7 +29,7 @@ TRAIN_ROWS, TRAIN_CHUNKS, SEED = 1500, 6, 11
 BATCH, UPDATES, LEAST_EPOCHS, MOST_EPOCHS = 32, 600, 10, 25
 THRESHOLD = 0.7
 #: Bytes whose activations are held at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 class Network:
@@ -72,8 +74,8 @@ class Network:
     def score(self, docs: list[bytes]) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.pooled(docs) @ self.out + self.base).astype(np.float64)))
 
-    def fit(self, docs: list[bytes], labels: list[int], seed: int = SEED) -> Network:
-        """Adam on the log loss over up to TRAIN_CHUNKS chunks of each document, drawn anew in every epoch."""
+    def fit(self, docs: list[bytes], labels: list[int], seed: int = SEED, train_chunks: int = TRAIN_CHUNKS) -> Network:
+        """Adam on the log loss over up to `train_chunks` chunks of each document, drawn anew in every epoch."""
         r = np.random.default_rng(seed)
         epochs = min(MOST_EPOCHS, max(LEAST_EPOCHS, UPDATES * BATCH // max(1, len(docs))))
         y = np.array(labels, np.float32)
@@ -89,7 +91,7 @@ class Network:
                 cut, of = [], []
                 for row, i in enumerate(batch):
                     n = max(1, -(-len(docs[i]) // HALF) - 1)
-                    for c in r.choice(n, min(n, TRAIN_CHUNKS), replace=False):
+                    for c in r.choice(n, min(n, train_chunks), replace=False):
                         cut.append(docs[i][c * HALF : c * HALF + CHUNK].ljust(CHUNK, b"\0"))
                         of.append(row)
                 of = np.array(of)
@@ -126,31 +128,35 @@ def training_rows(df: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     return rows.groupBy("id", "label").agg(F.min("text").alias("text")).orderBy("id").collect()
 
 
-def train_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS) -> Network | None:
+def train_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS, train_chunks: int = TRAIN_CHUNKS) -> Network | None:
     rows = training_rows(df, labels, id_col, text_col, label_col, train_rows)
-    return Network().fit([(r["text"] or "").encode() for r in rows], [r["label"] for r in rows]) if rows else None
+    return Network().fit([(r["text"] or "").encode() for r in rows], [r["label"] for r in rows], train_chunks=train_chunks) if rows else None
 
 
-def score_quality(df: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, the columns of keep, score double) of every row."""
+def scored_by(network: Network | None, text: Column) -> Column:
+    """The score of a text. Only texts go to Python and only scores come back."""
 
-    def run(batches):
-        for pdf in batches:
-            docs = [(t or "").encode() for t in pdf["text_"]]
-            score = np.empty(len(docs))
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            docs = [(t or "").encode() for t in texts]
+            out = np.full(len(docs), 0.5)
             start = held = 0
             for i, d in enumerate(docs):
                 held += len(d) + HALF
-                if held >= 8 * BLOCK or i == len(docs) - 1:
-                    score[start : i + 1] = network.score(docs[start : i + 1]) if network else 0.5
+                if held >= BLOCK or i == len(docs) - 1:
+                    if network:
+                        out[start : i + 1] = network.score(docs[start : i + 1])
                     start, held = i + 1, 0
-            yield (pdf if text_col in keep else pdf.drop(columns="text_")).assign(score_=score)
+            yield pd.Series(out)
+
+    return score.asNondeterministic()(text)  # else the optimizer may score twice
 
-    named = {id_col: "id_", text_col: "text_"} | {c: f"keep_{i}" for i, c in enumerate(keep) if c not in (id_col, text_col)}
-    chosen = df.select(*[sent(df, c).alias(n) for c, n in named.items()])
-    shape = ", ".join(f"{n} {sent_type(df, c)}" for c, n in named.items() if n != "text_" or text_col in keep)
-    out = chosen.mapInPandas(run, f"{shape}, score_ double")
-    return out.select(back(df, id_col, "id_"), *[back(df, c, named[c]) for c in keep if c not in (id_col, "score")], F.col("score_").alias("score"))
+
+def score_quality(df: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, the columns of keep, score double) of every row."""
+    small_batches(df)
+    return df.select(*dict.fromkeys([id_col, *keep]), scored_by(network, F.col(text_col)).alias("score"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
