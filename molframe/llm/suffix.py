@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molframe.llm.neardup import mixed
-from molframe.llm.rows import back, sent, sent_type, small_batches
+from molframe.llm.rows import small_batches
 from molframe.session import table, written
 
 LENGTH, GRAM = 400, 64
@@ -358,30 +358,47 @@ def repeat_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return written(groups, "groups").join(rows, "node").select("string", "size", F.col("id").alias(id_col), "start")
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep: tuple[str, ...] = (), texts: bool = False) -> DataFrame:
-    """(id, the columns of keep, n_bytes, n_removed, spans array<struct<start, end>> merged, kept_sha256, and with texts: kept, the remaining bytes as text, those cut within a character left out)."""
-    named = {id_col: "id"} | {c: f"keep_{i}" for i, c in enumerate(keep) if c != id_col}
-    rows = _keyed(df, text_col, *[sent(df, c).alias(n) for c, n in named.items()])
-    rows = rows.join(repeat_spans(df, text_col, length, gram), "node", "left").drop("node")
+CUT = "n_removed long, spans array<struct<start:int,end:int>>, kept_sha256 string, kept string"
 
-    def run(batches):
-        for pdf in batches:
+
+def _without(texts: bool) -> Callable:
+    """A column function of text and spans, both null for texts that keep all: what is left, as CUT says."""
+
+    @F.pandas_udf(CUT)
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for text_column, spans_column in batches:
             out = []
-            for text, spans in zip(pdf["text"], pdf["spans"], strict=True):
-                data = text.encode()
-                gone = merged([(s["start"], s["end"]) for s in spans]) if spans is not None else []
-                kept, at = [], 0
-                for a, b in gone:
-                    kept.append(data[at:a])
-                    at = b
+            for text, spans in zip(text_column, spans_column, strict=True):
+                if spans is None:
+                    out.append((None, None, None, None))
+                    continue
+                data, kept, at = text.encode(), [], 0
+                gone = merged([(s["start"], s["end"]) for s in spans])
+                for x, y in gone:
+                    kept.append(data[at:x])
+                    at = y
                 left = b"".join([*kept, data[at:]])
-                out.append((len(data), len(data) - len(left), [{"start": a, "end": b} for a, b in gone], hashlib.sha256(left).hexdigest(), left.decode(errors="ignore") if texts else None))
-            got = pd.DataFrame(out, columns=["n_bytes", "n_removed", "spans", "kept_sha256", "kept"])
-            yield pd.concat([pdf.drop(columns=["text", "spans"]).reset_index(drop=True), got], axis=1)
+                out.append((len(data) - len(left), [{"start": x, "end": y} for x, y in gone], hashlib.sha256(left).hexdigest(), left.decode(errors="ignore") if texts else None))
+            yield pd.DataFrame(out, columns=["n_removed", "spans", "kept_sha256", "kept"]).astype({"n_removed": "Int64"})
+
+    return cut.asNondeterministic()  # else the optimizer may cut once for each part of the answer
 
-    shape = ", ".join(f"{n} {sent_type(df, c)}" for c, n in named.items())
-    out = rows.mapInPandas(run, f"{shape}, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept_sha256 string, kept string")
-    return out.select(*[back(df, c, n) for c, n in named.items()], "n_bytes", "n_removed", "spans", "kept_sha256", *["kept"][: int(texts)])
+
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep: tuple[str, ...] = (), texts: bool = False) -> DataFrame:
+    """(id, the columns of keep, n_bytes, n_removed, spans array<struct<start, end>> merged, kept_sha256, and with texts: kept, the remaining bytes as text, those cut within a character left out). Only texts that lose bytes go to Python."""
+    named = {id_col: "id_"} | {c: f"keep_{i}" for i, c in enumerate(keep) if c != id_col}
+    rows = _keyed(df, text_col, *[F.col(c).alias(n) for c, n in named.items()])
+    rows = rows.join(repeat_spans(df, text_col, length, gram).withColumnRenamed("spans", "found_"), "node", "left")
+    rows = rows.withColumn("cut_", _without(texts)(F.when(F.col("found_").isNotNull(), F.col("text")), F.col("found_")))
+    whole = F.array().cast("array<struct<start:int,end:int>>")
+    return rows.select(
+        *[F.col(n).alias(c) for c, n in named.items()],
+        F.octet_length("text").cast("long").alias("n_bytes"),
+        F.coalesce("cut_.n_removed", F.lit(0).cast("long")).alias("n_removed"),
+        F.coalesce("cut_.spans", whole).alias("spans"),
+        F.coalesce("cut_.kept_sha256", F.sha2(F.col("text").cast("binary"), 256)).alias("kept_sha256"),
+        *[F.when(F.col("found_").isNull(), F.col("text")).otherwise(F.col("cut_.kept")).alias("kept")][: int(texts)],
+    )
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
