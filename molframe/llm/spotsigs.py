@@ -25,8 +25,8 @@ ANCHORS = (
     "al como con del el en la las lo los no para por se su una y"
 ).split()
 CHAIN = 2
-#: Cells of equal width that ids are counted in, and rows of a range of neighbouring cells.
-CELLS, RANGE_ROWS = 1 << 16, 4000
+#: Ranges that ids are dealt to, at most, and rows of a range where that allows it.
+RANGES, RANGE_ROWS = 1 << 14, 4000
 
 
 def let(value: Column, body) -> Column:
@@ -75,24 +75,26 @@ def length_part(signatures: Column, least: float) -> Column:
     return F.floor(F.log(F.greatest(F.size(signatures), F.lit(1))) / F.lit(math.log(1 / least))).cast("int")
 
 
+def range_of(value: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds are at or below the value, by halving."""
+    table_ = F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))]) if bounds else F.array().cast("array<int>")
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table_, at + step - 1) <= value, at + step).otherwise(at))
+
+
 def with_next(df: DataFrame, id_col: str, text_col: str, extra: dict | None = None) -> DataFrame:
     """(id, text, extra columns computed from text, next_text and next_<extra> of the row with the next id). One exchange of the texts.
 
-    Ids are dealt to ranges, of about RANGE_ROWS rows, by their counts in cells of equal width. Each range also gets the first rows of the next range
-    (the last range those of the first), so that a window inside the range finds every row's successor."""
+    Ids are dealt to ranges of about equally many rows, by approximate quantiles. Each range also gets the first rows of the next range
+    (the last range those of the first), so that a window inside the range finds every row's successor. Rows of one id, and those without, stay together."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    low, high, n = rows.agg(F.min("id"), F.max("id"), F.count("*")).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // CELLS))
-    cell = F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.floor((F.col("id") - F.lit(low or 0)) / F.lit(width))).cast("int")
-    cells = rows.select("id", cell.alias("cell")).groupBy("cell").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    upto = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)  # CELLS + 1 rows at most
-    cells = cells.select("cell", "first", F.floor((F.sum("n").over(upto) - F.col("n")) / F.lit(RANGE_ROWS)).cast("int").alias("range"))
-    firsts = cells.groupBy("range").agg(F.min("cell").alias("first_cell"), F.min_by("first", "cell").alias("first"))
+    parts = min(RANGES, -(-rows.count() // RANGE_ROWS))
+    bounds = rows.select(F.percentile_approx("id", [k / parts for k in range(1, parts)], 8 * parts)).first()[0] if parts > 1 else []
+    rows = rows.withColumn("range", F.when(F.col("id").isNull(), -1).otherwise(range_of(F.col("id"), sorted(set(bounds or [])))))
     before = Window.orderBy("range")
-    firsts = firsts.select("first_cell", "first", F.lag("range").over(before).alias("into"), F.max("range").over(Window.partitionBy()).alias("last"))
-    firsts = firsts.select("first_cell", "first", F.coalesce("into", "last").alias("into"), F.col("into").isNull().cast("int").alias("wrap"))
-    dealt = rows.withColumn("cell", cell).join(F.broadcast(cells.select("cell", "range")), "cell")  # at most CELLS + 1 rows
-    dealt = dealt.join(F.broadcast(firsts), (F.col("cell") == F.col("first_cell")) & F.col("id").eqNullSafe(F.col("first")), "left")
+    firsts = rows.groupBy("range").agg(F.min("id").alias("first")).select("range", "first", F.lag("range").over(before).alias("into"), F.max("range").over(Window.partitionBy()).alias("last"))
+    firsts = firsts.select(F.col("range").alias("first_range"), "first", F.coalesce("into", "last").alias("into"), F.col("into").isNull().cast("int").alias("wrap"))
+    dealt = rows.join(F.broadcast(firsts), (F.col("range") == F.col("first_range")) & F.col("id").eqNullSafe(F.col("first")), "left")  # RANGES + 1 rows at most
     own = F.struct(F.col("range").alias("range"), F.lit(0).alias("wrap"), F.lit(False).alias("guest"))
     guest = F.when(F.col("into").isNotNull(), F.struct(F.col("into").alias("range"), F.col("wrap").alias("wrap"), F.lit(True).alias("guest")))
     dealt = dealt.select("id", "text", F.explode(F.array_compact(F.array(own, guest))).alias("at")).select("id", "text", "at.*").repartition("range")
