@@ -1,11 +1,12 @@
 """Grouping templates by position and UMI: identity, edit, adjacency and paired.
 
-All work is on the distinct UMIs of a position group with their counts, never on reads. A group of up to LOCAL distinct UMIs is clustered in one task;
+All work is on the distinct UMIs of a position group with their counts, never on reads. A group of one UMI needs none; groups of up to LOCAL distinct UMIs are clustered many to a task;
 larger ones as a distributed fixpoint of least labels over edges found by equal chunks (the pigeonhole rule), with the same result.
 
 Rank in a group: count descending, then UMI ascending. identity: each UMI for itself. edit: connected components of at most k mismatches.
 adjacency: a parent reaches a child within k mismatches whose count is at most count div 2 + 1; a UMI's label is the least rank that reaches it. paired: adjacency of
-dual UMIs in canonical form, where a match may be in either orientation.
+dual UMIs in canonical form, where a match may be in either orientation. UMIs with other letters than ACGT, or more than 32 of them, are molecules for themselves, after the others of their group
+(in the order of their text); the others of a group must be of one length.
 """
 
 from __future__ import annotations
@@ -20,46 +21,78 @@ from molframe.operators.numbering import running_offsets
 from molframe.session import written
 
 LOCAL = 4000
+#: Letters of a UMI that can be clustered, at most.
+WIDEST = 32
 
 
 def _codes(umis: list[str]) -> np.ndarray:
     width = max(map(len, umis))
-    return np.array([list(u.encode().ljust(width, b"\0")) for u in umis], np.uint8).reshape(len(umis), width)
+    return np.frombuffer("".join(u.ljust(width, "\0") for u in umis).encode("latin-1", "replace"), np.uint8).reshape(len(umis), width)
+
+
+def _near(x: np.ndarray, other: np.ndarray, k: int) -> np.ndarray:
+    """Which pairs of rows differ in at most k places."""
+    out = np.zeros((len(x), len(other)), np.uint8)
+    for j in range(x.shape[1]):
+        out += x[:, j, None] != other[None, :, j]
+    return out <= k
 
 
 def local_labels(umis: list[str], counts: list[int], strategy: str, k: int) -> np.ndarray:
     """Root (its place in rank order) of each UMI; umis come in rank order."""
     x, n = _codes(umis), np.array(counts)
-    sides = [x] + ([_codes(["-".join(reversed(u.split("-"))) for u in umis])] if strategy == "paired" else [])
-    label = np.full(len(umis), -1)
+    reach = _near(x, x, k)
+    if strategy == "paired":
+        reach |= _near(x, _codes(["-".join(reversed(u.split("-"))) for u in umis]), k)
+    if strategy != "edit":
+        reach &= n[None, :] <= n[:, None] // 2 + 1
+    np.fill_diagonal(reach, False)
+    label = np.where(reach.any(1), -1, -2)  # -2: it reaches none
+    own = np.arange(len(umis))
     for root in range(len(umis)):
         if label[root] >= 0:
             continue
+        alone = label[root] == -2
         label[root] = root
-        front = [root]
-        while front:
-            i = front.pop()
-            near = np.min([(x[i] != s).sum(1) for s in sides], axis=0) <= k
-            if strategy != "edit":
-                near &= n <= n[i] // 2 + 1
-            new = np.flatnonzero(near & (label < 0))
-            label[new] = root
-            front += new.tolist()
+        front = own[:0] if alone else own[root : root + 1]
+        while len(front):
+            front = np.flatnonzero(reach[front].any(0) & (label < 0))
+            again = front[label[front] == -1]
+            label[front] = root
+            front = again
     return label
 
 
 def _rank(keys: list[str]) -> Column:
-    return F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("n").desc(), "umi"))
+    return F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("valid").desc(), F.when(F.col("valid"), F.col("n")).desc(), "umi"))
 
 
 def _local(nodes: DataFrame, keys: list[str], strategy: str, k: int) -> DataFrame:
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank").reset_index(drop=True)
-        root = local_labels(pdf["umi"].tolist(), pdf["n"].tolist(), strategy, k)
+    """Groups one after the other, each begins at rank 1."""
+
+    def solved(pdf: pd.DataFrame) -> pd.DataFrame:
+        umis, counts, valid = pdf["umi"].tolist(), pdf["n"].tolist(), pdf["valid"].to_numpy(bool)
+        begin = np.flatnonzero(pdf["rank"].to_numpy() == 1).tolist()
+        root = np.arange(len(pdf))
+        for a, b in zip(begin, [*begin[1:], len(pdf)], strict=True):
+            b = a + int(valid[a:b].sum())
+            if b - a > 1:
+                root[a:b] = a + local_labels(umis[a:b], counts[a:b], strategy, k)
         return pdf.assign(root_rank=pdf["rank"].to_numpy()[root], root=pdf["umi"].to_numpy()[root])
 
+    def run(batches):
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            last = np.flatnonzero(pdf["rank"].to_numpy() == 1)[-1]  # the last group may go on
+            if last:
+                yield solved(pdf.iloc[:last])
+            held = pdf.iloc[last:]
+        if held is not None:
+            yield solved(held.reset_index(drop=True))
+
     shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema) + ", root_rank int, root string"
-    return nodes.groupBy(*keys).applyInPandas(solve, shape)
+    return nodes.repartition(*keys).sortWithinPartitions(*keys, "rank").mapInPandas(run, shape)
 
 
 def edges(nodes: DataFrame, keys: list[str], strategy: str, k: int) -> DataFrame:
@@ -88,27 +121,37 @@ def _fixpoint(nodes: DataFrame, keys: list[str], strategy: str, k: int) -> DataF
 
 
 def cluster(reads: DataFrame, keys: list[str], umi: str = "umi", strategy: str = "adjacency", k: int = 1, local: int = LOCAL) -> DataFrame:
-    """(keys, umi, n, rank, root_rank, root) of every distinct UMI of every group; null UMIs have none."""
+    """(keys, umi, n, valid, rank, root_rank, root) of every distinct UMI of every group; null UMIs have none. An error where UMIs to be compared are of unlike lengths."""
     nodes = reads.filter(F.col(umi).isNotNull()).groupBy(*keys, F.upper(umi).alias("umi")).agg(F.count("*").alias("n"))
-    nodes = nodes.withColumn("rank", _rank(keys).cast("int"))
     if strategy == "identity":
+        nodes = nodes.withColumn("valid", F.lit(True)).withColumn("rank", _rank(keys).cast("int"))
         return nodes.withColumn("root_rank", F.col("rank")).withColumn("root", F.col("umi"))
+    nodes = nodes.withColumn("valid", F.col("umi").rlike("^[ACGT-]*$") & (F.length(F.translate("umi", "-", "")) <= WIDEST))
+    group = Window.partitionBy(*keys)
+    size = F.when(F.col("valid"), F.length("umi"))
+    several = F.min(size).over(group) < F.max(size).over(group)
+    counted = F.when(several, F.raise_error(F.lit("UMIs of a group differ in length"))).otherwise(F.count_if("valid").over(group))
+    nodes = nodes.withColumn("rank", _rank(keys).cast("int"))
     if k == 0 and strategy == "edit":
         return nodes.withColumn("root_rank", F.col("rank")).withColumn("root", F.col("umi"))
-    sized = written(nodes.withColumn("distinct", F.count("*").over(Window.partitionBy(*keys))), "umi-nodes")
-    small = _local(sized.filter(F.col("distinct") <= local).drop("distinct"), keys, strategy, k)
-    if sized.filter(F.col("distinct") > local).isEmpty():
-        return small
-    return small.unionByName(_fixpoint(sized.filter(F.col("distinct") > local).drop("distinct"), keys, strategy, k))
+    sized = written(nodes.withColumn("distinct", counted), "umi-nodes")
+    alone = sized.filter(~F.col("valid") | (F.col("distinct") == 1)).drop("distinct").withColumn("root_rank", F.col("rank")).withColumn("root", F.col("umi"))
+    sized = sized.filter(F.col("valid") & (F.col("distinct") > 1))
+    found = alone.unionByName(_local(sized.filter(F.col("distinct") <= local).drop("distinct"), keys, strategy, k))
+    large = sized.filter(F.col("distinct") > local)
+    if large.isEmpty():
+        return found
+    return found.unionByName(_fixpoint(large.drop("distinct"), keys, strategy, k))
 
 
 def local_ids(clusters: DataFrame, keys: list[str], strategy: str) -> DataFrame:
-    """clusters with id, from 0 in each group: by UMI (identity), by the component's least UMI (edit), else by the root's rank."""
+    """clusters with id, from 0 in each group: by UMI (identity), by the component's least UMI (edit), else by the root's rank; UMIs that aren't clustered come last."""
     if strategy in ("identity", "edit"):
         clusters = clusters.withColumn("order_", F.min("umi").over(Window.partitionBy(*keys, "root_rank")))
     else:
         clusters = clusters.withColumn("order_", F.col("root_rank"))
-    return clusters.withColumn("id", (F.dense_rank().over(Window.partitionBy(*keys).orderBy("order_")) - 1).cast("long")).drop("order_")
+    place = Window.partitionBy(*keys).orderBy(F.col("valid").desc(), "order_")
+    return clusters.withColumn("id", (F.dense_rank().over(place) - 1).cast("long")).drop("order_")
 
 
 def number_molecules(clusters: DataFrame, keys: list[str], strategy: str) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from molframe.operators.numbering import running_offsets
+
 
 def read_score(qual: Column, qc_fail: Column | None = None) -> Column:
     """Sum of qualities of 15 and more, 16383 at most; 16384 less for reads that fail QC."""
@@ -30,12 +32,15 @@ def dedup_metrics(marked: DataFrame, by: str = "library") -> DataFrame:
 
 
 def duplication_ladder(groups: DataFrame, order: list[str], interval: int, library: str = "library") -> DataFrame:
-    """groups (library, order, templates, duplicates), a row for each position group, to the rows of each library at which its running templates pass a multiple of the interval, and its last."""
-    whole = Window.partitionBy(library).orderBy(*order)
-    run = groups.filter("templates > 0").withColumn("templates_seen", F.sum("templates").over(whole)).withColumn("seen_duplicates", F.sum("duplicates").over(whole))
+    """groups (library, order, templates, duplicates), a row for each position group, to the rows of each library at which its running templates pass a multiple of the interval, and its last.
+
+    Running totals are over all groups in the order of library and position, by ranges; a library's own begin where it does. Only the rows of the ladder meet in a window."""
+    run = running_offsets(groups.filter("templates > 0").select(library, *order, "templates", "duplicates"), [library, *order], ["templates", "duplicates"], ["templates_before", "duplicates_before"])
+    whole = groups.groupBy(library).agg(F.sum("templates").alias("all_templates"))
+    base = run.groupBy(library).agg(F.min("templates_before").alias("t0"), F.min("duplicates_before").alias("d0")).join(whole, library)
+    run = run.join(base, library).select(library, "templates", (F.col("templates_before") - F.col("t0") + F.col("templates")).alias("templates_seen"), (F.col("duplicates_before") - F.col("d0") + F.col("duplicates")).alias("seen_duplicates"), "all_templates")
     crossed = F.expr(f"templates_seen div {interval} > (templates_seen - templates) div {interval}")
-    last = F.lead("templates").over(whole).isNull()
-    rows = run.withColumn("emit", crossed | last).filter("emit")
+    rows = run.filter(crossed | (F.col("templates_seen") == F.col("all_templates")))
     before = Window.partitionBy(library).orderBy("templates_seen")
     rows = rows.withColumn("window_templates", F.col("templates_seen") - F.coalesce(F.lag("templates_seen").over(before), F.lit(0)))
     rows = rows.withColumn("window_duplicates", F.col("seen_duplicates") - F.coalesce(F.lag("seen_duplicates").over(before), F.lit(0)))
