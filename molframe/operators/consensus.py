@@ -6,13 +6,21 @@ made to agree where they overlap.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from molframe.functions.bind import let
+from molframe.functions.dna import reverse_complement
 from molframe.functions.phred import BASES, LEAST, called, looked_up, right_and_wrong, single_read
+from molframe.session import written
 
 MOST_SHORT = 32767
+#: Reads of a family that go to one task as they are; of larger ones only counts meet.
+DEEP = 100_000
 
 
 def base_scores(counts: Column, post_umi: int) -> Column:
@@ -38,11 +46,27 @@ def masked(reads: DataFrame, min_qual: int = 10, seq: str = "seq", qual: str = "
     return out.withColumn(seq, F.translate(seq, " ", "N")).withColumn(qual, F.slice(qual, F.lit(1), F.length(seq)))
 
 
-def consensus_positions(reads: DataFrame, family: list[str], min_reads: int = 1, pre_umi: int = 45, post_umi: int = 40, min_qual: int = 2, seq: str = "seq", qual: str = "qual") -> DataFrame:
+def gathered(reads: DataFrame, by: list[str], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """step(reads) with the reads of each family (by) moved to one task once, so that all that step groups by these and further columns needs no other exchange. Families of more than DEEP reads stay where they are, and only what step
+    aggregates moves."""
+    deep = reads.groupBy(*by).count().filter(F.col("count") > DEEP).select(*by)
+    if deep.isEmpty():
+        return step(reads.repartition(*by))
+    deep = written(deep, "deep")
+    same = reduce(lambda a, b: a & b, [reads[c].eqNullSafe(deep[c]) for c in by])
+    return step(reads.join(deep, same, "left_anti").repartition(*by)).unionByName(step(reads.join(deep, same, "left_semi")))
+
+
+def consensus_positions(reads: DataFrame, family: list[str], **options) -> DataFrame:
     """(family, at, base, qual, depth, errors) up to the length of the min_reads-th longest read of each family of min_reads or more."""
+    return gathered(reads, family, lambda rows: _positions(rows, family, **options))
+
+
+def _positions(reads: DataFrame, family: list[str], min_reads: int = 1, pre_umi: int = 45, post_umi: int = 40, min_qual: int = 2, seq: str = "seq", qual: str = "qual") -> DataFrame:
     sizes = reads.withColumn("size_", F.length(seq))
-    nth = sizes.withColumn("nth_", F.row_number().over(Window.partitionBy(*family).orderBy(F.col("size_").desc()))).groupBy(*family).agg(F.count("*").alias("reads_"), F.min(F.when(F.col("nth_") == min_reads, F.col("size_"))).alias("length_"))
-    nth = nth.filter(F.col("reads_") >= min_reads)
+    # the lengths of a family are few: the min_reads-th longest by running counts
+    lengths = sizes.groupBy(*family, "size_").agg(F.count("*").alias("n_")).withColumn("run_", F.sum("n_").over(Window.partitionBy(*family).orderBy(F.col("size_").desc())))
+    nth = lengths.groupBy(*family).agg(F.sum("n_").alias("reads_"), F.max(F.when(F.col("run_") >= min_reads, F.col("size_"))).alias("length_")).filter(F.col("reads_") >= min_reads)
     bases = positions(sizes, family, seq, qual).groupBy(*family, "at", "base", "qual").agg(F.count("*").alias("n"))
     # counts first: what meets at a position is at most a row for each base and quality
     counts = bases.groupBy(*family, "at").agg(F.array_sort(F.collect_list(F.when(F.col("base") != "N", F.struct("qual", "base", "n")))).alias("counts"), F.min(F.struct("base", "qual")).alias("only"))
@@ -67,7 +91,93 @@ def assembled(rows: DataFrame, family: list[str]) -> DataFrame:
 
 
 def simplex(reads: DataFrame, family: list[str], **options) -> DataFrame:
-    return assembled(consensus_positions(masked(reads), family, **options), family)
+    return gathered(masked(reads), family, lambda rows: assembled(_positions(rows, family, **options), family))
+
+
+def turned(reads: DataFrame, reverse: str = "reverse", seq: str = "seq", qual: str = "qual", ops: str | None = None) -> DataFrame:
+    """Reads in the order of sequencing: reverse ones complemented and turned, with their qualities and, where given, operations."""
+    turn = F.col(reverse)
+    out = reads.withColumn(seq, F.when(turn, reverse_complement(F.col(seq))).otherwise(F.col(seq))).withColumn(qual, F.when(turn, F.reverse(qual)).otherwise(F.col(qual)))
+    return out.withColumn(ops, F.when(turn, F.reverse(ops)).otherwise(F.col(ops))) if ops else out
+
+
+def trimmed(reads: DataFrame, quality: int, seq: str = "seq", qual: str = "qual") -> DataFrame:
+    """Ends of low quality cut off: at the place from which the sum of (quality - base quality) to the end is greatest, if it is above 0; the rightmost of equals. A sum below 0 ends the search."""
+    sums = F.aggregate(F.reverse(F.transform(F.col(qual), lambda q, i: F.struct(i.alias("i"), (F.lit(quality) - q).alias("d")))), F.struct(F.lit(0).alias("sum"), F.lit(0).alias("best"), F.size(qual).alias("at"), F.lit(False).alias("over")), _trim_step)["at"]
+    return reads.withColumn("keep_", sums).withColumn(seq, F.substring(F.col(seq), F.lit(1), F.col("keep_"))).withColumn(qual, F.slice(qual, F.lit(1), F.col("keep_"))).drop("keep_")
+
+
+def _trim_step(s: Column, x: Column) -> Column:
+    total = s["sum"] + x["d"]
+    over = s["over"] | (total < 0)  # a run of good bases ends it
+    better = ~over & (total > s["best"])
+    return F.struct(total.alias("sum"), F.when(better, total).otherwise(s["best"]).alias("best"), F.when(better, x["i"]).otherwise(s["at"]).cast("int").alias("at"), over.alias("over"))
+
+
+def simplified(ops: Column, length: Column) -> Column:
+    """What an alignment says of its shape, from the read's first base: (kind, len) with clips, = and X as M, neighbours of a kind joined, cut to the read's first `length` bases."""
+    kinds = F.transform(ops, lambda o: F.struct(F.when(o["op"].isin("S", "H", "=", "X", "M"), "M").otherwise(o["op"]).alias("op"), o["len"].alias("len")))
+    empty = F.array().cast("array<struct<op:string,len:int>>")
+    joined = F.aggregate(kinds, empty, lambda a, o: F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["op"] == o["op"]), F.concat(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(o["op"].alias("op"), (F.try_element_at(a, F.lit(-1))["len"] + o["len"]).cast("int").alias("len"))))).otherwise(F.concat(a, F.array(F.struct(o["op"].alias("op"), o["len"].cast("int").alias("len"))))))
+
+    def cut(s: Column, o: Column) -> Column:
+        uses = o["op"].isin("M", "I")
+        take = F.when(uses, F.least(o["len"], s["left"])).otherwise(o["len"])
+        keep = s["left"] > 0
+        return F.struct(F.when(keep, F.concat(s["out"], F.array(F.struct(o["op"].alias("op"), take.cast("int").alias("len"))))).otherwise(s["out"]).alias("out"), F.when(keep & uses, s["left"] - take).otherwise(s["left"]).cast("int").alias("left"))
+
+    return F.aggregate(joined, F.struct(empty.alias("out"), length.cast("int").alias("left")), cut)["out"]
+
+
+def fits(shorter: Column, longer: Column) -> Column:
+    """Whether a shape is the beginning of another: all its operations but the last are equal, and the last is of the same kind and not longer."""
+    n = F.size(shorter)
+    head = F.slice(shorter, F.lit(1), F.greatest(n - 1, F.lit(0))) == F.slice(longer, F.lit(1), F.greatest(n - 1, F.lit(0)))
+    a, b = F.get(shorter, n - 1), F.get(longer, n - 1)
+    return F.when(n == 0, True).when(n > F.size(longer), False).otherwise(head & (a["op"] == b["op"]) & (a["len"] <= b["len"]))
+
+
+def majority_alignment(reads: DataFrame, family: list[str], ops: str = "ops", seq: str = "seq", mapped: str | None = None) -> DataFrame:
+    """reads of the largest group of compatible alignments of each family; unmapped ones go where any is mapped. Shapes are taken from the longest down, and each joins every group whose first shape it is the beginning of, or founds one; of
+    groups of equal size the one of the smaller shape stays.
+
+    Only distinct shapes with counts meet, of which a family has few. Reads are in the order of sequencing."""
+    shape = simplified(F.col(ops), F.length(seq))
+    if mapped is not None:
+        reads = reads.withColumn("any_", F.max(F.col(mapped)).over(Window.partitionBy(*family))).filter(F.col(mapped) | ~F.col("any_")).drop("any_")
+    rows = reads.withColumn("shape_", F.when(F.col(mapped), shape).otherwise(F.array().cast("array<struct<op:string,len:int>>")) if mapped is not None else shape)
+    counts = rows.groupBy(*family, "shape_", F.length(seq).alias("size_")).agg(F.count("*").alias("n"))
+    listed = counts.groupBy(*family).agg(F.array_sort(F.collect_list(F.struct((-F.col("size_")).alias("order"), F.col("shape_").alias("shape"), F.col("n").alias("n")))).alias("all"))
+    start = F.array().cast("array<struct<first:array<struct<op:string,len:int>>,n:bigint,shapes:array<array<struct<op:string,len:int>>>>>")
+
+    def place(groups: Column, x: Column) -> Column:
+        joined = F.transform(groups, lambda g: F.when(fits(x["shape"], g["first"]), F.struct(g["first"].alias("first"), (g["n"] + x["n"]).alias("n"), F.concat(g["shapes"], F.array(x["shape"])).alias("shapes"))).otherwise(g))
+        found = F.struct(x["shape"].alias("first"), x["n"].alias("n"), F.array(x["shape"]).alias("shapes"))
+        return F.when(F.exists(groups, lambda g: fits(x["shape"], g["first"])), joined).otherwise(F.concat(groups, F.array(found)))
+
+    groups = F.aggregate("all", start, place)
+    # of equal shapes by length, then by kind in the order M, I, D, N, S, H, P, =, X
+    ranked = lambda s: F.transform(s, lambda o: F.struct(o["len"].alias("len"), F.instr(F.lit("MIDNSHP=X"), o["op"]).alias("kind")))
+    best = F.array_min(F.transform(groups, lambda g: F.struct((-g["n"]).alias("n"), ranked(g["first"]).alias("first"), g["shapes"].alias("shapes"))))
+    kept = listed.select(*family, best["shapes"].alias("kept_"))
+    return rows.join(kept, family).filter(F.array_contains("kept_", F.col("shape_"))).drop("shape_", "kept_")
+
+
+def by_segment(reads: DataFrame, family: list[str], segment: str = "segment", **options) -> DataFrame:
+    """Simplex consensuses of each family for fragments (segment 0), first (1) and last reads (2) apart; a first without a last, or the reverse, is an orphan and is left out."""
+    out = simplex(reads, [*family, segment], **options)
+    pair = Window.partitionBy(*family)
+    return out.withColumn("pair_", F.count_if(F.col(segment) > 0).over(pair)).filter((F.col(segment) == 0) | (F.col("pair_") == 2)).drop("pair_")
+
+
+def consensus_name(mi: Column, prefix: str) -> Column:
+    return F.concat(F.lit(prefix + ":"), mi)
+
+
+def name_prefix(libraries: list[str]) -> str:
+    """The distinct libraries of a header, sorted and joined by |; a hash of them where that is longer than 200 letters."""
+    text = "|".join(sorted(set(libraries)))
+    return text if len(text) <= 200 else hashlib.md5(text.encode()).hexdigest()
 
 
 def capped_reads(reads: DataFrame, family: list[str], most: int, rank: Column, order: str = "ord") -> DataFrame:
@@ -101,10 +211,14 @@ def combine_strands(a: Column, b: Column) -> Column:
 
 def duplex(reads: DataFrame, family: list[str], strand: str = "strand", min_reads: tuple[int, int, int] = (1, 1, 1), **options) -> DataFrame:
     """(family, seq, qual, a and b strand sequences, depths and errors) of molecules whose strands A and B have enough reads: total, larger and smaller strand; with 0 for the smaller a lone strand will do."""
+    return gathered(reads, family, lambda rows: _duplex(rows, family, strand, min_reads, **options))
+
+
+def _duplex(reads: DataFrame, family: list[str], strand: str, min_reads: tuple[int, int, int], **options) -> DataFrame:
     total, large, small = (*min_reads, *[min_reads[-1]] * 3)[:3]
     counts = reads.groupBy(*family).agg(F.count_if(F.col(strand) == "A").alias("a"), F.count_if(F.col(strand) == "B").alias("b"))
     enough = counts.filter((F.col("a") + F.col("b") >= total) & (F.greatest("a", "b") >= large) & (F.least("a", "b") >= small)).select(*family)
-    single = consensus_positions(masked(reads.join(enough, family)), [*family, strand], **options)
+    single = _positions(masked(reads.join(enough, family)), [*family, strand], **options)
     one = F.struct("base", "qual", "depth", "errors")
     both = single.groupBy(*family, "at").agg(F.max(F.when(F.col(strand) == "A", one)).alias("a"), F.max(F.when(F.col(strand) == "B", one)).alias("b"))
     has = both.groupBy(*family).agg(F.min(F.when(F.col("a").isNotNull(), F.lit(1))).alias("has_a"), F.min(F.when(F.col("b").isNotNull(), F.lit(1))).alias("has_b"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("shared"))

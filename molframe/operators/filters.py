@@ -15,6 +15,17 @@ def three(values: tuple) -> tuple:
     return (*values, *[values[-1]] * 2)[:3]
 
 
+def check_thresholds(min_reads: tuple, max_read_error: tuple, max_base_error: tuple) -> None:
+    """An error unless reads fall from the consensus to the better and the worse strand, and error rates rise from the better to the worse strand and lie between 0 and 1."""
+    total, better, worse = three(min_reads)
+    if not total >= better >= worse >= 0:
+        raise ValueError("min reads must not rise from the consensus to the strands")
+    for rates in (max_read_error, max_base_error):
+        _, good, bad = three(rates)
+        if not all(0 <= r <= 1 for r in rates) or good > bad:
+            raise ValueError("error rates lie between 0 and 1 and must not fall from the better to the worse strand")
+
+
 def simplex_reason(depth: Column, error: Column, min_reads: int, max_error: float) -> Column:
     """The first failing test of a consensus read by its depth (cD) and error rate (cE); an error where either is missing."""
     missing = F.raise_error(F.lit("not a consensus read: cD or cE is missing"))
@@ -108,3 +119,39 @@ def conversion_fraction(ref: Column, unconverted: Column, converted: Column) ->
     inside = F.filter(at, lambda i: (F.substring(ref, i + 1, F.lit(1)) == "C") & (F.substring(ref, i + 2, F.lit(1)) != "G"))
     total = lambda a: F.aggregate(inside, F.lit(0), lambda s, i: s + F.coalesce(F.get(a, i), F.lit(0)))
     return F.try_divide(total(converted), total(converted) + total(unconverted))
+
+
+def filter_reads(
+    reads: DataFrame, min_reads: tuple = (1,), max_read_error: tuple = (0.025,), max_base_error: tuple = (0.1,), min_base_qual: int | None = None, min_mean_qual: float | None = None, max_no_calls: float = 0.2, agreement: bool = False,
+    duplex: bool = False, min_methylation_depth: int | None = None, min_conversion: float | None = None, by_template: bool = True, name: str = "qname", is_primary: str | None = None, regenerate=None, per_base: tuple[str, ...] = (),
+    depths: str = "cd", errors: str = "ce", min_base_depth: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The whole filter in its order: per-base columns turned to the read's strand (per_base), mean quality before masking, base masks, methylation masks, tags made anew (regenerate, a function of a DataFrame), tests of the read, the conversion
+    fraction, then whole templates. Returns (reads kept, with newly: the bases masked; and the counts of reads, reads kept and bases masked).
+
+    Reads of simplex consensuses have cD, cE and per base `depths`, `errors` (a base of fewer reads than min_reads, or min_base_depth, is masked); of duplexes also aD, aE, bD, bE and per base ad, ae, bd, be, ac, bc."""
+    check_thresholds(min_reads, max_read_error, max_base_error)
+    rows = reads
+    for c in per_base:
+        rows = rows.withColumn(c, F.when(F.col("reverse"), F.reverse(c)).otherwise(F.col(c)))
+    rows = rows.withColumn("mean_", mean_quality(F.col("qual")))
+    if duplex:
+        rows = mask_duplex(rows, min_reads, max_base_error, min_base_qual, agreement)
+        reason = duplex_reason(*[F.col(c) for c in ("cD", "cE", "aD", "aE", "bD", "bE")], min_reads, max_read_error)
+    else:
+        rows = mask_simplex(rows, min_reads[0] if min_base_depth is None else min_base_depth, max_base_error[0], min_base_qual, depths, errors)
+        reason = simplex_reason(F.col("cD"), F.col("cE"), min_reads[0], max_read_error[0])
+    if min_methylation_depth is not None:
+        rows = methylation_mask(rows.withColumnRenamed("newly", "before_"), min_methylation_depth).withColumn("newly", F.col("newly") + F.col("before_")).drop("before_")
+    if regenerate is not None:
+        rows = regenerate(rows)
+    low = F.col("mean_") < min_mean_qual if min_mean_qual is not None else F.lit(False)
+    tests = F.coalesce(reason, F.when(low, "low_mean_quality"), F.when(too_many_no_calls(F.col("seq"), max_no_calls), "too_many_no_calls"))
+    if min_conversion is not None:
+        share = conversion_fraction(F.col("ref"), F.col("cu"), F.col("ct"))
+        tests = F.coalesce(tests, F.when(share < min_conversion, "low_conversion"))
+    rows = rows.withColumn("reason", tests).drop("mean_")
+    passes = F.col("reason").isNull()
+    kept = whole_templates(rows, passes, name, F.col(is_primary) if is_primary else None) if by_template else rows.filter(passes)
+    counts = rows.groupBy(F.coalesce("reason", F.lit("passed")).alias("outcome")).agg(F.count("*").alias("reads"), F.sum("newly").cast("long").alias("bases_masked"))
+    return kept.drop("reason"), counts

@@ -7,6 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from molframe.functions.dna import flipped, molecule_base
+from molframe.functions.namehash import name_hash
+from molframe.functions.rejections import COUNTED, COUNTER, SIMPLEX
+from molframe.operators.consensus import umi_consensus
+
 
 def size_distribution(sizes: DataFrame, size: str = "size", named: str = "family_size") -> DataFrame:
     """(size, count, fraction, fraction of families of this size or larger). One row per distinct size: a small table from the group-by on."""
@@ -73,10 +78,68 @@ def expected_dual(duplex: DataFrame, single: DataFrame) -> DataFrame:
 FRACTIONS = tuple(round(0.05 * i, 2) for i in range(1, 21))
 
 
-def nested_fractions(reads: DataFrame, place: Column) -> DataFrame:
-    """reads once for each of the twenty nested subsets they are in; place is from 0 to 1."""
-    inside = F.filter(F.array(*[F.lit(f) for f in FRACTIONS]), lambda f: place <= f)
-    return reads.select("*", F.explode(inside).alias("fraction"))
+def nested_sizes(reads: DataFrame, molecule: list[str], place: Column, counts: dict[str, Column]) -> DataFrame:
+    """(molecule, fraction, a column for each of counts: the reads for which its condition holds) of each of the twenty nested subsets in which a molecule has reads; place is from 0 to 1, and a read is in every fraction not below it.
+
+    Reads are counted once, by molecule and by the first fraction they are in; running totals make the twenty subsets of a molecule."""
+    first = sum((F.when(place > f, 1).otherwise(0) for f in FRACTIONS), F.lit(0))
+    rows = reads.select(*molecule, first.alias("first_"), *[test.alias(f"test_{name}") for name, test in counts.items()])
+    own = rows.groupBy(*molecule).agg(*[F.count_if((F.col("first_") == i) & F.col(f"test_{name}")).alias(f"{name}_{i}") for name in counts for i in range(len(FRACTIONS))])
+    upto = lambda name, i: sum((F.col(f"{name}_{j}") for j in range(1, i + 1)), F.col(f"{name}_0")).alias(name)
+    rows = own.select(*molecule, F.explode(F.array(*[F.struct(F.lit(f).alias("fraction"), *[upto(name, i) for name in counts]) for i, f in enumerate(FRACTIONS)])).alias("x")).select(*molecule, "x.*")
+    return rows.filter(sum((F.col(name) for name in counts), F.lit(0)) > 0)
+
+
+def simplex_yield(sizes: DataFrame, by: list[str], least: int = 2) -> DataFrame:
+    """sizes (by, n: reads of a family): reads, families, their mean size, those of one read and those of `least` or more."""
+    n = F.col("n")
+    return sizes.groupBy(*by).agg(
+        F.sum("n").alias("read_pairs"), F.count("*").alias("ss_families"), (F.sum("n") / F.count("*")).alias("mean_ss_family_size"), F.count_if(n == 1).alias("ss_singletons"), (F.count_if(n == 1) / F.count("*")).alias("ss_singleton_fraction"), F.count_if(n >= least).alias("ss_consensus_families")
+    )
+
+
+def name_place(name: Column) -> Column:
+    """Where a template stands among the nested subsets: by the hash of its name, from 0 to 1."""
+    return F.abs(name_hash(name).cast("long")) / F.lit(2**31 - 1)
+
+
+def eligible(reads: DataFrame, cd: str | None = None) -> DataFrame:
+    """Templates that count in metrics: both reads primary, paired and mapped (paired, r1_mapped, r2_mapped). Consensus reads (with depth in the column cd) are an error."""
+    if cd is not None:
+        reads = reads.filter(F.when(F.col(cd).isNotNull(), F.raise_error(F.lit("consensus reads have no families to count"))).otherwise(True))
+    return reads.filter(F.col("paired") & F.col("r1_mapped") & F.col("r2_mapped"))
+
+
+def simplex_metrics(reads: DataFrame, position: list[str], mi: str = "mi", umi: str = "rx", name: str = "qname", least: int = 1) -> dict[str, DataFrame]:
+    """family_sizes, umi_counts and yields of templates with molecule ids of one strand. Molecules with reads of both strands (/A and /B) are an error: they are for duplex_metrics."""
+    base = molecule_base(F.col(mi))
+    strand = F.regexp_extract(mi, "/([AB])$", 1)
+    both = reads.groupBy(base.alias("molecule")).agg(F.min(strand).alias("x"), F.max(strand).alias("y")).filter("x = 'A' AND y = 'B'")
+    if not both.isEmpty():
+        raise ValueError("molecules have reads of both strands")
+    sizes = lambda keys: reads.groupBy(*keys).agg(F.count("*").alias("size"))
+    named = reads.join(umi_consensus(reads, [mi], umi).select(mi, F.col("umi").alias("consensus_umi")), mi, "left")
+    yields = simplex_yield(nested_sizes(reads, [mi], name_place(F.col(name)), {"n": F.lit(True)}), ["fraction"], least)
+    return {"family_sizes": size_distributions({"cs": sizes(position), "ss": sizes([mi])}), "umi_counts": umi_counts(named, umi, "consensus_umi", [mi]), "yield": yields}
+
+
+def duplex_metrics(reads: DataFrame, position: list[str], mi: str = "mi", umi: str = "rx", name: str = "qname", r1_forward: str = "r1_forward", min_ab: int = 1, min_ba: int = 1) -> dict[str, DataFrame]:
+    """family_sizes (cs, ss, ds), duplex_family_sizes, umi_counts of halves, duplex_umi_counts and yields of templates whose molecule ids end in /A or /B. The halves of a dual UMI are named by the strand of the first read, so that
+    those of both strands of a molecule meet."""
+    rows = reads.withColumn("molecule", molecule_base(F.col(mi))).withColumn("strand", F.regexp_extract(mi, "/([AB])$", 1))
+    sizes = lambda keys: rows.groupBy(*keys).agg(F.count("*").alias("size"))
+    strands = strand_sizes(rows, ["molecule"])
+    turned = F.when(F.col(r1_forward), F.col(umi)).otherwise(flipped(F.col(umi)))
+    halves = rows.select("molecule", F.explode(F.transform(F.split(turned, "-"), lambda x, i: F.struct(i.alias("half"), x.alias("half_umi")))).alias("h")).select("molecule", "h.*")
+    of_half = umi_consensus(halves, ["molecule", "half"], "half_umi").select("molecule", "half", F.col("umi").alias("consensus_umi"))
+    single = umi_counts(halves.join(of_half, ["molecule", "half"]), "half_umi", "consensus_umi", ["molecule"])
+    both = of_half.groupBy("molecule").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("half", "consensus_umi"))), lambda x: x["consensus_umi"]), "-").alias("consensus_umi"))  # two halves
+    dual = umi_counts(rows.withColumn("turned", turned).join(both, "molecule"), "turned", "consensus_umi", ["molecule"])
+    nested = nested_sizes(rows, ["molecule"], name_place(F.col(name)), {"a": F.col("strand") == "A", "b": F.col("strand") == "B"})
+    return {
+        "family_sizes": size_distributions({"cs": sizes(position), "ss": sizes([mi]), "ds": sizes(["molecule"])}), "duplex_family_sizes": dominance(strands), "umi_counts": single,
+        "duplex_umi_counts": expected_dual(dual, single), "yield": duplex_yield(nested, ["fraction"], min_ab, min_ba),
+    }
 
 
 def binomial_both(n: int, a: int, b: int) -> float:
@@ -106,3 +169,19 @@ def sum_tail(n: Column, least: int) -> Column:
         out = out + term
         term = term * (n - k) / (k + 1)
     return out
+
+
+def consensus_statistics(reads: DataFrame, reason: str, consensus: DataFrame, always: tuple[str, ...] = SIMPLEX) -> DataFrame:
+    """(key, value as text) in the order of the table: reads considered, rejected and used, their fraction, rejected ones by reason (those of `always`, and others if there are any), consensus reads emitted. reason is null for reads that were used."""
+    named = F.create_map(*[F.lit(x) for pair in COUNTER.items() for x in pair])
+    counts = reads.groupBy(named[F.col(reason)].alias("counter"), F.col(reason).isNotNull().alias("out")).agg(F.count("*").alias("n"))
+    emitted = consensus.agg(F.count("*").alias("emitted"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.coalesce(F.sum(F.when(F.col("out"), F.col("n"))), F.lit(0)).alias("gone"), *[F.coalesce(F.sum(F.when(F.col("counter") == c, F.col("n"))), F.lit(0)).alias(c) for c in COUNTED])
+    one = total.crossJoin(emitted)  # a row each
+    row = lambda place, key, value, shown=None: F.struct(F.lit(place).alias("place"), F.lit(key).alias("key"), value.cast("string").alias("value"), (F.lit(True) if shown is None else shown).alias("shown"))
+    used = F.col("all") - F.col("gone")
+    order = [*always, *[c for c in COUNTED if c not in always]]
+    rows = [row(0, "raw_reads_considered", F.col("all")), row(1, "raw_reads_rejected", F.col("gone")), row(2, "raw_reads_used", used), row(3, "frac_raw_reads_used", F.coalesce(F.try_divide(used, F.col("all")), F.lit(0.0)))]
+    rows += [row(4 + i, f"raw_reads_rejected_for_{c}", F.col(c), F.lit(c in always) | (F.col(c) > 0)) for i, c in enumerate(order)]
+    rows.append(row(4 + len(order), "consensus_reads_emitted", F.col("emitted")))
+    return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*").filter("shown").select("place", "key", "value")
