@@ -76,8 +76,8 @@ def natural_key(name: Column) -> Column:
 
 
 def flag_order(flag: Column) -> Column:
-    """Order of a name's records: first before last, primary before supplementary before secondary."""
-    return F.when(has(flag, LAST), 2).otherwise(F.when(has(flag, FIRST), 1).otherwise(0)) * 4 + F.when(has(flag, SECONDARY), 2).otherwise(0) + F.when(has(flag, SUPPLEMENTARY), 1).otherwise(0)
+    """Order of a name's records: neither, first, last, both of first and last; of each primary before supplementary before secondary."""
+    return (F.when(has(flag, LAST), 2).otherwise(0) + F.when(has(flag, FIRST), 1).otherwise(0)) * 4 + F.when(has(flag, SECONDARY), 2).otherwise(0) + F.when(has(flag, SUPPLEMENTARY), 1).otherwise(0)
 
 
 def umi_of_name(name: Column) -> Column:

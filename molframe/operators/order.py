@@ -37,7 +37,8 @@ def out_of_order(reads: DataFrame, order: str, ordinal: str = "ord", parts: int
     key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(sort_keys(order))])
     size = parts or 100_000
     rows = reads.withColumn("key_", key).withColumn("part_", F.floor(F.col(ordinal) / size))
-    ends = rows.groupBy((F.col("part_") + 1).alias("part_")).agg(F.max_by("key_", ordinal).alias("end_"))
+    ends = rows.groupBy("part_").agg(F.max_by("key_", ordinal).alias("last_"))
+    ends = ends.select("part_", F.lag("last_").over(Window.orderBy("part_")).alias("end_"))  # a row for each range that has reads
     before = F.lag("key_").over(Window.partitionBy("part_").orderBy(ordinal))
     return rows.withColumn("before_", before).join(ends, "part_", "left").withColumn("before_", F.coalesce("before_", "end_")).filter(F.col("key_") < F.col("before_")).drop("key_", "part_", "before_", "end_")
 
@@ -82,12 +83,13 @@ def compare_metrics(a: DataFrame, b: DataFrame, keys: list[str], tolerance: floa
 
 
 def overlapping(reads: DataFrame, intervals: DataFrame, width: int = 1024, start: str = "start", end: str = "end") -> DataFrame:
-    """reads (tid, start, end; 1-based, inclusive) that overlap an interval (tid, from, to; 0-based, half-open): an equi-join on windows of `width` positions, then the exact test."""
+    """reads (tid, start, end; 1-based, inclusive) that overlap an interval (tid, from, to; 0-based, half-open): an equi-join of the distinct places of reads on windows of `width` positions, then the exact test. Equal reads all stay."""
     cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width)))
-    r = reads.withColumn("cell_", cells(F.col(start), F.col(end)))
+    places = reads.select("tid", F.col(start).alias("a_"), F.col(end).alias("b_")).distinct()
     i = intervals.select(F.col("tid").alias("i_tid"), "from", "to", cells(F.col("from"), F.col("to")).alias("i_cell"))
-    hit = (F.col("tid") == F.col("i_tid")) & (F.col("cell_") == F.col("i_cell")) & (F.col(start) <= F.col("to")) & (F.col("from") < F.col(end))
-    return r.join(i, hit, "left_semi").drop("cell_").dropDuplicates()
+    hit = (F.col("tid") == F.col("i_tid")) & (F.col("cell_") == F.col("i_cell")) & (F.col("a_") <= F.col("to")) & (F.col("from") < F.col("b_"))
+    found = places.withColumn("cell_", cells(F.col("a_"), F.col("b_"))).join(i, hit, "left_semi").select(F.col("tid").alias("t_"), "a_", "b_").distinct()
+    return reads.join(found, (F.col("tid") == F.col("t_")) & (F.col(start) == F.col("a_")) & (F.col(end) == F.col("b_")), "left_semi")
 
 
 def pileup(reads: DataFrame, variants: DataFrame, seq: str = "seq") -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from molframe.functions.bind import let
 from molframe.functions.dna import called_bases, has_no_call, reverse_complement
 from molframe.functions.structure import parse, pieces
 
@@ -28,10 +31,14 @@ def best_matches(segments: DataFrame, fixed: list[str], max_mismatches: int = 2,
     if len({len(u) for u in fixed}) > 1:
         raise ValueError("UMIs of the list differ in length")
     near = F.array_sort(F.transform(F.array(*[F.struct(F.lit(u).alias("u"), F.lit(i).alias("i")) for i, u in enumerate(fixed)]), lambda f: F.struct(mismatches(F.col("segment"), f["u"]).alias("d"), f["i"].alias("i"), f["u"].alias("u"))))
-    out = segments.select("segment").distinct().withColumn("near", near)
-    best, second = F.col("near")[0], F.get("near", F.lit(1))
-    distant = second.isNull() | (second["d"] - best["d"] >= min_distance)
-    return out.select("segment", ((best["d"] <= max_mismatches) & distant).alias("matched"), best["u"].alias("umi"), best["d"].cast("int").alias("mismatches"), second["d"].cast("int").alias("second"))
+
+    def answer(near: Column) -> Column:
+        best, second = near[0], F.get(near, F.lit(1))
+        distant = second.isNull() | (second["d"] - best["d"] >= min_distance)
+        return F.struct(((best["d"] <= max_mismatches) & distant).alias("matched"), best["u"].alias("umi"), best["d"].cast("int").alias("mismatches"), second["d"].cast("int").alias("second"))
+
+    # one row for each distinct segment, made before the answers' parts are taken out, so that they are found once
+    return segments.select("segment").distinct().select("segment", F.inline(F.array(let(near, answer))))
 
 
 def correct_umis(templates: DataFrame, fixed: list[str], max_mismatches: int = 2, min_distance: int = 1, umi: str = "umi", revcomp: bool = False) -> DataFrame:
@@ -76,6 +83,15 @@ def extract(reads: DataFrame, structures: dict[str, str], name_umi: Column | Non
     return out.select("*", *[F.when(F.length(t) == 0, "N").otherwise(t).alias(f"template_{i + 1}") for i, t in enumerate(by["T"])])
 
 
+def zip_many(inputs: list[DataFrame], ordinal: str = "ord", name: str = "qname") -> DataFrame:
+    """(ordinal, name, r1, r2, ...: the records of each input) side by side; an error if counts or names differ."""
+    keyed = [df.select(F.col(ordinal).alias("o_"), F.struct("*").alias(f"r{i + 1}")) for i, df in enumerate(inputs)]
+    both = reduce(lambda a, b: a.join(b, "o_", "full_outer"), keyed)
+    names = [F.col(f"r{i + 1}.{name}") for i in range(len(inputs))]
+    same = reduce(lambda a, b: a & b, [n.isNotNull() & n.eqNullSafe(names[0]) for n in names])
+    return both.select(F.when(same, F.col("o_")).otherwise(F.raise_error(F.lit("inputs differ in reads"))).alias(ordinal), names[0].alias(name), *[f"r{i + 1}" for i in range(len(inputs))])
+
+
 def zip_names(left: DataFrame, right: DataFrame, ordinal: str = "ord", name: str = "qname") -> DataFrame:
     """Reads of two files side by side; an error if counts or names differ."""
     both = left.alias("l").join(right.alias("r"), F.col(f"l.{ordinal}") == F.col(f"r.{ordinal}"), "full_outer")
@@ -84,7 +100,8 @@ def zip_names(left: DataFrame, right: DataFrame, ordinal: str = "ord", name: str
 
 
 def zipper(unmapped: DataFrame, mapped: DataFrame, tags: list[str], keys: tuple[str, ...] = ("qname", "segment"), reverse: tuple[str, ...] = (), revcomp: tuple[str, ...] = (), exclude_missing: bool = False, strand: str = "reverse") -> DataFrame:
-    """Mapped records with the unmapped ones' tags, those of `reverse` and `revcomp` turned where the record is on the reverse strand. Unmapped records without a mapped one are kept as unmapped unless excluded."""
+    """Mapped records with the unmapped ones' tags, those of `reverse` and `revcomp` turned where the record is on the reverse strand. Unmapped records without a mapped one are kept as unmapped unless excluded; a mapped record without an
+    unmapped one is an error."""
 
     def tag(t: str) -> Column:
         c = F.col(f"u.{t}")
@@ -93,9 +110,11 @@ def zipper(unmapped: DataFrame, mapped: DataFrame, tags: list[str], keys: tuple[
 
     u, m = unmapped.alias("u"), mapped.alias("m")
     on = [F.col(f"u.{k}") == F.col(f"m.{k}") for k in keys]
-    joined = u.join(m, on, "inner" if exclude_missing else "left")
+    joined = u.join(m, on, "right" if exclude_missing else "full_outer")
+    stray = F.raise_error(F.concat(F.lit("mapped without an unmapped record: "), F.col(f"m.{keys[0]}").cast("string")))
+    first = F.when(F.col(f"u.{keys[0]}").isNull(), stray).otherwise(F.col(f"u.{keys[0]}")).alias(keys[0])
     own = [c for c in mapped.columns if c not in keys and c not in tags]
-    return joined.select(*[F.col(f"u.{k}") for k in keys], *[F.col(f"m.{c}") for c in own], *[tag(t) for t in tags], F.col(f"m.{keys[0]}").isNull().alias("missing"))
+    return joined.select(first, *[F.col(f"u.{k}") for k in keys[1:]], *[F.col(f"m.{c}") for c in own], *[tag(t) for t in tags], F.col(f"m.{keys[0]}").isNull().alias("missing"))
 
 
 def leftover(unmapped: DataFrame, mapped: DataFrame, keys: tuple[str, ...] = ("qname", "segment")) -> DataFrame:
@@ -127,5 +146,18 @@ def _without(tags: Column, drop: list) -> Column:
 
 def downsample(reads: DataFrame, family: list[str], fraction: float, seed: int = 42) -> DataFrame:
     """Whole families, each kept if a hash of its key and the seed falls below the fraction."""
+    if not 0 < fraction <= 1:
+        raise ValueError("the fraction lies between 0 and 1")
+    return reads.filter(_sampled(family, fraction, seed))
+
+
+def _sampled(family: list[str], fraction: float, seed: int) -> Column:
     part = F.conv(F.substring(F.md5(F.concat_ws(":", *family, F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
-    return reads.filter(part < F.lit(int(fraction * (1 << 32))))
+    return part < F.lit(int(fraction * (1 << 32)))
+
+
+def downsample_with_rejects(reads: DataFrame, family: list[str], fraction: float, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(reads kept, reads rejected, (kept boolean, family_size, count): the sizes of both kinds of families)."""
+    kept = downsample(reads, family, fraction, seed)
+    sizes = reads.groupBy(*family).agg(F.count("*").alias("family_size")).withColumn("kept", _sampled(family, fraction, seed))
+    return kept, reads.filter(~_sampled(family, fraction, seed)), sizes.groupBy("kept", "family_size").agg(F.count("*").alias("count"))

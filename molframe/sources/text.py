@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from molframe.functions.align import cigar, plain_name
@@ -11,18 +13,38 @@ SAM = ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ord, name, qname, seq, qual) of FASTQ files, plain or compressed as their names say. Records are split at the `@` lines that a `+` line follows two lines on, by reading whole
-    four-line records with a separator that only they have; files that are compressed aren't split."""
-    lines = spark.read.option("lineSep", "\n@").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("ord"), F.split("value", "\n").alias("x"))
-    # a quality line may itself begin with @: such a record comes in two parts, the second of which is joined to it below
-    whole = lines.withColumn("n", F.size(F.filter("x", lambda v: v != "")))
-    from pyspark.sql import Window
-
-    place = Window.partitionBy("file", "block").orderBy("ord")
-    joined = whole.withColumn("next", F.lead("x").over(place)).withColumn("next_n", F.lead("n").over(place))
-    full = joined.filter("n >= 3").withColumn("x", F.when(F.col("n") >= 4, F.col("x")).otherwise(F.concat(F.slice("x", 1, 3), F.array(F.concat(F.lit("@"), F.col("next")[0])))))
-    name = F.regexp_replace(F.col("x")[0], "^@", "")
-    return full.select("file", "ord", name.alias("name"), plain_name(name).alias("qname"), F.trim(F.col("x")[1]).alias("seq"), F.trim(F.col("x")[3]).alias("qual"))
+    """(file, ord: the record's number in its file, name, qname, seq, qual) of FASTQ files, plain or compressed as their names say. A record is four lines by their place in the file; reads may be empty. An error if a file's lines are no
+    multiple of four, or a record doesn't begin with @ or has no + line.
+
+    Large plain files are read in blocks: lines are counted by block first, then each block makes its whole records where it is, and only the few lines of records that two blocks share meet."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    counts = lines.groupBy("file", "block").agg(F.count("*").alias("lines"), F.min("id").alias("first"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    broken = F.sum("lines").over(Window.partitionBy("file")) % 4 != 0
+    base = F.when(broken, F.raise_error(F.concat(F.lit("lines are no multiple of four: "), "file"))).otherwise(F.coalesce(F.sum("lines").over(before), F.lit(0)))
+    counts = counts.select("file", "block", "first", (base + F.col("lines")).alias("end"), base.alias("base"))
+    placed = lines.join(F.broadcast(counts), ["file", "block"])  # a row for each block of a file, as many as the plan itself lists
+    placed = placed.select("file", (F.col("base") + F.col("id") - F.col("first")).alias("n"), "base", "end", "value")
+    head, tail = F.ceil(F.col("base") / 4) * 4, F.floor(F.col("end") / 4) * 4
+
+    def whole(batches):
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            n = pdf["n"].to_numpy()
+            start = np.flatnonzero(n % 4 == 0)
+            start = start[start + 3 < len(n)]
+            text = pdf["value"].to_numpy()
+            yield pd.DataFrame({"file": pdf["file"].to_numpy()[start], "ord": n[start] // 4, **{f"l{k}": text[start + k] for k in range(4)}})
+            done = start[-1] + 4 if len(start) else 0
+            held = pdf.iloc[done:]
+
+    inside = placed.filter((F.col("n") >= head) & (F.col("n") < tail)).select("file", "n", "value").mapInPandas(whole, "file string, ord long, l0 string, l1 string, l2 string, l3 string")
+    shared = placed.filter((F.col("n") < head) | (F.col("n") >= tail)).groupBy("file", F.floor(F.col("n") / 4).alias("ord")).agg(*[F.max(F.when(F.col("n") % 4 == k, F.col("value"))).alias(f"l{k}") for k in range(4)])
+    rows = inside.unionByName(shared)
+    fine = F.startswith("l0", F.lit("@")) & F.startswith("l2", F.lit("+"))
+    name = F.when(fine, F.substring("l0", F.lit(2), F.length("l0"))).otherwise(F.raise_error(F.concat(F.lit("no FASTQ record: "), "l0")))
+    return rows.select("file", "ord", name.alias("name"), plain_name(name).alias("qname"), F.trim("l1").alias("seq"), F.trim("l3").alias("qual"))
 
 
 def phred_values(qual: Column, offset: int = 33) -> Column:
