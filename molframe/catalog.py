@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from molframe.plans import q_basic, q_cluster, q_consensus, q_more
+from molframe.plans import q_basic, q_cluster, q_commands, q_consensus, q_more
 
 FLAGSHIP = "family_sizes_identity"
-_PARTS = (q_basic, q_cluster, q_consensus, q_more)
+_PARTS = (q_basic, q_cluster, q_consensus, q_more, q_commands)
 
 
 def queries() -> dict:

@@ -47,13 +47,11 @@ def _(spark, d):
 
 @query(
     "umi_distance",
-    """, u AS (SELECT DISTINCT rx FROM reads WHERE pos <= 3)
-    SELECT a.rx AS a, b.rx AS b, CAST(hamming(a.rx, b.rx) AS BIGINT) AS packed, CAST(hamming(a.rx, b.rx) AS BIGINT) AS spelled
-    FROM u a JOIN u b ON substr(a.rx, 1, 2) = substr(b.rx, 1, 2)""",
+    """, u AS (SELECT DISTINCT rx FROM reads), w(b) AS (VALUES """ + ", ".join(f"('{u}')" for u in FIXED) + """)
+    SELECT rx AS a, b, CAST(hamming(rx, b) AS BIGINT) AS packed, CAST(hamming(rx, b) AS BIGINT) AS spelled FROM u, w""",
 )
 def _(spark, d):
-    u = reads(spark, d).filter("pos <= 3").select("rx").distinct()
-    pairs = u.select(F.col("rx").alias("a"), F.substring("rx", 1, 2).alias("half")).join(u.select(F.col("rx").alias("b"), F.substring("rx", 1, 2).alias("half")), "half")
+    pairs = reads(spark, d).select(F.col("rx").alias("a")).distinct().select("a", F.explode(F.array(*map(F.lit, FIXED))).alias("b"))
     a, b = F.col("a"), F.col("b")
     return pairs.select("a", "b", dna.packed_distance(dna.packed(a), dna.packed(b)).cast("long").alias("packed"), dna.distance(a, b).cast("long").alias("spelled"))
 
@@ -269,6 +267,13 @@ def _library_size(spark, d):
 
 
 QUERIES["library_size"] = _library_size
+#: The bisection, step by step.
+_ROOT = "(c / x - 1 + exp(-n / x))"
+SQL["library_size"] = DUCK + _MARKED + f""", c0 AS (SELECT library, count(*)::DOUBLE AS n, (count(*) FILTER (NOT duplicate))::DOUBLE AS c FROM marked GROUP BY library),
+   c1 AS (SELECT *, list_min(list_filter([100e0, 1000e0, 1e4, 1e5, 1e6, 1e7, 1e8, 1e9], lambda h: {_ROOT.replace("x", "(h * c)").replace("e(h * c)p", "exp")} < 0)) AS high FROM c0),
+   steps AS (SELECT library, n, c, 1e0 AS low, high, 0 AS i FROM c1 UNION ALL SELECT library, n, c, CASE WHEN f > 0 THEN middle ELSE low END, CASE WHEN f > 0 THEN high ELSE middle END, i + 1
+      FROM (SELECT *, (low + high) / 2 AS middle, {_ROOT.replace("x", "((low + high) / 2 * c)").replace("e((low + high) / 2 * c)p", "exp")} AS f FROM steps WHERE i < 40))
+   SELECT library, CAST(n AS BIGINT) AS pairs, CAST(c AS BIGINT) AS unique_pairs, CAST(floor(c * ((low + high) / 2)) AS BIGINT) AS library_size FROM steps WHERE i = 40"""
 
 
 @query(
@@ -341,39 +346,6 @@ def _(spark, d):
     return metrics.expected_dual(metrics.umi_counts(rows, "dual", "dual", key), metrics.umi_counts(halves, "u", "u", key))
 
 
-_FR = "(VALUES " + ", ".join(f"({f}::DOUBLE)" for f in metrics.FRACTIONS) + ") AS f(fraction)"
-_PLACE = "((ord * 31 + line) % 100 + 1) / 100.0"
-
-
-def _nested(spark, d):
-    return metrics.nested_fractions(reads(spark, d), F.expr(f"CAST({_PLACE} AS DOUBLE)"))
-
-
-@query(
-    "simplex_yield",
-    f""", s AS (SELECT fraction, tid, pos, rx, count(*) AS n FROM reads JOIN {_FR} ON CAST({_PLACE} AS DOUBLE) <= fraction GROUP BY ALL)
-   SELECT fraction, CAST(sum(n) AS BIGINT) AS read_pairs, count(*) AS ss_families, sum(n) / count(*) AS mean_ss_family_size, count(*) FILTER (n = 1) AS ss_singletons, count(*) FILTER (n = 1) / count(*) AS ss_singleton_fraction,
-      count(*) FILTER (n >= 2) AS ss_consensus_families FROM s GROUP BY fraction""",
-)
-def _(spark, d):
-    sizes = _nested(spark, d).groupBy("fraction", "tid", "pos", "rx").agg(F.count("*").alias("n"))
-    n = F.col("n")
-    return sizes.groupBy("fraction").agg(
-        F.sum("n").alias("read_pairs"), F.count("*").alias("ss_families"), (F.sum("n") / F.count("*")).alias("mean_ss_family_size"), F.count_if(n == 1).alias("ss_singletons"), (F.count_if(n == 1) / F.count("*")).alias("ss_singleton_fraction"), F.count_if(n >= 2).alias("ss_consensus_families")
-    )
-
-
-@query(
-    "duplex_yield",
-    f""", s AS (SELECT fraction, tid, pos, rx, count(*) FILTER (reverse) AS a, count(*) FILTER (NOT reverse) AS b FROM reads JOIN {_FR} ON CAST({_PLACE} AS DOUBLE) <= fraction GROUP BY ALL)
-   SELECT fraction, count(*) AS ds_families, CAST(count(*) FILTER (a > 0) + count(*) FILTER (b > 0) AS BIGINT) AS ss_families, count(*) FILTER (a > 0 AND b > 0) AS ds_duplexes, count(*) FILTER (a > 0 AND b > 0) / count(*) AS ds_fraction_duplexes,
-      round(sum(CASE WHEN a + b < 2 THEN 0 ELSE 1 - 2 / power(2.0::DOUBLE, a + b) END) / count(*), 9) AS ds_fraction_duplexes_ideal FROM s GROUP BY fraction""",
-)
-def _(spark, d):
-    sizes = _nested(spark, d).groupBy("fraction", "tid", "pos", "rx").agg(F.count_if("reverse").alias("a"), F.count_if(~F.col("reverse")).alias("b"))
-    return metrics.duplex_yield(sizes, ["fraction"]).withColumn("ss_families", F.col("ss_families").cast("long")).withColumn("ds_fraction_duplexes_ideal", F.round("ds_fraction_duplexes_ideal", 9))
-
-
 @query("molecule_offsets", """, g AS (SELECT tid, pos, count(DISTINCT rx) AS molecules FROM reads GROUP BY tid, pos) SELECT *, CAST(coalesce(sum(molecules) OVER (ORDER BY tid, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM g""")
 def _(spark, d):
     groups = reads(spark, d).groupBy("tid", "pos").agg(F.count_distinct("rx").alias("molecules"))
@@ -425,12 +397,3 @@ def _(spark, d):
 )
 def _(spark, d):
     return template.retag(_tagged(spark, d), ["RX::copy::OX", "QX::move::MI", "ZZ::delete"])[1]
-
-
-def _name_ranks(spark, d):
-    from molframe.functions.namehash import name_hash
-
-    return table(spark, d, "lineitem").select(F.concat(F.lit("q"), F.col("l_orderkey")).alias("name")).distinct().withColumn("rank", name_hash("name"))
-
-
-QUERIES["name_rank_hash"] = _name_ranks

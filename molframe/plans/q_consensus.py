@@ -340,9 +340,9 @@ def _(spark, d):
 
 @query(
     "mate_info",
-    """, r AS (SELECT qname, 1 AS segment, tid, pos, reverse, mapq FROM reads UNION ALL SELECT qname, 2, CASE WHEN line = 7 THEN tid + 1 ELSE tid END, mate_pos, mate_reverse, mate_mapq FROM reads), f AS (SELECT *, pos + 5 AS "end" FROM r),
-   j AS (SELECT a.qname, a.segment, b.tid AS mate_tid, b.pos AS mate_pos, b.reverse AS mate_reverse, b.mapq AS mq, a.tid = b.tid AS same, CASE WHEN a.reverse THEN a."end" ELSE a.pos END AS x, CASE WHEN b.reverse THEN b."end" ELSE b.pos END AS y FROM f a JOIN f b ON a.qname = b.qname AND a.segment = 3 - b.segment)
-   SELECT qname, segment, mate_tid, mate_pos, mate_reverse, mq, CAST(CASE WHEN same THEN y - x + CASE WHEN y >= x THEN 1 ELSE -1 END ELSE 0 END AS BIGINT) AS tlen FROM j""",
+    """, e AS (SELECT *, CASE WHEN line = 7 THEN tid + 1 ELSE tid END AS tid2, CASE WHEN reverse THEN pos + 5 ELSE pos END AS x, CASE WHEN mate_reverse THEN mate_pos + 5 ELSE mate_pos END AS y FROM reads)
+   SELECT qname, 1 AS segment, tid2 AS mate_tid, mate_pos, mate_reverse, mate_mapq AS mq, CAST(CASE WHEN tid = tid2 THEN y - x + CASE WHEN y >= x THEN 1 ELSE -1 END ELSE 0 END AS BIGINT) AS tlen FROM e
+   UNION ALL SELECT qname, 2, tid, pos, reverse, mapq, CAST(CASE WHEN tid = tid2 THEN x - y + CASE WHEN x >= y THEN 1 ELSE -1 END ELSE 0 END AS BIGINT) FROM e""",
 )
 def _(spark, d):
     rows = reads(spark, d)
