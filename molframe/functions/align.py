@@ -42,6 +42,19 @@ def clipped_bases(ops: Column) -> Column:
     return _sum(ops, "S", "H")
 
 
+def read_position(pos: Column, ops: Column, ref_pos: Column) -> Column:
+    """The 0-based place in a read (soft clips included) of the base aligned to a 0-based reference position; -1 where a deletion or skip spans it, null outside the alignment."""
+    start = F.struct(F.lit(0).cast("long").alias("query"), pos.cast("long").alias("ref"), F.lit(None).cast("long").alias("found"))
+
+    def step(s: Column, o: Column) -> Column:
+        here = (ref_pos >= s["ref"]) & (ref_pos < s["ref"] + o["len"])
+        both, ref_only = o["op"].isin("M", "=", "X"), o["op"].isin("D", "N")
+        found = F.when(both & here, s["query"] + ref_pos - s["ref"]).when(ref_only & here, F.lit(-1).cast("long"))
+        return F.struct((s["query"] + F.when(both | o["op"].isin("I", "S"), o["len"]).otherwise(0)).alias("query"), (s["ref"] + F.when(both | ref_only, o["len"]).otherwise(0)).alias("ref"), F.coalesce(s["found"], found).alias("found"))
+
+    return F.aggregate(ops, start, step)["found"]
+
+
 def leading_clip(ops: Column) -> Column:
     """Soft and hard clipped bases before the first other operator."""
     state = F.aggregate(ops, F.struct(F.lit(0).alias("n"), F.lit(False).alias("past")), lambda s, o: F.struct((s["n"] + F.when(~s["past"] & o["op"].isin("S", "H"), o["len"]).otherwise(0)).alias("n"), (s["past"] | ~o["op"].isin("S", "H")).alias("past")))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 QUERY, REFERENCE = "MIS=X", "MDN=X"
 SOFT, MASK, HARD = "soft", "soft-with-mask", "hard"
+REASONS = ("five", "three", "overlap", "beyond")
+READ_TYPES = ("Fragment", "ReadOne", "ReadTwo", "Pair", "All")
 
 
 def overlap_midpoint(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
@@ -117,25 +119,21 @@ def past_mate(pos: int, ops: list, reverse: bool, mate_pos: int, mate_ops: list)
 
 
 def clip_pairs(pairs: DataFrame, mode: str = HARD, fixed: tuple[int, int, int, int] = (0, 0, 0, 0), overlap: bool = False, beyond_mate: bool = False, upgrading: bool = False) -> DataFrame:
-    """pairs (qname; pos<i>, cigar<i> struct array, seq<i>, qual<i>, reverse<i> of reads 1 and 2) clipped in order: upgrade, fixed bases off read 1's and read 2's 5' and 3' ends, overlap, beyond the mate.
-    clipped<i> counts bases. CIGAR surgery is irregular, so it runs in Arrow batches."""
-
-    def fixed_clip(a: list, reverse: bool, five: int, three: int) -> int:
-        n = 0
-        for amount, at_start in ((five, not reverse), (three, reverse)):
-            *a[:], cut = (clip_start if at_start else clip_end)(*a, amount, mode)
-            n += cut
-        return n
+    """pairs (qname; pos<i>, cigar<i> struct array, seq<i>, qual<i>, reverse<i> of reads 1 and 2; a fragment has a null cigar2) clipped in order: upgrade, fixed bases off read 1's and read 2's 5' and 3' ends, overlap, beyond the mate.
+    clipped<i> counts bases; pre<i> those clipped before, five<i>, three<i>, overlap<i> and beyond<i> the ones clipped for each reason, post<i> all that are clipped now. CIGAR surgery is irregular, so it runs in Arrow batches."""
 
     def one(row: dict) -> dict:
-        reads = [[row[f"pos{i}"], [(o["op"], o["len"]) for o in row[f"cigar{i}"]], row[f"seq{i}"], list(row[f"qual{i}"])] for i in (1, 2)]
-        reverse = [row["reverse1"], row["reverse2"]]
-        count = [0, 0]
-        for i in (0, 1):
+        here = [i for i in (1, 2) if row[f"cigar{i}"] is not None]
+        reads = [[row[f"pos{i}"], [(o["op"], o["len"]) for o in row[f"cigar{i}"]], row[f"seq{i}"], list(row[f"qual{i}"])] for i in here]
+        reverse = [row[f"reverse{i}"] for i in here]
+        clips = lambda ops: sum(k for op, k in ops if op in "SH")
+        tally = [{"pre": clips(r[1]), "aligned": sum(k for op, k in r[1] if op in "MI=X"), "five": 0, "three": 0, "overlap": 0, "beyond": 0} for r in reads]
+        for i in range(len(reads)):
             if upgrading:
                 reads[i] = list(upgrade(*reads[i]))
-            count[i] += fixed_clip(reads[i], reverse[i], *fixed[2 * i : 2 * i + 2])
-        if reverse[0] != reverse[1] and all(r[0] >= 0 for r in reads):
+            for what, amount, at_start in (("five", fixed[2 * i], not reverse[i]), ("three", fixed[2 * i + 1], reverse[i])):
+                *reads[i][:], tally[i][what] = (clip_start if at_start else clip_end)(*reads[i], amount, mode)
+        if len(reads) == 2 and reverse[0] != reverse[1] and all(r[0] >= 0 for r in reads):
             f, r = (0, 1) if not reverse[0] else (1, 0)
             (s1, ops1), (s2, ops2) = reads[f][:2], reads[r][:2]
             e1, e2 = s1 + reference_length(ops1) - 1, s2 + reference_length(ops2) - 1
@@ -143,27 +141,47 @@ def clip_pairs(pairs: DataFrame, mode: str = HARD, fixed: tuple[int, int, int, i
                 middle = (s1 + 1 + e2 + 1) // 2 - 1
                 middle = e1 if middle > e1 else s2 - 1 if middle < s2 else middle
                 for i, n, clip, at_start in ((f, e1 - middle, clip_end, False), (r, middle + 1 - s2, clip_start, True)):
-                    *reads[i], cut = clip(*reads[i], query_bases(reads[i][1], n, at_start), mode)
-                    count[i] += cut
+                    *reads[i], tally[i]["overlap"] = clip(*reads[i], query_bases(reads[i][1], n, at_start), mode)
             if beyond_mate and all(x[0] >= 0 for x in reads):
                 n = [past_mate(reads[i][0], reads[i][1], reverse[i], reads[1 - i][0], reads[1 - i][1]) for i in (0, 1)]
                 for i in (0, 1):
-                    *reads[i], cut = (clip_start if reverse[i] else clip_end)(*reads[i], n[i], mode)
-                    count[i] += cut
-        out = {"qname": row["qname"]}
-        for i, (pos, ops, seq, qual) in enumerate(reads, 1):
-            out |= {f"pos{i}": pos, f"cigar{i}": "".join(f"{k}{op}" for op, k in ops), f"seq{i}": seq, f"qual{i}": qual, f"clipped{i}": count[i - 1]}
+                    *reads[i], tally[i]["beyond"] = (clip_start if reverse[i] else clip_end)(*reads[i], n[i], mode)
+        out = dict.fromkeys(columns) | {"qname": row["qname"]}
+        for i, (pos, ops, seq, qual), t in zip(here, reads, tally, strict=True):
+            lost = sum(t[k] for k in REASONS)
+            post = t["pre"] + t["aligned"] if pos < 0 else clips(ops)  # a read without alignment has all its bases clipped
+            out |= {f"pos{i}": pos, f"cigar{i}": "".join(f"{k}{op}" for op, k in ops), f"seq{i}": seq, f"qual{i}": qual, f"clipped{i}": lost, f"bases{i}": t["aligned"] + t["pre"], f"pre{i}": t["pre"], f"post{i}": post} | {f"{k}{i}": t[k] for k in REASONS}
         return out
 
+    numbers = ("clipped", "bases", "pre", "post", *REASONS)
+    columns = ["qname", *[f"{c}{i}" for i in (1, 2) for c in ("pos", "cigar", "seq", "qual", *numbers)]]
+
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame([one(row) for row in pdf.to_dict("records")], columns=["qname", *[f"{c}{i}" for i in (1, 2) for c in ("pos", "cigar", "seq", "qual", "clipped")]])
+            out = pd.DataFrame([one(row) for row in pdf.to_dict("records")], columns=columns)
+            yield out.astype({f"{c}{i}": "Int64" for i in (1, 2) for c in ("pos", *numbers)})
 
-    return pairs.mapInPandas(run, "qname string, " + ", ".join(f"pos{i} long, cigar{i} string, seq{i} string, qual{i} array<int>, clipped{i} long" for i in (1, 2)))
+    return pairs.mapInPandas(run, "qname string, " + ", ".join(f"pos{i} long, cigar{i} string, seq{i} string, qual{i} array<int>, " + ", ".join(f"{c}{i} long" for c in numbers) for i in (1, 2)))
 
 
 def clipping_metrics(clipped: DataFrame) -> DataFrame:
-    """Reads, and reads and bases clipped, for ReadOne, ReadTwo and Pair."""
-    sides = clipped.select(F.explode(F.array(*[F.struct(F.lit(n).alias("read_type"), F.col(f"clipped{i}").alias("c"), (F.col(f"pos{i}") < 0).alias("u")) for i, n in ((1, "ReadOne"), (2, "ReadTwo"))])).alias("x")).select("x.*")
-    rows = sides.cube("read_type").agg(F.count("*").alias("reads"), F.count_if("u").alias("reads_unmapped"), F.count_if(F.col("c") > 0).alias("reads_clipped"), F.sum("c").alias("bases_clipped"))
-    return rows.withColumn("read_type", F.coalesce("read_type", F.lit("Pair")))
+    """For Fragment, ReadOne, ReadTwo, Pair (both reads of pairs) and All: reads, those without alignment now, and the reads and bases clipped before, after, and for each reason."""
+    numbers = ("bases", "pre", "post", *REASONS)
+    fragment = F.col("pos2").isNull()
+    side = lambda i, kinds: F.struct(kinds.alias("kinds"), (F.col(f"pos{i}") < 0).alias("gone"), *[F.col(f"{c}{i}").alias(c) for c in numbers])
+    one = F.when(fragment, F.array(F.lit("Fragment"), F.lit("All"))).otherwise(F.array(F.lit("ReadOne"), F.lit("Pair"), F.lit("All")))
+    two = F.array(F.lit("ReadTwo"), F.lit("Pair"), F.lit("All"))
+    sides = clipped.select(F.explode(F.array(side(1, one), side(2, two))).alias("x")).select("x.*").filter("bases IS NOT NULL")
+    kept = {c: F.sum(c) for c in numbers} | {f"{c}_reads": F.count_if(F.col(c) > 0) for c in numbers[1:]} | {"reads": F.count("*"), "gone": F.count_if("gone")}
+    # few kinds of sides first, then each to the rows it counts in
+    rows = sides.groupBy("kinds").agg(*[v.alias(k) for k, v in kept.items()]).select(F.explode("kinds").alias("read_type"), *kept).groupBy("read_type").agg(*[F.sum(k).alias(k) for k in kept])
+    every = rows.sparkSession.createDataFrame([(t,) for t in READ_TYPES], "read_type string").join(rows, "read_type", "left").fillna(0)
+    named = {"pre": "pre", "post": "post", "five": "five_prime", "three": "three_prime", "overlap": "overlapping", "beyond": "extending"}
+    return every.select("read_type", "reads", F.col("gone").alias("reads_unmapped"), *[F.col(f"{c}_reads").alias(f"reads_clipped_{n}") for c, n in named.items()], "bases", *[F.col(c).alias(f"bases_clipped_{n}") for c, n in named.items()])
+
+
+def clipped_tag(values: Column, before: Column, after: Column, from_start: Column) -> Column:
+    """A per-base text or array cut like its read, from `before` bases to `after`, at its start or at its end; one of another length than the read had stays."""
+    lost = before - after
+    text = F.when(from_start, F.substring(values, lost + 1, after)).otherwise(F.substring(values, F.lit(1), after))
+    return F.when(F.length(values) == before, text).otherwise(values)

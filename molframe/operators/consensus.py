@@ -13,8 +13,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from molframe.functions.align import read_position, reference_length
 from molframe.functions.bind import let
-from molframe.functions.dna import reverse_complement
+from molframe.functions.dna import flipped, reverse_complement
 from molframe.functions.phred import BASES, LEAST, called, looked_up, right_and_wrong, single_read
 from molframe.session import written
 
@@ -232,6 +233,29 @@ def _duplex(reads: DataFrame, family: list[str], strand: str, min_reads: tuple[i
     return out.select(*family, text("c").alias("seq"), part("c", "qual").alias("qual"), part("c", "depth").alias("depths"), part("c", "errors").alias("errors"), text("a").alias("ac"), text("b").alias("bc"), part("a", "depth").alias("ad"), part("b", "depth").alias("bd"), part("a", "errors").alias("ae"), part("b", "errors").alias("be"))
 
 
+def duplex_pairs(reads: DataFrame, family: list[str], strand: str = "strand", segment: str = "segment", reverse: str = "reverse", min_reads: tuple[int, int, int] = (1, 1, 1), **options) -> tuple[DataFrame, DataFrame]:
+    """(duplexes, rejected). The two reads of a duplex molecule: segment 1 from first reads of strand A and last ones of B, segment 2 from the others, each with a_depth, a_least, a_errors (aD, aM, aE), b_..., and the whole's cD, cM, cE. Molecules whose
+    reads of one segment lie on both genomic strands are rejected as potential_collision, those with one segment alone as orphan_consensus; rejected has (family, reason)."""
+    own = (F.col(strand) == "A") == (F.col(segment) == 1)
+    rows = reads.withColumn("out_", F.when(own, 1).otherwise(2))
+    mixed = rows.groupBy(*family, "out_").agg(F.min(reverse).alias("x"), F.max(reverse).alias("y")).filter("x <> y").select(*family).distinct()
+    found = duplex(rows.join(mixed, family, "left_anti"), [*family, "out_"], strand, min_reads, **options)
+    pair = F.count("*").over(Window.partitionBy(*family))
+    found = found.withColumn("pair_", pair)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, v: s + F.coalesce(v, F.lit(0)))
+    rate = lambda e, d: F.coalesce(F.try_divide(total(e), total(d)), F.lit(0.0)).cast("float")
+    out = found.filter("pair_ = 2").drop("pair_").withColumnRenamed("out_", segment)
+    for name, d, e in (("a", "ad", "ae"), ("b", "bd", "be"), ("c", "depths", "errors")):
+        out = out.withColumns({f"{name}_depth": F.array_max(d), f"{name}_least": F.array_min(d), f"{name}_errors": rate(F.col(e), F.col(d))})
+    orphans = found.filter("pair_ = 1").select(*family, F.lit("orphan_consensus").alias("reason"))
+    return out, mixed.select(*family, F.lit("potential_collision").alias("reason")).unionByName(orphans)
+
+
+def molecule_rx(reads: DataFrame, family: list[str], umi: str = "rx", strand: str = "strand") -> DataFrame:
+    """(family, umi, mixed_lengths): the consensus of a duplex molecule's dual UMIs, those of strand B with halves exchanged."""
+    return umi_consensus(reads.withColumn("umi_", F.when(F.col(strand) == "B", flipped(F.col(umi))).otherwise(F.col(umi))), family, "umi_")
+
+
 def overlap_pair(base1: Column, qual1: Column, base2: Column, qual2: Column, agreement: str = "consensus", disagreement: str = "consensus") -> Column:
     """struct<base1, qual1, base2, qual2> of one position both reads of a template cover. agreement: consensus (sum), max-qual, pass-through; disagreement: consensus (the higher, with the difference), mask-both, mask-lower-qual."""
     out = lambda b1, q1, b2, q2: F.struct(b1.alias("base1"), q1.cast("int").alias("qual1"), b2.alias("base2"), q2.cast("int").alias("qual2"))
@@ -271,9 +295,22 @@ def call_overlaps(pairs: DataFrame, keys: list[str], **options) -> DataFrame:
     return done.select(*keys, "pos1", F.array_join(part(1, "base"), "").alias("seq1"), part(1, "qual").alias("qual1"), "pos2", F.array_join(part(2, "base"), "").alias("seq2"), part(2, "qual").alias("qual2"))
 
 
-def codec(pairs: DataFrame, keys: list[str], outer: int = 5, outer_qual: int | None = None, single_qual: int | None = None, min_duplex: int = 1, max_rate: float = 1.0) -> DataFrame:
+def codec_reason(pos1: Column, ops1: Column, reverse1: Column, pos2: Column, ops2: Column, reverse2: Column, same_reference: Column, min_overlap: int = 1) -> Column:
+    """Why a pair of reads can't be both strands of one fragment, or null: not a forward-reverse pair on one reference, an overlap of fewer reference bases than min_overlap, or an indel inside the overlap that puts the strands' bases out of step."""
+    end1, end2 = pos1 + reference_length(ops1) - 1, pos2 + reference_length(ops2) - 1
+    first, last = F.greatest(pos1, pos2), F.least(end1, end2)
+    forward5, reverse5 = F.when(reverse1, pos2).otherwise(pos1), F.when(reverse1, end1).otherwise(end2)
+    paired = same_reference & (reverse1 != reverse2) & (forward5 <= reverse5)
+    ahead = lambda n, pos, ops: read_position(pos, ops, n)
+    span = lambda pos, ops: ahead(last, pos, ops) - ahead(first, pos, ops)
+    inside = (ahead(first, pos1, ops1) >= 0) & (ahead(first, pos2, ops2) >= 0) & (ahead(last, pos1, ops1) >= 0) & (ahead(last, pos2, ops2) >= 0)
+    in_step = inside & (span(pos1, ops1) == span(pos2, ops2))
+    return F.when(~paired, "not_primary_fr_pair").when(last - first + 1 < min_overlap, "insufficient_overlap").when(~in_step, "indel_error_between_strands")
+
+
+def codec(pairs: DataFrame, keys: list[str], outer: int = 5, outer_qual: int | None = None, single_qual: int | None = None, min_duplex: int = 1, max_rate: float = 1.0, max_unlike: int | None = None) -> DataFrame:
     """One fragment from the consensuses of both strands of a forward-reverse pair (pos1, seq1, qual1; pos2, seq2, qual2, already in reference orientation): where both cover a position their duplex, else the one, its quality
-    lowered to single_qual, and the outermost bases' to outer_qual. Molecules with a shorter overlap or a higher rate of disagreement are dropped."""
+    lowered to single_qual, and the outermost bases' to outer_qual. Molecules with a shorter overlap, or more disagreements or a higher rate of them, are dropped."""
     first, last = F.least("pos1", "pos2"), F.greatest(F.col("pos1") + F.length("seq1"), F.col("pos2") + F.length("seq2"))
     at = lambda n, ref: F.struct(F.substring(f"seq{n}", (ref - F.col(f"pos{n}") + 1).cast("int"), F.lit(1)).alias("base"), F.get(f"qual{n}", (ref - F.col(f"pos{n}")).cast("int")).alias("qual"), F.lit(1).alias("depth"), F.lit(0).alias("errors"))
     covers = lambda n, ref: (ref >= F.col(f"pos{n}")) & (ref < F.col(f"pos{n}") + F.length(f"seq{n}"))
@@ -294,4 +331,4 @@ def codec(pairs: DataFrame, keys: list[str], outer: int = 5, outer_qual: int | N
     rows = pairs.select(*keys, F.transform(F.sequence(first, last - 1), one).alias("x"))
     n = lambda f: F.size(F.filter("x", lambda p: p[f]))
     rows = rows.select(*keys, F.array_join(F.transform("x", lambda p: p["base"]), "").alias("seq"), F.transform("x", lambda p: p["qual"]).alias("qual"), n("duplex").alias("duplex_bases"), n("unlike").alias("disagreements"))
-    return rows.filter((F.col("duplex_bases") >= min_duplex) & (F.col("disagreements") <= F.col("duplex_bases") * max_rate))
+    return rows.filter((F.col("duplex_bases") >= min_duplex) & (F.col("disagreements") <= F.col("duplex_bases") * max_rate) & (F.lit(max_unlike is None) | (F.col("disagreements") <= F.lit(max_unlike or 0))))

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from molframe.functions.align import flag_order, natural_key
+from molframe.functions.align import flag_order, natural_key, read_position, reference_length
+from molframe.functions.dna import molecule_base
 
 LAST = 2**31 - 1
 
@@ -126,6 +127,87 @@ def mate_info(reads: DataFrame, name: str = "qname") -> DataFrame:
     return out.withColumn("tlen", length).drop("n_", "s_", "mate_end")
 
 
+def full_mate_info(reads: DataFrame, name: str = "qname") -> DataFrame:
+    """Primary pairs (segment 1 and 2 of a name; tid, pos, end, reverse, mapq, cigar, unmapped) with mate_tid, mate_pos, mate_reverse, mate_unmapped, mq and mc of their mates and tlen. An unmapped read with a mapped mate is placed where the mate
+    is; mq and mc of unmapped mates are null; tlen is 0 unless both are mapped to one reference. A read without a mate keeps nulls."""
+    taken = ["tid", "pos", "end", "reverse", "mapq", "cigar", "unmapped"]
+    mates = reads.select(F.col(name).alias("n_"), (3 - F.col("segment")).alias("s_"), *[F.col(c).alias(f"{c}_") for c in taken])
+    both = reads.drop("mate_tid", "mate_pos", "mate_reverse", "mate_unmapped", "mq", "mc", "tlen").join(mates, (F.col(name) == F.col("n_")) & (F.col("segment") == F.col("s_")), "left")
+    to_mate, mate_to = F.col("unmapped") & ~F.col("unmapped_"), ~F.col("unmapped") & F.col("unmapped_")
+    five = lambda end, pos, reverse: F.when(F.col(reverse), F.col(end)).otherwise(F.col(pos))
+    one, two = five("end", "pos", "reverse"), five("end_", "pos_", "reverse_")
+    placed = ~F.col("unmapped") & ~F.col("unmapped_") & (F.col("tid") == F.col("tid_"))
+    out = both.select(
+        *[c for c in reads.columns if c not in ("tid", "pos", "mate_tid", "mate_pos", "mate_reverse", "mate_unmapped", "mq", "mc", "tlen")],
+        *[F.when(F.coalesce(to_mate, F.lit(False)), F.col(f"{c}_")).otherwise(F.col(c)).alias(c) for c in ("tid", "pos")],
+        *[F.when(mate_to, F.col(c)).otherwise(F.col(f"{c}_")).alias(f"mate_{c}") for c in ("tid", "pos")],
+        F.col("reverse_").alias("mate_reverse"), F.col("unmapped_").alias("mate_unmapped"), F.when(~F.col("unmapped_"), F.col("mapq_")).alias("mq"), F.when(~F.col("unmapped_"), F.col("cigar_")).alias("mc"),
+        F.when(placed, two - one + F.when(two >= one, 1).otherwise(-1)).otherwise(F.when(F.col("n_").isNotNull(), 0)).cast("long").alias("tlen"),
+    )
+    return out
+
+
+def compare_positional(a: DataFrame, b: DataFrame, ordinal: str, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """Records at equal places that differ: (ordinal, side, columns)."""
+    return compare_content(a, b, [ordinal], ignore)
+
+
+#: What a comparison leaves out, by the step whose output it is for: molecule numbers where they are assigned anew, the template-coordinate tag everywhere.
+PRESETS = {"exact": ("tc",), "group": ("tc", "mi"), "dedup": ("tc", "mi"), "consensus": ("tc",), "filter": ("tc",), "sort": ("tc",)}
+
+
+def compare_reads(a: DataFrame, b: DataFrame, preset: str = "exact", keys: tuple[str, ...] = ("qname", "flag"), ordinal: str | None = None, tags: str = "tags") -> DataFrame:
+    """Differences of two sets of records under a preset: by place where an ordinal is given, else by keys. Tags (a map) are compared without order and without those the preset leaves out; a preset that leaves out mi compares molecules by their reads
+    (compare_molecules) besides."""
+    left_out = PRESETS[preset]
+    plain = lambda df: df.withColumn(tags, F.array_sort(F.map_entries(F.map_filter(tags, lambda k, _: ~F.lower(k).isin(*left_out))))) if tags in df.columns else df
+    if ordinal is not None:
+        return compare_positional(plain(a), plain(b), ordinal, left_out)
+    return compare_content(plain(a), plain(b), list(keys), left_out)
+
+
+def compare_headers(a: list[str], b: list[str], ignore: tuple[str, ...] = ("@PG", "@CO")) -> list[tuple[str, str]]:
+    """(side, line) of header lines that one side alone has, programs and comments aside; the fields of a line come in any order."""
+    kept = lambda lines: {tuple([x.split("\t")[0], *sorted(x.rstrip("\n").split("\t")[1:])]) for x in lines if not x.startswith(ignore)}
+    x, y = kept(a), kept(b)
+    return [("left", "\t".join(v)) for v in sorted(x - y)] + [("right", "\t".join(v)) for v in sorted(y - x)]
+
+
+def strand_partition(a: DataFrame, b: DataFrame, mi: str = "mi", name: str = "qname") -> DataFrame:
+    """Molecules, known by their least read name, whose reads are parted differently into strands (/A and /B, whichever is which): (least)."""
+
+    def parted(df: DataFrame, side: str) -> DataFrame:
+        base = molecule_base(F.col(mi))
+        strands = df.groupBy(base.alias("m_"), F.col(mi).alias("s_")).agg(F.min(name).alias("least"), F.sum(F.xxhash64(name).cast("decimal(38,0)")).alias("sum"))
+        return strands.groupBy("m_").agg(F.min("least").alias("least"), F.array_sort(F.collect_list("sum")).alias(side)).drop("m_")  # two strands
+
+    both = parted(a, "left").join(parted(b, "right"), "least", "full_outer")
+    return both.filter(~F.col("left").eqNullSafe(F.col("right"))).select("least")
+
+
+def bases_at(reads: DataFrame, variants: DataFrame, width: int = 1000, keep: tuple[str, ...] = ("qname", "mi")) -> DataFrame:
+    """(variant columns, the columns of keep, base) of reads (tid, pos, ops, seq) at variant sites (tid, site): * where a deletion spans the site; reads without a place there are left out. Reads and sites meet on windows of `width` positions."""
+    span = reads.select(*keep, "tid", "pos", "ops", "seq", F.explode(F.sequence(F.floor(F.col("pos") / width), F.floor((F.col("pos") + F.greatest(reference_length(F.col("ops")) - 1, F.lit(0))) / width))).alias("cell_"))
+    sites = variants.withColumn("cell_", F.floor(F.col("site") / width)).withColumnRenamed("tid", "v_tid")
+    met = span.join(sites, (F.col("tid") == F.col("v_tid")) & (span["cell_"] == sites["cell_"])).withColumn("at_", read_position(F.col("pos"), F.col("ops"), F.col("site")))
+    base = F.when(F.col("at_") < 0, "*").otherwise(F.substring("seq", (F.col("at_") + 1).cast("int"), F.lit(1)))
+    return met.filter("at_ IS NOT NULL").select(*[c for c in variants.columns if c != "tid"], "tid", *keep, base.alias("base"))
+
+
+def full_review(consensus: DataFrame, grouped: DataFrame, variants: DataFrame, ignore_ns: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(calls, raw): consensus reads whose base at a variant is not the reference's (another base, N unless ignored, or a deletion), and the raw reads of their molecules with the base they have there. calls counts bases over both, distinct by base and
+    read name: the molecule's raw reads and all consensus reads at the site."""
+    at = bases_at(consensus, variants)
+    wrong = at.filter((F.col("base") != F.col("ref")) & (F.lit(not ignore_ns) | (F.col("base") != "N")))
+    keys = ["site", "tid", "ref"]
+    whole = at.select(*keys, "base", "qname").distinct().groupBy(*keys).agg(*[F.count_if(F.col("base") == b).alias(f"consensus_{'del' if b == '*' else b.lower()}") for b in "ACGTN*"])
+    raw = bases_at(grouped.withColumn("mi", molecule_base(F.col("mi"))), variants).join(wrong.select(*keys, molecule_base(F.col("mi")).alias("mi")).distinct(), [*keys, "mi"], "left_semi")
+    counts = raw.select(*keys, "mi", "base", "qname").distinct().groupBy(*keys, "mi").agg(*[F.count_if(F.col("base") == b).alias(f"raw_{'del' if b == '*' else b.lower()}") for b in "ACGTN*"])
+    calls = wrong.select(*keys, F.col("mi"), molecule_base(F.col("mi")).alias("m_"), F.col("qname").alias("consensus_read"), F.col("base").alias("consensus_call"))
+    calls = calls.join(whole, keys).join(counts.withColumnRenamed("mi", "m_"), [*keys, "m_"], "left").drop("m_")
+    return calls, raw
+
+
 def template_coordinate(reads: DataFrame, name: str = "qname") -> DataFrame:
     """reads with tc, the template's two primary 5' places, the lower first, on all its records."""
     end = lambda segment: F.max(F.when(F.col("primary") & (F.col("segment") == segment), F.struct("tid", "five_prime", "reverse"))).over(Window.partitionBy(name))
