@@ -137,3 +137,8 @@ def read_umi_list(inline: list[str], spark: SparkSession | None = None, paths: t
 
 def write_metrics(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """A table of metrics as write_metrics or a tool wrote it: tabs, a line of names, numbers where all values of a column are such; comment lines begin with #."""
+    return spark.read.option("sep", "\t").option("header", "true").option("inferSchema", "true").option("comment", "#").csv(path)
