@@ -210,3 +210,73 @@ def _(spark, d):
     rows = reads(spark, d).withColumn("reason", F.when(F.col("line") == 7, "minority_alignment").when(F.col("line") == 6, "insufficient_reads"))
     out = metrics.consensus_statistics(rows, "reason", rows.select("tid", "pos", "rx").distinct())
     return out.filter("key <> 'frac_raw_reads_used'").select("key", "value")
+
+
+_SITES = "(VALUES " + ", ".join(f"({t}, {s}, '{b}')" for t, s, b in ((1, 8, "A"), (2, 4, "C"), (3, 11, "G"), (0, 7, "T"))) + ") AS v(tid, site, ref)"
+#: The place in the read of a reference offset, by shape: 0-based, -1 in the deletion, null outside.
+_AT = """CASE line % 4 WHEN 0 THEN CASE WHEN o BETWEEN 0 AND 5 THEN o END WHEN 1 THEN CASE WHEN o BETWEEN 0 AND 2 THEN o WHEN o BETWEEN 3 AND 4 THEN o + 1 END
+   WHEN 2 THEN CASE WHEN o BETWEEN 0 AND 1 THEN o WHEN o = 2 THEN -1 WHEN o BETWEEN 3 AND 6 THEN o - 1 END ELSE CASE WHEN o BETWEEN 0 AND 3 THEN o + 2 END END"""
+
+
+def _gapped(spark, d):
+    from molframe.functions.align import cigar
+
+    return reads(spark, d).withColumn("ops", cigar(F.expr(_SHAPE))).withColumn("mi", F.concat_ws(":", "tid", "pos", "rx"))
+
+
+@query("read_position", f", p AS (SELECT qname, line, pos % 9 AS o FROM reads) SELECT qname, CAST({_AT} AS BIGINT) AS place FROM p")
+def _(spark, d):
+    from molframe.functions.align import read_position
+
+    return _gapped(spark, d).select("qname", read_position(F.col("pos"), F.col("ops"), F.col("pos") + F.col("pos") % 9).alias("place"))
+
+
+@query("bases_at_sites", f""", p AS (SELECT v.*, r.qname, r.line, r.seq, v.site - r.pos AS o FROM reads r JOIN {_SITES} ON r.tid = v.tid), q AS (SELECT *, {_AT} AS place FROM p)
+   SELECT site, tid, ref, qname, CASE WHEN place < 0 THEN '*' ELSE substr(seq, CAST(place + 1 AS INT), 1) END AS base FROM q WHERE place IS NOT NULL""")
+def _(spark, d):
+    from molframe.operators.order import bases_at
+
+    sites = spark.createDataFrame([(1, 8, "A"), (2, 4, "C"), (3, 11, "G"), (0, 7, "T")], "tid int, site long, ref string")
+    return bases_at(_gapped(spark, d), sites).select("site", "tid", "ref", "qname", "base")
+
+
+@query("full_mate_info", """, m AS (SELECT *, CASE WHEN reverse THEN pos + 5 ELSE pos END AS x, CASE WHEN mate_reverse THEN mate_pos + 5 ELSE mate_pos END AS y, line = 7 AS u2, line = 6 AND ord % 2 = 0 AS u1 FROM reads)
+   SELECT qname, 1 AS segment, CASE WHEN u1 AND NOT u2 THEN mate_pos ELSE pos END AS pos, CASE WHEN u2 AND NOT u1 THEN pos ELSE mate_pos END AS mate_pos, u2 AS mate_unmapped, CASE WHEN NOT u2 THEN mate_mapq END AS mq, CASE WHEN NOT u2 THEN '6M' END AS mc,
+      CAST(CASE WHEN u1 OR u2 THEN 0 ELSE y - x + CASE WHEN y >= x THEN 1 ELSE -1 END END AS BIGINT) AS tlen FROM m
+   UNION ALL SELECT qname, 2, CASE WHEN u2 AND NOT u1 THEN pos ELSE mate_pos END, CASE WHEN u1 AND NOT u2 THEN mate_pos ELSE pos END, u1, CASE WHEN NOT u1 THEN mapq END, CASE WHEN NOT u1 THEN '6M' END, CAST(CASE WHEN u1 OR u2 THEN 0 ELSE x - y + CASE WHEN x >= y THEN 1 ELSE -1 END END AS BIGINT) FROM m""")
+def _(spark, d):
+    from molframe.operators.order import full_mate_info
+
+    rows = reads(spark, d)
+    one = rows.select("qname", F.lit(1).alias("segment"), "tid", "pos", "reverse", "mapq", ((F.col("line") == 6) & (F.col("ord") % 2 == 0)).alias("unmapped"))
+    two = rows.select("qname", F.lit(2).alias("segment"), "tid", F.col("mate_pos").alias("pos"), F.col("mate_reverse").alias("reverse"), F.col("mate_mapq").alias("mapq"), (F.col("line") == 7).alias("unmapped"))
+    out = full_mate_info(one.union(two).withColumn("end", F.col("pos") + 5).withColumn("cigar", F.lit("6M")))
+    return out.select("qname", "segment", "pos", "mate_pos", "mate_unmapped", "mq", "mc", "tlen")
+
+
+_CLIPPED = """, p AS (SELECT pos + 1 AS s1, pos + 4 AS e1, pos + line - 3 AS s2, pos + line + 1 AS e2 FROM reads), q AS (SELECT *, greatest(s1, s2) <= least(e1, e2) AS meet, (s1 + 1 + e2 + 1) // 2 - 1 AS m0 FROM p),
+   k AS (SELECT *, CASE WHEN m0 > e1 THEN e1 WHEN m0 < s2 THEN s2 - 1 ELSE m0 END AS mid FROM q),
+   n AS (SELECT CASE WHEN meet THEN greatest(0, least(4, e1 - mid)) ELSE 0 END AS o1, CASE WHEN meet THEN greatest(0, least(5, mid + 1 - s2)) ELSE 0 END AS o2 FROM k),
+   r AS (SELECT ['ReadOne', 'Pair', 'All'] AS kinds, 1 AS five, o1 AS o, o1 = 4 AS gone, CASE WHEN o1 = 4 THEN 6 ELSE 2 + o1 END AS post FROM n UNION ALL SELECT ['ReadTwo', 'Pair', 'All'], 0, o2, o2 = 5, CASE WHEN o2 = 5 THEN 6 ELSE 1 + o2 END FROM n),
+   t AS (SELECT unnest(kinds) AS read_type, * EXCLUDE (kinds) FROM r UNION ALL SELECT 'Fragment', NULL, NULL, NULL, NULL)
+   SELECT read_type, count(o) AS reads, count(*) FILTER (gone) AS reads_unmapped, count(o) AS reads_clipped_pre, count(o) AS reads_clipped_post, coalesce(sum(five), 0)::BIGINT AS reads_clipped_five_prime, 0::BIGINT AS reads_clipped_three_prime, count(*) FILTER (o > 0) AS reads_clipped_overlapping,
+      0::BIGINT AS reads_clipped_extending, 6 * count(o) AS bases, count(o) AS bases_clipped_pre, coalesce(sum(post), 0)::BIGINT AS bases_clipped_post, coalesce(sum(five), 0)::BIGINT AS bases_clipped_five_prime, 0::BIGINT AS bases_clipped_three_prime, coalesce(sum(o), 0)::BIGINT AS bases_clipped_overlapping, 0::BIGINT AS bases_clipped_extending
+   FROM t GROUP BY read_type"""
+SQL["clip_pairs"] = DUCK + _CLIPPED
+
+
+_CODEC = """, p AS (SELECT qname, line, pos AS pos1, pos + line - 3 AS pos2 FROM reads)"""
+
+
+@query(
+    "codec_reason",
+    _CODEC
+    + """, c AS (SELECT *, CASE WHEN line = 5 THEN 7 ELSE 5 END AS reach, greatest(pos1, pos2) AS a, least(pos1 + CASE WHEN line = 5 THEN 6 ELSE 5 END, pos2 + 5) AS b FROM p)
+   SELECT qname, CASE WHEN pos1 > pos2 + 5 THEN 'not_primary_fr_pair' WHEN b - a + 1 < 4 THEN 'insufficient_overlap' WHEN line = 5 AND a <= pos1 + 2 AND b >= pos1 + 2 THEN 'indel_error_between_strands' END AS reason FROM c""",
+)
+def _(spark, d):
+    from molframe.functions.align import cigar
+
+    p = reads(spark, d).select("qname", F.col("pos").alias("pos1"), (F.col("pos") + F.col("line") - 3).alias("pos2"), cigar(F.when(F.col("line") == 5, "2M1D4M").otherwise("6M")).alias("ops1"))
+    reason = consensus.codec_reason(F.col("pos1"), F.col("ops1"), F.lit(False), F.col("pos2"), cigar(F.lit("6M")), F.lit(True), F.lit(True), 4)
+    return p.select("qname", reason.alias("reason"))

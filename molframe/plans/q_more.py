@@ -54,7 +54,7 @@ QUERIES["simulate_grouped_reads"] = _simulated
 def _clipped(spark, d):
     ops = lambda n: F.array(F.struct(F.lit("S").alias("op"), F.lit(1).alias("len")), F.struct(F.lit("M").alias("op"), F.lit(n).alias("len")))
     rows = reads(spark, d)
-    pairs = rows.select("qname", *[x for i, p in ((1, F.col("pos")), (2, F.col("pos") + F.col("line") - 3)) for x in (p.alias(f"pos{i}"), ops(5).alias(f"cigar{i}"), F.col("seq").alias(f"seq{i}"), F.col("qual").alias(f"qual{i}"), F.lit(i == 2).alias(f"reverse{i}"))])
+    pairs = rows.select("qname", *[x for i, p in ((1, F.col("pos") + 3), (2, F.col("pos") + F.col("line"))) for x in (p.alias(f"pos{i}"), ops(5).alias(f"cigar{i}"), F.col("seq").alias(f"seq{i}"), F.col("qual").alias(f"qual{i}"), F.lit(i == 2).alias(f"reverse{i}"))])
     return clip.clipping_metrics(clip.clip_pairs(pairs, overlap=True, fixed=(1, 0, 0, 0)))
 
 
