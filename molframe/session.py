@@ -39,9 +39,43 @@ def shared_dir(spark: SparkSession) -> str:
     return got.rstrip("/")
 
 
+#: Scratch tables of this driver, in the order in which they were written.
+_tables: list[str] = []
+
+
 def written(df: DataFrame, name: str = "part") -> DataFrame:
     """Cuts lineage: writes df as parquet below the shared folder and reads it back, so a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _tables.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `written` gave, once nothing that is still to run reads them. Others are left alone."""
+    for df in tables:
+        path = df.__dict__.get("_scratch")
+        if path in _tables:
+            _tables.remove(path)
+            _delete(df.sparkSession, path)
+
+
+def scratch_tables() -> list[str]:
+    """The scratch tables there are, for sweep."""
+    return list(_tables)
+
+
+def sweep(spark: SparkSession, before: list[str], *keep: DataFrame) -> None:
+    """Deletes the scratch tables that came after `before`, but for those of `keep`."""
+    kept = [*before, *[x.__dict__.get("_scratch") for x in keep]]
+    for path in [x for x in _tables if x not in kept]:
+        _tables.remove(path)
+        _delete(spark, path)
