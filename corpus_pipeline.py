@@ -1,7 +1,8 @@
 """A corpus pipeline: quality classifier, near-dedup, repeated passages, source mix, tokens.
 
-Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. Stages but the last return the columns of documents.
-Null texts count as empty ones and stay null until a stage rewrites texts; an empty table gives an empty result.
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. Stages but the last return the columns of documents; further columns of its input, whatever their names, are dropped by the first.
+Null texts count as empty ones and stay null until a stage rewrites texts (the third makes them empty ones); an empty table gives an empty result. Repeated rows are near duplicates of each other, of which one stays; rows that tie
+(equal texts, equal ids) are told apart by nothing but the id, and where ids are equal too, any one stays. Texts are taken whole, however long.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molframe.llm import bpe, mix, neardup, quality, suffix
-from molframe.session import table, written
+from molframe.session import discard, scratch_tables, sweep, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -58,7 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage read and left in the scratch folder goes once its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        before = scratch_tables()
+        done = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        sweep(spark, before, done)
+        discard(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
