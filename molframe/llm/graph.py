@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from molframe.session import written
+from molframe.session import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,11 +15,14 @@ def components(links: DataFrame) -> DataFrame:
     doubling distances. Rounds are written to the shared folder."""
     edges = written(links.select(F.col("a"), F.col("b")).union(links.select(F.col("b"), F.col("a"))).filter(F.col("a") != F.col("b")).distinct(), "edges")
     labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")), "labels")
+    was = labels
     while True:
         near = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         hooked = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         new = written(hooked.join(up, "label", "left").select("node", "was", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
+        discard(was)
         if new.filter(F.col("label") != F.col("was")).isEmpty():
+            discard(edges)
             return new.select("node", "label")
-        labels = new.select("node", "label")
+        labels, was = new.select("node", "label"), new

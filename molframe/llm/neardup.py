@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from molframe.llm.graph import components
 from molframe.llm.rows import sent, sent_type, small_batches
-from molframe.session import table, written
+from molframe.session import discard, scratch_tables, sweep, table, written
 
 SHINGLE, LEAST = 5, 0.8
 #: At a similarity of 0.8 two documents meet in none of the bands with a probability of 5e-8.
@@ -203,7 +203,9 @@ def classes_of(members: DataFrame, verify: Callable[[DataFrame], DataFrame], lea
             known = found.select(F.col("a").alias("node"), F.col("b").alias("label"))
         else:
             found, known = reduce(DataFrame.union, links), labels
+        was_members = members
         members = written(not_settled(members, ends, known, found), "members")
+        discard(was_members, ends)
         n, pairs = unsettled_pairs(members)
         if not pairs:
             return labels
@@ -232,6 +234,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id, class_key binary, class_size): one row for each input row."""
+    before = scratch_tables()
     sketch = written(sketches(df, id_col, text_col), "sketch")
     nodes = written(sketch.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "nodes")
     members = nodes.select(F.explode("bands").alias("band"), "node", "n")
@@ -247,7 +250,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         labels = nodes.select("node", F.col("node").alias("label")).limit(0)
     placed = nodes.select("node", "id", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = placed.groupBy("label").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
-    placed = placed.select("node", "label").join(classes, "label")
+    placed = written(placed.select("node", "label").join(classes, "label"), "placed")
+    sweep(df.sparkSession, before, sketch, placed)
     return sketch.select("id", "node").join(placed, "node").select(F.col("id").alias(id_col), "class_id", F.col("label").alias("class_key"), "class_size")
 
 

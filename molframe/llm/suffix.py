@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from molframe.llm.neardup import mixed
 from molframe.llm.rows import small_batches
-from molframe.session import table, written
+from molframe.session import discard, scratch_tables, sweep, table, written
 
 LENGTH, GRAM = 400, 64
 #: Contents of a part that go to one suffix array at most, and bytes of contents of an array of several parts.
@@ -233,6 +233,7 @@ def _occurrences(df: DataFrame, text_col: str, length: int, gram: int, every: bo
     segments = written(long.mapInPandas(cut, "node binary, anchor long, c1 long, c2 long, start int, windows int, offset int"), "segments")
     often = written(segments.groupBy("anchor").count().filter("count > 1").select("anchor"), "anchors")
     met = written(segments.join(often, "anchor", "left_semi"), "met")
+    discard(segments, often)
     # a row for each different content (its bytes give its anchor): what only one text has needs a closer look if its anchor has others
     own = written(met.groupBy("anchor", *CONTENT).agg(F.count("*").alias("copies"), F.min(F.struct("node", "start")).alias("at"), F.any_value("windows").alias("windows"), F.any_value("offset").alias("offset")), "contents")
     many = written(own.groupBy("anchor").agg(F.count("*").alias("contents"), F.min("copies").alias("least")).filter((F.col("contents") > 1) & (F.lit(every) | (F.col("least") == 1))).select("anchor", "contents"), "parts")
@@ -248,8 +249,11 @@ def _occurrences(df: DataFrame, text_col: str, length: int, gram: int, every: bo
         found.append(inside.select(*CONTENT, (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("end")).alias("end"), "s1", "s2"))
         large = look.filter(F.col("contents") > GROUP)
         if large.isEmpty():
+            discard(look)
             break
+        was = look
         pieces, alike, look = _halved(large, length, every)
+        discard(was)
         # without every, what stands in contents with copies is known already
         owners = pieces.filter(F.lit(every) | (F.col("copies") == 1)).join(alike, [*PART, "d1", "d2"])
         found.append(owners.select(*CONTENT, F.col("first").alias("start"), (F.col("first") + F.col("size")).alias("end"), F.col("d1").alias("s1"), F.col("d2").alias("s2")))
@@ -341,10 +345,13 @@ def _arrays(length: int, every: bool) -> Callable:
 
 def repeat_spans(df: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(node, spans array<struct<start, end>>): byte spans, not yet merged, that repeats cover in the texts of digest node."""
+    before = scratch_tables()
     met, found = _occurrences(df, text_col, length, gram, every=False)
     at = met.select(*CONTENT, "node", F.col("start").alias("base")).join(found, CONTENT)
     span = F.struct((F.col("base") + F.col("start")).alias("start"), (F.col("base") + F.col("end")).alias("end"))
-    return written(at.select("node", span.alias("span")).distinct().groupBy("node").agg(F.collect_list("span").alias("spans")), "spans")
+    spans = written(at.select("node", span.alias("span")).distinct().groupBy("node").agg(F.collect_list("span").alias("spans")), "spans")
+    sweep(df.sparkSession, before, spans)
+    return spans
 
 
 def repeat_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
