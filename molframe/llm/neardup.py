@@ -5,8 +5,8 @@ weight, to random slots; a slot keeps the shingle that arrived first, and a shin
 slot with their probability Jaccard similarity. All shingles have weight 1 here, however often they occur, so that this is the Jaccard similarity of the sets, by which links are decided.
 Bands of slots make candidates; those are verified by the Jaccard similarity of the whole sets, of 32-bit hashes of shingles, and the links found are joined into classes.
 
-Documents with equal sets are one node from the start. In a bucket, every two nodes that may be alike are compared, unless they are in one class already. Rounds of hubs come first: each
-node is paired with two hubs of its bucket, the least node and the one with the most links so far, which then leave that bucket, as their pairs are settled. Once rounds no longer pay, all pairs that are left are compared.
+Documents with equal sets are one node from the start. In every bucket all pairs of nodes are settled. First each node is compared with one other, the most popular it meets, which settles groups of copies of a text that are all alike to one of them. What buckets then still
+have nodes of more than one class, all their pairs across classes are compared: in small buckets as rows; in large ones in one task for each CELL x CELL nodes, where a matrix product of their sets gives every similarity exactly, and only links that join classes leave the task.
 
 Defined results: words are split at white space, in lower case; a text of fewer than five words is one shingle; null texts and texts without words are alike;
 class_id is the least id of the class (null if all are null); repeated rows are in one class; an empty table gives an empty result; extra input columns are ignored.
@@ -14,14 +14,12 @@ class_id is the least id of the class (null if all are null); repeated rows are
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molframe.llm.graph import components
@@ -31,8 +29,9 @@ from molframe.session import discard, scratch_tables, sweep, table, written
 SHINGLE, LEAST = 5, 0.8
 #: At a similarity of 0.8 two documents meet in none of the bands with a probability of 5e-8.
 BANDS, BAND_SLOTS = 32, 4
-#: ROUNDS of hubs are run at least before all pairs that are left are compared, in cells of a side of about CELL nodes.
-SLOTS, ROUNDS, CELL = BANDS * BAND_SLOTS, 3, 500
+SLOTS = BANDS * BAND_SLOTS
+#: Nodes of a bucket that are compared as rows, at most; larger buckets are compared as matrices, CELL nodes against CELL, COLUMNS shingles at once. Both compare all pairs that aren't settled.
+FEW, CELL, COLUMNS = 8, 500, 4096
 #: Words whose shingles are held at once; distinct words whose hashes a worker remembers.
 BLOCK_WORDS, REMEMBERED = 100_000, 100_000
 _NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -129,100 +128,131 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return out.withColumn("id", F.col("id").cast(df.schema[id_col].dataType))
 
 
+def _sizes(m: Column, n: Column, least: float) -> Column:
+    """Whether the sizes of two sets allow a link."""
+    return F.least(m, n) >= F.greatest(m, n) * F.lit(least) - F.lit(1e-9)
+
+
 def possible(pairs: DataFrame, one: str, other: str, least: float) -> DataFrame:
     """(a, b), a < b: of pairs (one, other: node and n) those whose set sizes allow a link."""
-    m, n = F.col(f"{one}.n"), F.col(f"{other}.n")
-    pairs = pairs.filter(F.least(m, n) >= F.greatest(m, n) * F.lit(least) - F.lit(1e-9))
+    pairs = pairs.filter(_sizes(F.col(f"{one}.n"), F.col(f"{other}.n"), least))
     return pairs.select(F.least(f"{one}.node", f"{other}.node").alias("a"), F.greatest(f"{one}.node", f"{other}.node").alias("b")).distinct()
 
 
-def hubs(members: DataFrame) -> DataFrame:
-    """(band, low, high) of members (band, node, n, degree): each bucket's least node and the one with the most links, if they are two."""
-    ends = members.groupBy("band").agg(F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("degree", "node", "n")).alias("high"), F.max(F.struct("node", "n")).alias("last"))
-    # where the least node has the most links, the greatest is the other hub
-    high = F.when(F.col("high.node") == F.col("low.node"), F.col("last")).otherwise(F.struct("high.node", "high.n"))
-    return ends.select("band", "low", high.alias("high")).filter(F.col("low.node") != F.col("high.node"))
-
+def shared(members: DataFrame) -> DataFrame:
+    """members (band, node, n) of the buckets with two nodes or more, with the bucket's size. All else works on these, of which there are far fewer."""
+    buckets = written(members.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"), "buckets")
+    return written(members.join(buckets, "band"), "members")
 
-def with_hubs(members: DataFrame, ends: DataFrame, least: float) -> DataFrame:
-    """(a, b), a < b: each member with the hubs of its buckets."""
-    pairs = members.join(ends, "band").select(F.struct("node", "n").alias("own"), F.explode(F.array("low", "high")).alias("end")).filter(F.col("own.node") != F.col("end.node"))
-    return possible(pairs, "own", "end", least)
 
+def with_hubs(members: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b: each node with one other at most, the most popular of all it shares a bucket with that its set's size allows a link to. A node is popular that meets many others in its buckets: among edited copies of a text the text itself."""
+    popular = members.groupBy("node").agg(F.sum("size").alias("met"))
+    rows = members.join(popular, "node")
+    hubs = written(rows.groupBy("band").agg(F.max(F.struct("met", "node", "n")).alias("hub")), "hubs")
+    near = rows.join(hubs, "band").filter((F.col("node") != F.col("hub.node")) & _sizes(F.col("n"), F.col("hub.n"), least))
+    best = near.groupBy("node").agg(F.max(F.struct("hub.met", "hub.node")).alias("hub"))
+    return best.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
 
-def not_settled(members: DataFrame, ends: DataFrame, labels: DataFrame, links: DataFrame) -> DataFrame:
-    """(band, node, n, degree, label): the members but hubs, of buckets in which these are of more than one component."""
-    degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    of = labels.join(degrees, "node")  # both have the nodes of links
-    rows = members.select("band", "node", "n").join(ends, "band").filter((F.col("node") != F.col("low.node")) & (F.col("node") != F.col("high.node"))).select("band", "node", "n")
-    rows = rows.join(of, "node", "left").select("band", "node", "n", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("label", "node").alias("label"))
-    mixed_ones = rows.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter(F.col("x") != F.col("y")).select("band")
-    return rows.join(mixed_ones, "band", "left_semi")
 
-
-def unsettled_pairs(members: DataFrame) -> tuple[int, int]:
-    """The number of members, and of pairs of members of a bucket that are of different components."""
-    counts = members.groupBy("band", "label").agg(F.count("*").cast("double").alias("c")).groupBy("band").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("within"))
-    n, pairs = counts.agg(F.sum("c"), F.sum((F.col("c") * F.col("c") - F.col("within")) / 2)).first()
-    return int(n or 0), int(pairs or 0)
+def unsettled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """members with label, of the buckets in which nodes are of more than one component."""
+    rows = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed_ones = written(rows.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter(F.col("x") != F.col("y")).select("band"), "mixed")
+    return written(rows.join(mixed_ones, "band", "left_semi"), "unsettled")
 
 
 def across(members: DataFrame, least: float) -> DataFrame:
     """(a, b), a < b: all pairs of members of a bucket that are of different components. A bucket is dealt to the cells of a square, each of about CELL x CELL pairs."""
-    sizes = members.groupBy("band").agg(F.ceil(F.count("*") / F.lit(CELL)).cast("int").alias("side"))
-    rows = members.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("node"), F.col("side")).cast("int")).withColumn("every", F.explode(F.sequence(F.lit(0), F.col("side") - 1)))
+    side = F.ceil(F.col("size") / F.lit(CELL)).cast("int")
+    rows = members.withColumn("own", F.pmod(F.xxhash64("node"), side).cast("int")).withColumn("every", F.explode(F.sequence(F.lit(0), side - 1)))
     one = rows.select("band", F.col("own").alias("x"), F.col("every").alias("y"), F.struct("node", "n").alias("one"), F.col("label").alias("one_label"))
     other = rows.select("band", F.col("every").alias("x"), F.col("own").alias("y"), F.struct("node", "n").alias("other"), F.col("label").alias("other_label"))
     pairs = one.join(other, ["band", "x", "y"]).filter((F.col("one.node") < F.col("other.node")) & (F.col("one_label") != F.col("other_label")))
     return possible(pairs, "one", "other", least)
 
 
-def classes_of(members: DataFrame, verify: Callable[[DataFrame], DataFrame], least: float = LEAST) -> DataFrame | None:
-    """(node, label) of the nodes with links, or None: any two members (band, node, n) of a bucket that `verify` keeps of the pairs (a, b) are linked, directly or over others."""
-    links: list[DataFrame] = []
-    tried: list[DataFrame] = []
-
-    def settled(pairs: DataFrame) -> DataFrame | None:
-        """The labels, after these pairs too."""
-        for t in tried:
-            pairs = pairs.join(t, ["a", "b"], "left_anti")
-        tried.append(pairs := written(pairs, "pairs"))
-        if not pairs.isEmpty():
-            links.append(written(verify(pairs).select("a", "b"), "links"))
-        return components(reduce(DataFrame.union, links)) if links else None
-
-    members = members.withColumn("degree", F.lit(0).cast("long"))
-    labels, was = None, math.inf
-    for done in range(1, 1 << 30):
-        ends = written(hubs(members), "hubs")
-        if ends.isEmpty():
-            return labels
-        labels = settled(with_hubs(members, ends, least))
-        if labels is None:  # no bucket has nodes of like sizes, but their other members may
-            found = members.sparkSession.createDataFrame([], "a binary, b binary")
-            known = found.select(F.col("a").alias("node"), F.col("b").alias("label"))
-        else:
-            found, known = reduce(DataFrame.union, links), labels
-        was_members = members
-        members = written(not_settled(members, ends, known, found), "members")
-        discard(was_members, ends)
-        n, pairs = unsettled_pairs(members)
-        if not pairs:
-            return labels
-        if pairs <= 2 * n or (done >= ROUNDS and pairs > was / 2):
-            return settled(across(members, least))
-        was = pairs
-
-
-def sets_of(pairs: DataFrame, sketch: DataFrame, known: DataFrame | None) -> DataFrame:
-    """(node, shingles) of the pairs' nodes: those known from earlier rounds, and from the sketches only the others, so that the sketches' sets move once."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    if known is not None:
-        nodes = written(nodes.join(known.select("node"), "node", "left_anti"), "new-nodes")
-        if nodes.isEmpty():
-            return known
-    new = written(sketch.select("node", "shingles").join(nodes, "node", "left_semi").groupBy("node").agg(F.any_value("shingles").alias("shingles")), "sets")
-    return new if known is None else known.union(new)
+def linked(sets: list[np.ndarray], parts: np.ndarray, labels: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs of sets of Jaccard similarity `least` or more, enough of them that with equal labels they connect all that such pairs connect. Only pairs of unlike parts count, where there are two."""
+    size = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets)), size)
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    both = often[column] > 1  # what one set alone has is in no intersection
+    renamed = np.cumsum(often > 1) - 1
+    row, column = row[both], renamed[column[both]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    same = np.zeros((len(sets), len(sets)), np.float32)
+    for k in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [k, k + COLUMNS])
+        block = np.zeros((len(sets), COLUMNS), np.float32)
+        block[row[a:b], column[a:b] - k] = 1
+        same += block @ block.T
+    alike = same / (size[:, None] + size[None, :] - same).astype(np.float64) >= least
+    if len(np.unique(parts)) > 1:
+        alike &= parts[:, None] != parts[None, :]
+    out: list[tuple[int, int]] = []
+    todo = np.ones(len(sets), bool)
+    for root in range(len(sets)):  # trees of links, as wide as they come
+        front = [root] if todo[root] else []
+        todo[root] = False
+        while front:
+            i = front.pop()
+            new = np.flatnonzero(alike[i] & todo)
+            todo[new] = False
+            front += new.tolist()
+            out += [(i, j) for j in new.tolist() if labels[i] != labels[j]]
+    return out
+
+
+def dense_links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): links between members (band, node, size, label) of a bucket that are of different components, as many as connect all that are linked; every pair is verified by the whole sets, and none but links leave the task.
+
+    A bucket is dealt to CELL nodes a part; every two parts meet in a task."""
+    small_batches(members)
+    side = F.ceil(F.col("size") / F.lit(CELL)).cast("int")
+    rows = members.withColumn("own", F.pmod(F.xxhash64("node"), side).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), side - 1)))
+    rows = rows.select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "label").join(sets, "node")
+
+    def solve(cell: list[tuple]) -> pd.DataFrame:
+        nodes, owns, labels, shingles = ([r[k] for r in cell] for k in (1, 2, 3, 4))
+        _, codes = np.unique(np.array(labels, object), return_inverse=True)
+        pairs = linked([np.asarray(x, np.int32) for x in shingles], np.array(owns), codes, least) if codes.max() > 0 else []
+        return pd.DataFrame([(nodes[i], nodes[j]) for i, j in pairs], columns=["a", "b"])
+
+    def run(batches):
+        held: list[tuple] = []
+        for pdf in batches:
+            cells = zip(pdf["band"].tolist(), pdf["x"].tolist(), pdf["y"].tolist(), strict=True)
+            for row in zip(cells, map(bytes, pdf["node"]), pdf["own"].tolist(), map(bytes, pdf["label"]), pdf["shingles"], strict=True):
+                if held and row[0] != held[0][0]:
+                    yield solve(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield solve(held)
+
+    return rows.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y").mapInPandas(run, "a binary, b binary").distinct()
+
+
+def classes_of(members: DataFrame, verify: Callable[[DataFrame], DataFrame], least: float = LEAST, dense: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame | None:
+    """(node, label) of the nodes with links, or None: any two members (of `shared`) of a bucket that `verify` keeps of the pairs (a, b) are linked, directly or over others. `dense` gives the links of buckets of more than FEW nodes;
+    without it they are settled pair by pair."""
+    found = written(verify(with_hubs(members, least)).select("a", "b"), "links")
+    labels = None if found.isEmpty() else components(found)
+    left = unsettled(members, labels)
+    if left.isEmpty():
+        return labels
+    few = left.filter(F.col("size") <= FEW) if dense else left
+    links = found.union(written(verify(written(across(few, least), "pairs")).select("a", "b"), "links"))
+    if dense:
+        links = links.union(written(dense(left.filter(F.col("size") > FEW)), "links"))
+    return None if links.isEmpty() else components(links)
+
+
+def sets_of(nodes: DataFrame, sketch: DataFrame) -> DataFrame:
+    """(node, shingles) of the nodes, from the sketches."""
+    return written(sketch.select("node", "shingles").join(nodes.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.any_value("shingles").alias("shingles")), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -237,15 +267,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     before = scratch_tables()
     sketch = written(sketches(df, id_col, text_col), "sketch")
     nodes = written(sketch.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "nodes")
-    members = nodes.select(F.explode("bands").alias("band"), "node", "n")
-    sets: DataFrame | None = None
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        nonlocal sets
-        sets = sets_of(pairs, sketch, sets)
-        return verified(pairs, sets)
-
-    labels = classes_of(members, verify)
+    members = shared(nodes.select(F.explode("bands").alias("band"), "node", "n"))
+    sets = sets_of(members, sketch)
+    labels = classes_of(members, lambda pairs: verified(pairs, sets), dense=lambda rows: dense_links(rows, sets, LEAST))
     if labels is None:
         labels = nodes.select("node", F.col("node").alias("label")).limit(0)
     placed = nodes.select("node", "id", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

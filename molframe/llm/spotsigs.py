@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from molframe.llm.neardup import classes_of
+from molframe.llm.neardup import classes_of, shared
 from molframe.session import table, written
 
 #: Common words of English, French, German and Spanish.
@@ -145,7 +145,7 @@ def spot_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = members.select(F.xxhash64("s", "p").alias("band"), "node", "n")
     of = lambda name: nodes.select(F.col("node").alias(name), F.col("signatures").alias(f"of_{name}"))
     alike = bounded_likeness(F.col("of_a"), F.col("of_b"), least).isNotNull()
-    labels = classes_of(written(members, "spot-members"), lambda pairs: pairs.join(of("a"), "a").join(of("b"), "b").filter(alike).select("a", "b"), least)
+    labels = classes_of(shared(written(members, "spot-members").distinct()), lambda pairs: pairs.join(of("a"), "a").join(of("b"), "b").filter(alike).select("a", "b"), least)
     if labels is None:
         labels = nodes.select("node", F.col("node").alias("label")).limit(0)
     placed = nodes.select("node", "id", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from molframe.llm import neardup as nd
 
@@ -110,7 +111,7 @@ def test_all_pairs_of_buckets(spark, monkeypatch):
     members = spark.createDataFrame([(band, x, 10) for band in (1, 2) for x in names], "band long, node binary, n int")
     links = spark.createDataFrame(sorted(linked), "a binary, b binary")
     monkeypatch.setattr(nd, "CELL", 7)
-    labels = {bytes(x.node): bytes(x.label) for x in nd.classes_of(members, lambda pairs: pairs.join(links, ["a", "b"], "left_semi")).collect()}
+    labels = {bytes(x.node): bytes(x.label) for x in nd.classes_of(nd.shared(members), lambda pairs: pairs.join(links, ["a", "b"], "left_semi")).collect()}
     root = {x: x for x in names}
     for _ in names:
         for a, b in linked:
@@ -127,3 +128,45 @@ def test_much_repeated_line(spark):
         rows += [(i, " ".join(text)), (i + 1, " ".join(text + line * 1000))]
     out = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {x.doc_id: x.class_id for x in out} == {i: i - i % 2 for i, _ in rows}
+
+
+@pytest.mark.parametrize("few", [8, 1])
+def test_edited_copies_without_a_centre(spark, monkeypatch, few):
+    """Copies of a text with ever more edits: links between any two, few to the most popular one; all cells and parts are used."""
+    monkeypatch.setattr(nd, "FEW", few)
+    monkeypatch.setattr(nd, "CELL", 9)
+    monkeypatch.setattr(nd, "COLUMNS", 64)
+    r = random.Random(12)
+    text = [f"w{r.randrange(4000)}" for _ in range(300)]
+    rows = []
+    for i in range(120):
+        own = list(text)
+        for k in r.sample(range(300), i % 24):
+            own[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(own)))
+    rows += [(i + 500, t) for i, t in rows[:30]]
+    same_partition(rows, {x.doc_id: x.class_id for x in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()})
+
+
+def test_links_connect_what_all_pairs_connect():
+    r = random.Random(3)
+    for _ in range(60):
+        base = [r.randrange(1000) for _ in range(30)]
+        sets = [np.unique(np.array(base[: r.randint(15, 30)] + [r.randrange(10**6) for _ in range(r.randint(0, 6))], np.int32)) for _ in range(r.randint(2, 20))]
+        parts = np.array([r.randrange(2) for _ in sets])
+        labels = np.array([r.choice([0, 1, 2, i + 9]) for i in range(len(sets))])
+        two = len(set(parts.tolist())) > 1
+        alike = lambda i, j: len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8  # noqa: B023, E731
+        every = [(i, j) for i in range(len(sets)) for j in range(i) if alike(i, j) and (not two or parts[i] != parts[j])]
+        same = [(i, j) for i in range(len(sets)) for j in range(i) if labels[i] == labels[j]]
+        got = nd.linked(sets, parts, labels, 0.8)
+        assert all((max(x), min(x)) in every for x in got) and len(got) < len(sets)
+
+        def classes(links):
+            of = list(range(len(sets)))  # noqa: B023
+            for i, j in [*links, *same]:  # noqa: B023
+                a, b = of[i], of[j]
+                of = [a if x == b else x for x in of]
+            return [of.index(x) for x in of]
+
+        assert classes(got) == classes(every)
