@@ -22,14 +22,32 @@ from molframe.session import written
 MOST_SHORT = 32767
 #: Reads of a family that go to one task as they are; of larger ones only counts meet.
 DEEP = 100_000
+COUNTS = ("n0", "n1", "n2", "n3")
 
 
 def base_scores(counts: Column, post_umi: int) -> Column:
-    """Log-likelihoods of A, C, G, T of an array of (qual, base, n); summed in that array's order."""
+    """Log-likelihoods of A, C, G, T of an array of (qual, n0..n3: reads with A, C, G, T), summed by ascending quality. Bases of equal evidence get equal numbers, whatever the other bases are."""
     right, wrong = right_and_wrong(post_umi)
-    rows = F.transform(counts, lambda c: F.struct(c["base"].alias("base"), (c["n"] * looked_up(right, c["qual"])).alias("right"), (c["n"] * looked_up(wrong, c["qual"])).alias("wrong")))
-    one = lambda rows, b: F.aggregate(rows, F.lit(0.0), lambda s, c: s + F.when(c["base"] == b, c["right"]).otherwise(c["wrong"]))
-    return let(rows, lambda rows: F.array(*[one(rows, b) for b in BASES]))
+    rows = F.transform(counts, lambda c: F.struct(*[c[n] for n in COUNTS], (c["n0"] + c["n1"] + c["n2"] + c["n3"]).alias("all"), looked_up(right, c["qual"]).alias("right"), looked_up(wrong, c["qual"]).alias("wrong")))
+    term = lambda c, n: F.when(c[n] > 0, c[n] * c["right"]).otherwise(0.0) + (c["all"] - c[n]) * c["wrong"]
+    total = lambda rows, n: F.aggregate(rows, F.lit(0.0), lambda s, c: s + term(c, n))
+    return let(rows, lambda rows: F.array(*[total(rows, n) for n in COUNTS]))
+
+
+def counted(bases: DataFrame, family: list[str]) -> DataFrame:
+    """(family, at, counts array<struct<qual, n0, n1, n2, n3>>, only: the least base with its quality, any: the greatest base) of rows (family, at, base, qual): what meets at a position is a row for each quality."""
+    by_quality = bases.groupBy(*family, "at", "qual").agg(*[F.count_if(F.col("base") == b).alias(n) for n, b in zip(COUNTS, BASES, strict=True)], F.min("base").alias("least_"), F.max("base").alias("most_"))
+    there = F.when(F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3") > 0, F.struct("qual", *COUNTS))
+    return by_quality.groupBy(*family, "at").agg(F.array_sort(F.collect_list(there)).alias("counts"), F.min(F.struct(F.col("least_").alias("base"), "qual")).alias("only"), F.max("most_").alias("any"))
+
+
+def _depth(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0).cast("long"), lambda s, c: s + c["n0"] + c["n1"] + c["n2"] + c["n3"])
+
+
+def _agreeing(counts: Column, base: Column) -> Column:
+    own = lambda c: sum((F.when(base == b, c[n]).otherwise(0) for n, b in zip(COUNTS, BASES, strict=True)), F.lit(0))
+    return F.aggregate(counts, F.lit(0).cast("long"), lambda s, c: s + own(c))
 
 
 def positions(reads: DataFrame, family: list[str], seq: str = "seq", qual: str = "qual") -> DataFrame:
@@ -68,14 +86,11 @@ def _positions(reads: DataFrame, family: list[str], min_reads: int = 1, pre_umi:
     # the lengths of a family are few: the min_reads-th longest by running counts
     lengths = sizes.groupBy(*family, "size_").agg(F.count("*").alias("n_")).withColumn("run_", F.sum("n_").over(Window.partitionBy(*family).orderBy(F.col("size_").desc())))
     nth = lengths.groupBy(*family).agg(F.sum("n_").alias("reads_"), F.max(F.when(F.col("run_") >= min_reads, F.col("size_"))).alias("length_")).filter(F.col("reads_") >= min_reads)
-    bases = positions(sizes, family, seq, qual).groupBy(*family, "at", "base", "qual").agg(F.count("*").alias("n"))
-    # counts first: what meets at a position is at most a row for each base and quality
-    counts = bases.groupBy(*family, "at").agg(F.array_sort(F.collect_list(F.when(F.col("base") != "N", F.struct("qual", "base", "n")))).alias("counts"), F.min(F.struct("base", "qual")).alias("only"))
-    rows = counts.join(nth, family).filter(F.col("at") < F.col("length_"))
-    depth = F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c["n"])
-    rows = rows.withColumn("depth_", depth).withColumn("call", called(base_scores(F.col("counts"), post_umi), pre_umi))
+    # counts first: what meets at a position is at most a row for each quality
+    rows = counted(positions(sizes, family, seq, qual), family).join(nth, family).filter(F.col("at") < F.col("length_"))
+    rows = rows.withColumn("depth_", _depth(F.col("counts"))).withColumn("call", called(base_scores(F.col("counts"), post_umi), pre_umi))
     rows = rows.withColumn("call", F.when(F.col("depth_") == 0, F.struct(F.lit("N").alias("base"), F.lit(LEAST).alias("qual"))).otherwise(F.col("call")))
-    agreeing = F.aggregate(F.filter("counts", lambda c: c["base"] == F.col("call.base")), F.lit(0).cast("long"), lambda s, c: s + c["n"])
+    agreeing = _agreeing(F.col("counts"), F.col("call.base"))
     single = F.col("reads_") == 1
     one_qual = looked_up(single_read(pre_umi, post_umi), F.col("only.qual"))
     base = F.when(single, F.when(one_qual < min_qual, "N").otherwise(F.col("only.base"))).when(F.col("depth_") < min_reads, "N").when(F.col("call.qual") < min_qual, "N").otherwise(F.col("call.base"))
@@ -190,7 +205,7 @@ def umi_consensus(reads: DataFrame, family: list[str], umi: str = "rx") -> DataF
     """(family, umi): the likelihood consensus of a family's UMIs, each base at quality 20; one UMI is itself; UMIs of unlike lengths give the first of them."""
     flat = reads.filter(F.col(umi).isNotNull()).select(*family, F.upper(umi).alias("seq"), F.transform(F.split(F.col(umi), ""), lambda _: F.lit(20)).alias("qual"))
     kinds = flat.groupBy(*family).agg(F.count_distinct("seq").alias("kinds"), F.count_distinct(F.length("seq")).alias("lengths"), F.min("seq").alias("first"))
-    bases = positions(flat, family).groupBy(*family, "at", "base", "qual").agg(F.count("*").alias("n")).groupBy(*family, "at").agg(F.array_sort(F.collect_list(F.when(~F.col("base").isin("N", "-"), F.struct("qual", "base", "n")))).alias("counts"), F.max("base").alias("any"))
+    bases = counted(positions(flat, family), family)
     called_ = F.when(F.size("counts") == 0, F.col("any")).otherwise(called(base_scores(F.col("counts"), 90), 90)["base"])
     text = bases.select(*family, "at", called_.alias("base")).groupBy(*family).agg(F.array_sort(F.collect_list(F.struct("at", "base"))).alias("x"))
     text = text.select(*family, F.array_join(F.transform("x", lambda p: p["base"]), "").alias("text"))

@@ -27,20 +27,24 @@ def query(name: str, sql: str | None):
     return keep
 
 
-def _doubles(values) -> str:
-    return "[" + ", ".join("'-inf'::DOUBLE" if x == float("-inf") else f"{x!r}" if "e" in repr(x) else f"{x!r}e0" for x in values) + "]"
+def _tables_sql(pre: int, post: int) -> str:
+    """The error model from its formulas, in SQL alone: by quality, lists of the log-likelihoods of a right and of a wrong base, and of the quality of a single read."""
+    two = "CASE WHEN greatest({0}, {1}) - least({0}, {1}) >= 6 THEN greatest({0}, {1}) ELSE ln(exp({0}) + exp({1}) - 4.0e0 / 3 * exp({0} + {1})) END"
+    return f"""SELECT list(CASE WHEN t >= 0 THEN '-inf'::DOUBLE ELSE ln(1 - exp(t)) END ORDER BY q) AS ln_right, list(t - ln(3) ORDER BY q) AS ln_wrong,
+      list(CAST(CASE WHEN s < -9.3e0 * ln(10) THEN 93 ELSE least(93, greatest(2, floor(-10 * s / ln(10) + 0.001e0))) END AS INT) ORDER BY q) AS single
+      FROM (SELECT q, {two.format("p", "e")} AS t, {two.format("m", "e")} AS s FROM (SELECT q, -{post} * ln(10) / 10 AS p, -{min(pre, post)} * ln(10) / 10 AS m, -q * ln(10) / 10 AS e FROM range(94) AS r(q)))"""
 
 
 def _consensus_sql(family: str, pre: int = PRE, post: int = POST, min_qual: int = 12, source: str = "reads", name: str = "con") -> str:
     """CTEs that end in `con`: (family, at, base, qual, depth, errors)."""
-    right, wrong = phred.right_and_wrong(post)
     same = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in family.split(", "))
+    scores = ", ".join(f"list_reduce(list_prepend(0.0e0, list_transform(l, lambda x: CASE WHEN x.{b} > 0 THEN x.{b} * ln_right[x.q + 1] ELSE 0.0e0 END + (x.a + x.c + x.g + x.t - x.{b}) * ln_wrong[x.q + 1])), lambda u, y: u + y)" for b in "acgt")
     pre_e, most = phred.ln_error(pre), phred.ln_error(phred.MOST)
-    return f""", {name}_p AS (SELECT {family}, "at", CASE WHEN qual["at" + 1] < {min_qual} THEN 'N' ELSE substr(seq, "at" + 1, 1) END AS base, CASE WHEN qual["at" + 1] < {min_qual} THEN 2 ELSE qual["at" + 1] END AS q FROM {source}, range({LENGTH}) AS t("at")),
+    return f""", {name}_tab AS ({_tables_sql(pre, post)}), {name}_p AS (SELECT {family}, "at", CASE WHEN qual["at" + 1] < {min_qual} THEN 'N' ELSE substr(seq, "at" + 1, 1) END AS base, CASE WHEN qual["at" + 1] < {min_qual} THEN 2 ELSE qual["at" + 1] END AS q FROM {source}, range({LENGTH}) AS t("at")),
    {name}_f AS (SELECT {family}, count(*) AS members FROM {source} GROUP BY ALL),
-   {name}_c AS (SELECT {family}, "at", base, q, count(*) AS n FROM {name}_p GROUP BY ALL),
-   {name}_l AS (SELECT {family}, "at", coalesce(sum(n) FILTER (base <> 'N'), 0) AS depth, coalesce(list({{'q': q, 'b': base, 'n': n}} ORDER BY q, base) FILTER (base <> 'N'), []) AS l, min(base) AS only_base, min(q) AS only_q FROM {name}_c GROUP BY ALL),
-   {name}_s AS (SELECT *, list_transform(['A', 'C', 'G', 'T'], lambda b: list_reduce(list_prepend(0.0e0, list_transform(l, lambda x: x.n * CASE WHEN x.b = b THEN {_doubles(right)}[x.q + 1] ELSE {_doubles(wrong)}[x.q + 1] END)), lambda a, y: a + y)) AS sc FROM {name}_l),
+   {name}_c AS (SELECT {family}, "at", q, count(*) FILTER (base = 'A') AS a, count(*) FILTER (base = 'C') AS c, count(*) FILTER (base = 'G') AS g, count(*) FILTER (base = 'T') AS t, min(base) AS least_base FROM {name}_p GROUP BY ALL),
+   {name}_l AS (SELECT {family}, "at", sum(a + c + g + t) AS depth, coalesce(list({{'q': q, 'a': a, 'c': c, 'g': g, 't': t}} ORDER BY q) FILTER (a + c + g + t > 0), []) AS l, min(least_base) AS only_base, min(q) AS only_q FROM {name}_c GROUP BY ALL),
+   {name}_s AS (SELECT *, [{scores}] AS sc FROM {name}_l, {name}_tab),
    {name}_b AS (SELECT *, list_max(sc) AS best, list_position(sc, list_max(sc)) AS place FROM {name}_s),
    {name}_o AS (SELECT *, len(list_filter(range(1, 5), lambda i: i > place AND abs(sc[i] - best) <= 2.220446049250313e-16)) AS ties, list_sum(list_transform(range(1, 5), lambda i: CASE WHEN i = place THEN 0.0e0 ELSE exp(sc[i] - best) END)) AS others FROM {name}_b),
    {name}_e AS (SELECT *, CASE WHEN others = 0 THEN {pre_e!r}e0 ELSE ln(others) - ln(1 + others) END AS wrong FROM {name}_o),
@@ -49,8 +53,8 @@ def _consensus_sql(family: str, pre: int = PRE, post: int = POST, min_qual: int
    {name}_v AS (SELECT *, CASE WHEN depth = 0 OR ties > 0 THEN 2 WHEN both_ < {most!r}e0 THEN 93 ELSE least(93, greatest(2, CAST(floor(both_ * -4.3429448190325175e0 + 0.001) AS INT))) END AS called_q,
        CASE WHEN depth = 0 OR ties > 0 THEN 'N' ELSE substr('ACGT', CAST(place AS INT), 1) END AS called_b FROM {name}_u),
    {name} AS (SELECT {", ".join(f"v.{k}" for k in family.split(", "))}, v."at", CASE WHEN members = 1 THEN only_base ELSE called_b END AS base,
-       CAST(CASE WHEN members = 1 THEN {phred.single_read(pre, post)}[only_q + 1] WHEN depth < 1 THEN 0 ELSE called_q END AS INT) AS qual, CAST(depth AS INT) AS depth,
-       CAST(CASE WHEN members = 1 THEN 0 ELSE depth - coalesce(list_sum(list_transform(list_filter(l, lambda x: x.b = called_b), lambda x: x.n)), 0) END AS INT) AS errors
+       CAST(CASE WHEN members = 1 THEN single[only_q + 1] WHEN depth < 1 THEN 0 ELSE called_q END AS INT) AS qual, CAST(depth AS INT) AS depth,
+       CAST(CASE WHEN members = 1 THEN 0 ELSE depth - coalesce(list_sum(list_transform(l, lambda x: CASE called_b WHEN 'A' THEN x.a WHEN 'C' THEN x.c WHEN 'G' THEN x.g WHEN 'T' THEN x.t ELSE 0 END)), 0) END AS INT) AS errors
        FROM {name}_v v JOIN {name}_f f ON {same("v", "f")})"""
 
 
@@ -366,7 +370,9 @@ def _(spark, d):
     return p.select("qname", c["clip1"].alias("clip1"), c["clip2"].alias("clip2"))
 
 
-@query("phred_table", " SELECT i AS q, " + _doubles(phred.right_and_wrong(POST)[0]) + "[i + 1] AS ln_right, " + str(phred.single_read(PRE, POST)) + "[i + 1] AS single FROM range(94) AS t(i)")
+@query("phred_table", f", t AS ({_tables_sql(PRE, POST)}) SELECT i AS q, round(CASE WHEN i = 0 THEN -99 ELSE ln_right[i + 1] END, 9) AS ln_right, round(ln_wrong[i + 1], 9) AS ln_wrong, single[i + 1] AS single FROM range(94) AS r(i), t")
 def _(spark, d):
-    right = phred.right_and_wrong(POST)[0]
-    return spark.range(94).select(F.col("id").alias("q"), phred.looked_up(right, F.col("id").cast("int")).alias("ln_right"), phred.looked_up(phred.single_read(PRE, POST), F.col("id").cast("int")).alias("single"))
+    right, wrong = phred.right_and_wrong(POST)
+    q = F.col("id").cast("int")
+    ln_right = F.when(q == 0, F.lit(-99.0)).otherwise(phred.looked_up(right, q))  # of a quality of 0 the formula has next to nothing left of 1
+    return spark.range(94).select(F.col("id").alias("q"), F.round(ln_right, 9).alias("ln_right"), F.round(phred.looked_up(wrong, q), 9).alias("ln_wrong"), phred.looked_up(phred.single_read(PRE, POST), q).alias("single"))

@@ -9,15 +9,14 @@ from molframe.operators.dedup import mark_duplicates
 from molframe.plans.readview import reads
 from molframe.session import table
 from molframe.sources.simulate import grouped_reads
-from molframe.streaming.rates import closed_families
+from molframe.streaming.rates import closed_families, duplicate_rates
 
 QUERIES: dict = {}
 SQL: dict = {}
 
 
 def _events(spark, d):
-    rows = table(spark, d, "events").groupBy(F.window("ts", "1 hour")).agg(F.count("*").alias("events"), F.count_distinct("user_id", "event_type").alias("distinct_keys"))
-    return rows.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "events", "distinct_keys", (1 - F.col("distinct_keys") / F.col("events")).alias("duplicate_rate"))
+    return duplicate_rates(table(spark, d, "events")).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
 
 
 QUERIES["hourly_duplicate_rate"] = _events
@@ -45,7 +44,8 @@ SQL["best_event_of_family"] = """SELECT event_id, user_id, event_type FROM (SELE
 
 
 def _simulated(spark, d):
-    return grouped_reads(spark, 200).groupBy("mi").agg(F.count("*").alias("reads"), F.count_if(F.col("rx") != F.col("true_umi")).alias("wrong_umis"))
+    """As many molecules as there are suppliers."""
+    return grouped_reads(spark, table(spark, d, "supplier").count()).groupBy("mi").agg(F.count("*").alias("reads"), F.count_if(F.col("rx") != F.col("true_umi")).alias("wrong_umis"))
 
 
 QUERIES["simulate_grouped_reads"] = _simulated

@@ -13,9 +13,9 @@ def _timed(rows: DataFrame, ts: str, late: str) -> DataFrame:
 
 
 def duplicate_rates(events: DataFrame, ts: str = "ts", key: tuple[str, ...] = ("user_id", "event_type"), window: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """(start, events, distinct_keys, duplicate_rate) for each tumbling window, for batches and streams alike; distinct keys are estimated in streams of unbounded keys by a sketch."""
+    """(start, events, distinct_keys, duplicate_rate) for each tumbling window, for batches and streams alike; in streams, whose keys are unbounded, distinct keys are estimated by a sketch."""
     rows = _timed(events, ts, late)
-    out = rows.groupBy(F.window(ts, window)).agg(F.count("*").alias("events"), F.approx_count_distinct(F.struct(*key), 0.01).alias("distinct_keys"))
+    out = rows.groupBy(F.window(ts, window)).agg(F.count("*").alias("events"), (F.approx_count_distinct(F.struct(*key), 0.01) if rows.isStreaming else F.count_distinct(*key)).alias("distinct_keys"))
     return out.select(F.col("window.start").alias("start"), "events", "distinct_keys", (1 - F.col("distinct_keys") / F.col("events")).alias("duplicate_rate"))
 
 
