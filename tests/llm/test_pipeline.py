@@ -74,3 +74,23 @@ def test_run_and_empty(spark, stages):
     assert cp.run(spark, DIR).agg(F.sum("n_tokens")).first() == stages[5].agg(F.sum("n_tokens")).first()
     for _, f in cp.STAGES:
         assert f(spark, stages[0].limit(0), DIR).count() == 0
+
+
+def test_built_cases(spark, stages):
+    """Nulls in every column, empty, very long and repeated texts, ties, and extra columns with names that stages use themselves."""
+    own = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in stages[0].limit(60).collect()]
+    long = " ".join(f"word{i % 977} and some more of it" for i in range(20_000))
+    passage = " ".join(f"shared{i}" for i in range(90))
+    cases = [(None, None, None, None, None), (None, "", "en", None, 0), (7_000_000, long, "en", "s", len(long)), (7_000_001, long, "en", "s", len(long)), (7_000_002, f"{passage} one", None, "s", None), (7_000_003, f"two {passage} and others here", None, "s", None)]
+    cases += [own[0], own[0], (own[1][0], own[2][1], "xx", "", 1), (2**60, "é" * 500, None, "é", 1)]
+    extra = ["score", "kept", "spans", "node", "id_", "text_", "copies", "label", "class_id", "first_id", "n_bytes", "ids", "decoded", "found_", "cut_", "band"]
+    docs = spark.createDataFrame([(*r, *["x"] * len(extra)) for r in own + cases], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra))
+    n = docs.count()
+    for name, f in cp.STAGES:
+        out = f(spark, docs, DIR)
+        rows = out.collect()
+        if name != "tokens":
+            assert sorted(out.columns) == sorted(cp.COLUMNS)
+            docs = spark.createDataFrame(rows, out.schema).select("*", *[F.lit("x").alias(c) for c in extra])
+        assert 0 < len(rows) <= 2 * n
+    assert all(r.n_tokens == len(r.ids) for r in rows)
