@@ -237,9 +237,9 @@ def _duplex(reads: DataFrame, family: list[str], strand: str, min_reads: tuple[i
     single = _positions(masked(reads.join(enough, family)), [*family, strand], **options)
     one = F.struct("base", "qual", "depth", "errors")
     both = single.groupBy(*family, "at").agg(F.max(F.when(F.col(strand) == "A", one)).alias("a"), F.max(F.when(F.col(strand) == "B", one)).alias("b"))
-    has = both.groupBy(*family).agg(F.min(F.when(F.col("a").isNotNull(), F.lit(1))).alias("has_a"), F.min(F.when(F.col("b").isNotNull(), F.lit(1))).alias("has_b"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("shared"))
-    rows = both.join(has, family)
-    paired = F.col("has_a").isNotNull() & F.col("has_b").isNotNull()
+    whole = Window.partitionBy(*family)  # rows of positions, not of reads
+    rows = both.withColumn("paired_", (F.count("a").over(whole) > 0) & (F.count("b").over(whole) > 0))
+    paired = F.col("paired_")
     # a duplex is as long as its shorter strand
     rows = rows.filter(~paired | (F.col("a").isNotNull() & F.col("b").isNotNull())).withColumn("c", F.when(paired, combine_strands(F.col("a"), F.col("b"))).otherwise(F.coalesce("a", "b")))
     out = rows.groupBy(*family).agg(F.array_sort(F.collect_list(F.struct("at", "c", "a", "b"))).alias("x"))
