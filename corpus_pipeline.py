@@ -14,6 +14,8 @@ from molframe.llm import bpe, mix, neardup, quality, suffix
 from molframe.session import discard, scratch_tables, sweep, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Bytes of a string that is cut where it stands more than once, and of the anchors it is found by: passages of more than 50 words have about 280 bytes at least.
+PASSAGE, GRAM = 250, 48
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings that occur elsewhere too; a character that a cut leaves in part goes with it."""
-    out = suffix.remove_repeats(docs, keep=("lang", "source"), texts=True)
+    out = suffix.remove_repeats(docs, length=PASSAGE, gram=GRAM, keep=("lang", "source"), texts=True)
     return out.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
