@@ -48,7 +48,7 @@ def test_near_dedup(stages):
 
 def test_repeats(stages):
     rows = [(r.doc_id, r.text) for r in stages[2].collect()]
-    n = {i: a - b for (i, _), (a, b, _, _) in zip(rows, repeats([t for _, t in rows], 400), strict=True)}
+    n = {i: a - b for (i, _), (a, b, _, _) in zip(rows, repeats([t for _, t in rows], cp.PASSAGE), strict=True)}
     got = {r.doc_id: r for r in stages[3].collect()}
     assert got.keys() == n.keys() and all(n[i] - 6 <= len(r.text.encode()) <= n[i] and r.n_chars == len(r.text) for i, r in got.items())
 
