@@ -70,17 +70,41 @@ def correction_metrics(segments: DataFrame, matches: DataFrame, fixed: list[str]
     return every.withColumn("fraction_of_matches", F.try_divide("total_matches", F.sum("total_matches").over(all_))).withColumn("representation", F.try_divide(F.col("total_matches"), list_ / F.lit(len(set(fixed)))))
 
 
-def extract(reads: DataFrame, structures: dict[str, str], name_umi: Column | None = None) -> DataFrame:
-    """reads (qname, <column>, <column>_qual, ...) cut by the read structure of each column: umi, cell, sample barcodes joined by - and template_<i> sequences; an empty template is N."""
+def extract(reads: DataFrame, structures: dict[str, str], name_umi: Column | None = None, qualities: dict[str, str] | None = None, annotate: str | None = None, read_group: str | None = None) -> DataFrame:
+    """reads (qname, <column>, ...) cut by the read structure of each column: umi, cell, sample barcodes joined by - and template_<i> sequences; an empty template is N.
+
+    With qualities (the column of quality text of each column) also umi_qual, cell_qual, sample_qual, joined by spaces, and template_<i>_qual; an empty template's is that of quality 2. A UMI of the name stands first and has no qualities. annotate names a
+    column whose text gets +umi behind it; read_group is a constant rg."""
     by: dict[str, list[Column]] = {k: [] for k in "MCBT"}
+    of: dict[str, list[Column]] = {k: [] for k in "MCBT"}
     for column, text in structures.items():
         segments = parse(text)
         for kind in by:
             by[kind] += pieces(F.col(column), segments, kind)
+            if qualities:
+                of[kind] += pieces(F.col(qualities[column]), segments, kind)
     umi = [*([name_umi] if name_umi is not None else []), *by["M"]]
     named = {"umi": umi, "cell": by["C"], "sample": by["B"]}
-    out = reads.select("*", *[F.concat_ws("-", *parts).alias(name) for name, parts in named.items() if parts])
-    return out.select("*", *[F.when(F.length(t) == 0, "N").otherwise(t).alias(f"template_{i + 1}") for i, t in enumerate(by["T"])])
+    out = reads.select("*", *[F.concat_ws("-", *parts).alias(name) for name, parts in named.items() if parts], *[F.concat_ws(" ", *of[k]).alias(f"{n}_qual") for n, k in (("umi", "M"), ("cell", "C"), ("sample", "B")) if of[k]])
+    out = out.select("*", *[F.when(F.length(t) == 0, "N").otherwise(t).alias(f"template_{i + 1}") for i, t in enumerate(by["T"])], *[F.when(F.length(t) == 0, "#").otherwise(t).alias(f"template_{i + 1}_qual") for i, t in enumerate(of["T"])])
+    if annotate is not None:
+        out = out.withColumn(annotate, F.when(F.length("umi") > 0, F.concat(F.col(annotate), F.lit("+"), F.col("umi"))).otherwise(F.col(annotate)))
+    return out.withColumn("rg", F.lit(read_group)) if read_group is not None else out
+
+
+def template_reason(umi: Column, min_mapq: int = 1, min_umi: int | None = None, malformed: Column | None = None, allow_unmapped: bool = False, no_umi: bool = False, include_non_pf: bool = False) -> Column:
+    """The first failing test of a template of two reads (present<i>, unmapped<i>, qc_fail<i>, mapq<i>, mate_mapq<i>; an absent read has present<i> false): malformed, no primary read, fully unmapped; then of read 1 and read 2 in turn non-PF and MAPQ; then of
+    each in turn the mate's MAPQ and the UMI. Mapping qualities count for mapped reads and mates."""
+    here = lambda i: F.coalesce(F.col(f"present{i}"), F.lit(False))
+    mapped = lambda i: here(i) & ~F.coalesce(F.col(f"unmapped{i}"), F.lit(False))
+    tests = [("malformed_record", malformed), ("no_primary_reads", ~here(1) & ~here(2)), ("fully_unmapped", None if allow_unmapped else ~mapped(1) & ~mapped(2))]
+    for i in (1, 2):
+        tests += [("non_pf", None if include_non_pf else here(i) & F.coalesce(F.col(f"qc_fail{i}"), F.lit(False))), ("low_mapq", mapped(i) & (F.col(f"mapq{i}") < min_mapq))]
+    for i in (1, 2):
+        tests.append(("low_mate_mapq", here(i) & ~F.coalesce(F.col(f"unmapped{3 - i}"), F.lit(False)) & (F.col(f"mate_mapq{i}") < min_mapq)))
+        if not no_umi:
+            tests += [("umi_has_n", here(i) & has_no_call(umi)), ("umi_too_short", here(i) & (called_bases(umi) < min_umi) if min_umi else None), ("umi_missing", here(i) & umi.isNull())]
+    return F.coalesce(*[F.when(test, name) for name, test in tests if test is not None])
 
 
 def zip_many(inputs: list[DataFrame], ordinal: str = "ord", name: str = "qname") -> DataFrame:

@@ -10,7 +10,6 @@ from molframe.functions.structure import parse, pieces
 from molframe.operators import dedup, metrics, template
 from molframe.operators.numbering import running_offsets
 from molframe.plans.readview import DUCK, reads
-from molframe.session import table
 
 QUERIES: dict = {}
 SQL: dict = {}

@@ -280,3 +280,28 @@ def _(spark, d):
     p = reads(spark, d).select("qname", F.col("pos").alias("pos1"), (F.col("pos") + F.col("line") - 3).alias("pos2"), cigar(F.when(F.col("line") == 5, "2M1D4M").otherwise("6M")).alias("ops1"))
     reason = consensus.codec_reason(F.col("pos1"), F.col("ops1"), F.lit(False), F.col("pos2"), cigar(F.lit("6M")), F.lit(True), F.lit(True), 4)
     return p.select("qname", reason.alias("reason"))
+
+
+_QUAL_TEXT = "list_aggregate(list_transform(qual, lambda q: chr(q + 33)), 'string_agg', '')"
+
+
+@query("extract_with_qualities", f""", q AS (SELECT *, {_QUAL_TEXT} AS qt FROM reads) SELECT concat(qname, '+', rx, '-', substr(seq, 1, 3), '-', substr(seq, 6, 1)) AS name, concat(rx, '-', substr(seq, 1, 3), '-', substr(seq, 6, 1)) AS umi, concat(substr(qt, 1, 3), ' ', substr(qt, 6, 1)) AS umi_qual,
+   substr(seq, 4, 2) AS template_1, substr(qt, 4, 2) AS template_1_qual, 'N' AS template_2, '#' AS template_2_qual, 'A' AS rg FROM q""")
+def _(spark, d):
+    from molframe.sources.text import phred_text
+
+    rows = reads(spark, d).select(F.col("qname").alias("name"), "rx", "seq", phred_text(F.col("qual")).alias("qt"), F.substring("dual", 1, 2).alias("short"), F.lit("!!").alias("short_qual"))
+    out = template.extract(rows, {"seq": "3M+T1M", "short": "2S+T"}, F.col("rx"), {"seq": "qt", "short": "short_qual"}, annotate="name", read_group="A")
+    return out.select("name", "umi", "umi_qual", "template_1", "template_1_qual", "template_2", "template_2_qual", "rg")
+
+
+@query(
+    "template_reasons",
+    """, p AS (SELECT qname, line <> 5 AS present1, line <> 4 AS present2, line = 3 AND ord % 3 = 0 AS unmapped1, line = 3 AND ord % 2 = 0 AS unmapped2, mapq % 11 = 0 AS qc_fail1, mate_mapq % 13 = 0 AS qc_fail2, mapq AS mapq1, mate_mapq AS mapq2, raw_umi FROM reads)
+   SELECT qname, CASE WHEN (NOT present1 OR unmapped1) AND (NOT present2 OR unmapped2) THEN 'fully_unmapped' WHEN present1 AND qc_fail1 THEN 'non_pf' WHEN present1 AND NOT unmapped1 AND mapq1 < 9 THEN 'low_mapq' WHEN present2 AND qc_fail2 THEN 'non_pf' WHEN present2 AND NOT unmapped2 AND mapq2 < 9 THEN 'low_mapq'
+      WHEN present1 AND NOT unmapped2 AND mapq2 < 9 THEN 'low_mate_mapq' WHEN contains(raw_umi, 'N') THEN 'umi_has_n' WHEN raw_umi IS NULL AND present1 THEN 'umi_missing' WHEN present2 AND NOT unmapped1 AND mapq1 < 9 THEN 'low_mate_mapq' WHEN raw_umi IS NULL THEN 'umi_missing' END AS reason FROM p""",
+)
+def _(spark, d):
+    cols = "qname, line <> 5 AS present1, line <> 4 AS present2, line = 3 AND ord % 3 = 0 AS unmapped1, line = 3 AND ord % 2 = 0 AS unmapped2, mapq % 11 = 0 AS qc_fail1, mate_mapq % 13 = 0 AS qc_fail2, mapq AS mapq1, mate_mapq AS mapq2, mate_mapq AS mate_mapq1, mapq AS mate_mapq2, raw_umi"
+    rows = reads(spark, d).selectExpr(*cols.split(", "))
+    return rows.select("qname", template.template_reason(F.col("raw_umi"), 9).alias("reason"))
