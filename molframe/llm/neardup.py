@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from molframe.llm.graph import components
 from molframe.llm.rows import sent, sent_type, small_batches
-from molframe.session import discard, scratch_tables, sweep, table, written
+from molframe.session import scratch_tables, sweep, table, written
 
 SHINGLE, LEAST = 5, 0.8
 #: At a similarity of 0.8 two documents meet in none of the bands with a probability of 5e-8.
