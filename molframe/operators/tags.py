@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from molframe.functions.align import REVERSE, has
+from molframe.functions.bind import let
 from molframe.functions.phred import LEAST
 
 
@@ -75,3 +76,22 @@ def mask_strand_methylation(reads: DataFrame, ref: str = "ref", top: tuple[str,
     bases = F.split("seq", "")
     new = F.array_join(F.zip_with(bases, "tests_", lambda b, t: F.when(t, F.lit("N")).otherwise(b)), "")
     return out.withColumn("newly", F.size(F.filter(F.zip_with(bases, "tests_", lambda b, t: t & (b != "N")), lambda x: x))).withColumn("qual", F.zip_with("qual", "tests_", lambda q, t: F.when(t, LEAST).otherwise(q))).withColumn("seq", new).drop("tests_")
+
+
+def modified_bases(seq: Column, modified: Column, probability: Column, base: str = "C", code: str = "m") -> Column:
+    """struct<mm, ml>: the modified bases of a read (array<boolean> and array<int> from 0 to 255, by place) as a delta text, `C+m,` and how many bases of the kind are passed over before each, and their probabilities; null where none is modified."""
+    places = F.filter(F.sequence(F.lit(0), F.greatest(F.length(seq) - 1, F.lit(0))), lambda i: F.substring(seq, i + 1, F.lit(1)) == base)
+    start = F.struct(F.lit(0).alias("passed"), F.array().cast("array<int>").alias("deltas"), F.array().cast("array<int>").alias("ml"))
+
+    def step(s: Column, i: Column) -> Column:
+        hit = F.coalesce(F.get(modified, i), F.lit(False))
+        return F.struct(
+            F.when(hit, 0).otherwise(s["passed"] + 1).alias("passed"),
+            F.when(hit, F.concat(s["deltas"], F.array(s["passed"]))).otherwise(s["deltas"]).alias("deltas"),
+            F.when(hit, F.concat(s["ml"], F.array(F.get(probability, i)))).otherwise(s["ml"]).alias("ml"),
+        )
+
+    def text(x: Column) -> Column:
+        return F.when(F.size(x["deltas"]) > 0, F.struct(F.concat(F.lit(f"{base}+{code},"), F.array_join(x["deltas"].cast("array<string>"), ","), F.lit(";")).alias("mm"), x["ml"].alias("ml")))
+
+    return let(F.aggregate(places, start, step), text)

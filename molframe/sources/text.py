@@ -114,14 +114,39 @@ def read_variants(spark: SparkSession, path: str, sample: str | None = None, maf
     return out.filter(F.col("maf").isNull() | (F.col("maf") <= maf)) if maf is not None else out
 
 
-def read_reference(spark: SparkSession, path: str) -> DataFrame:
-    """(chrom, ref_pos, ref): a row for each base of a FASTA file."""
+#: Bases of a piece of a contig.
+PIECE = 10_000
+
+
+def read_reference_pieces(spark: SparkSession, path: str, size: int = PIECE) -> DataFrame:
+    """(chrom, piece, bases): the contigs of a FASTA file in upper case, in pieces of `size` bases; place p of a contig is in piece p div size."""
     text = spark.read.option("lineSep", ">").text(path).filter(F.length(F.trim("value")) > 0)
     parts = text.select(F.regexp_extract("value", r"^(\S+)", 1).alias("chrom"), F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n", ""), r"\s", "")).alias("bases"))
-    # a contig is dealt in pieces, so that no array of its bases is built
-    size = 10_000
-    pieces = parts.select("chrom", F.explode(F.sequence(F.lit(0), F.floor((F.length("bases") - 1) / size))).alias("k"), "bases").select("chrom", "k", F.expr(f"substring(bases, CAST(k * {size} + 1 AS INT), {size})").alias("piece"))
-    return pieces.select("chrom", "k", F.posexplode(F.split("piece", "")).alias("i", "ref")).filter("ref <> ''").select("chrom", (F.col("k") * size + F.col("i")).alias("ref_pos"), "ref")
+    pieces = parts.filter(F.length("bases") > 0).select("chrom", F.explode(F.sequence(F.lit(0), F.floor((F.length("bases") - 1) / size))).alias("piece"), "bases")
+    return pieces.select("chrom", "piece", F.expr(f"substring(bases, CAST(piece * {size} + 1 AS INT), {size})").alias("bases"))
+
+
+def reference_lengths(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom, length) of a FASTA file's contigs: its sequence dictionary."""
+    return read_reference_pieces(spark, path).groupBy("chrom").agg(F.sum(F.length("bases")).cast("long").alias("length"))
+
+
+def read_reference(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom, ref_pos, ref): a row for each base of a FASTA file."""
+    rows = read_reference_pieces(spark, path).select("chrom", "piece", F.posexplode(F.split("bases", "")).alias("i", "ref"))
+    return rows.filter("ref <> ''").select("chrom", (F.col("piece") * PIECE + F.col("i")).alias("ref_pos"), "ref")
+
+
+def reference_at(reads: DataFrame, pieces: DataFrame, chrom: str = "chrom", start: str = "pos", length: str = "length", size: int = PIECE) -> DataFrame:
+    """reads with ref, the reference's bases from `start` (0-based) over `length` places: the distinct places of reads meet the pieces they touch, one or two for most."""
+    places = reads.select(F.col(chrom).alias("c_"), F.col(start).alias("s_"), F.col(length).alias("l_")).distinct()
+    span = places.withColumn("p_", F.explode(F.sequence(F.floor(F.col("s_") / size), F.floor((F.col("s_") + F.greatest(F.col("l_"), F.lit(1)) - 1) / size))))
+    low = F.greatest(F.col("s_") - F.col("p_") * size, F.lit(0))
+    high = F.least(F.col("s_") + F.col("l_") - F.col("p_") * size, F.lit(size))
+    met = span.join(pieces, (F.col("c_") == F.col("chrom")) & (F.col("p_") == F.col("piece")))
+    cut = met.select("c_", "s_", "l_", "p_", F.substring("bases", (low + 1).cast("int"), (high - low).cast("int")).alias("b_"))
+    ref = cut.groupBy("c_", "s_", "l_").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_", "b_"))), lambda x: x["b_"]), "").alias("ref"))
+    return reads.join(ref, (reads[chrom] == F.col("c_")) & (reads[start] == F.col("s_")) & (reads[length] == F.col("l_")), "left").drop("c_", "s_", "l_")
 
 
 def read_umi_list(inline: list[str], spark: SparkSession | None = None, paths: tuple[str, ...] = ()) -> list[str]:

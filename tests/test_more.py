@@ -152,3 +152,34 @@ def test_streams_with_state(spark, tmp_path):
     assert running.zip_streams([one, one]).count() == 2
     with pytest.raises(Exception, match="differ"):
         running.zip_streams([one, one.withColumn("qname", F.lit("z"))]).collect()
+
+
+def test_modified_bases(spark):
+    from molframe.operators.tags import modified_bases
+
+    r = random.Random(8)
+    rows = []
+    for _ in range(60):
+        seq = "".join(r.choice("ACGT") for _ in range(r.randint(0, 30)))
+        rows.append((seq, [r.random() < 0.4 for _ in seq], [r.randrange(256) for _ in seq]))
+    for x in spark.createDataFrame(rows, "seq string, m array<boolean>, p array<int>").select("*", modified_bases(F.col("seq"), F.col("m"), F.col("p")).alias("t")).collect():
+        at = [i for i, b in enumerate(x.seq) if b == "C"]
+        hits = [k for k, i in enumerate(at) if x.m[i]]
+        if not hits:
+            assert x.t is None
+        else:
+            assert x.t.mm == "C+m," + ",".join(str(k - p - 1) for p, k in zip([-1, *hits], hits, strict=False)) + ";" and x.t.ml == [x.p[at[k]] for k in hits]
+
+
+def test_reference_pieces(spark, tmp_path):
+    from molframe.sources.text import read_reference, read_reference_pieces, reference_at, reference_lengths
+
+    r = random.Random(5)
+    contigs = {"a": "".join(r.choice("ACGT") for _ in range(257)), "b": "".join(r.choice("ACGT") for _ in range(40))}
+    (tmp_path / "r.fa").write_text("".join(f">{k} x\n" + "\n".join(v[i : i + 60].lower() for i in range(0, len(v), 60)) + "\n" for k, v in contigs.items()))
+    path = str(tmp_path / "r.fa")
+    assert {x.chrom: x.length for x in reference_lengths(spark, path).collect()} == {k: len(v) for k, v in contigs.items()}
+    assert sorted((x.chrom, x.ref_pos, x.ref) for x in read_reference(spark, path).collect()) == [(k, i, b) for k, v in contigs.items() for i, b in enumerate(v)]
+    reads = [(k, p, n) for k, v in contigs.items() for p in range(0, len(v), 7) for n in (0, 1, 33) if p + n <= len(v)]
+    got = reference_at(spark.createDataFrame(reads, "chrom string, pos long, length int"), read_reference_pieces(spark, path, 16), size=16)
+    assert all(x.ref == contigs[x.chrom][x.pos : x.pos + x.length] for x in got.collect()) and got.count() == len(reads)
