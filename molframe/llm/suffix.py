@@ -24,7 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molframe.llm.neardup import mixed
@@ -32,6 +32,8 @@ from molframe.llm.rows import small_batches
 from molframe.session import discard, scratch_tables, sweep, table, written
 
 LENGTH, GRAM = 400, 64
+#: Bytes of a string that counts as a shared passage: those of more than 50 words have about 280 at least.
+PASSAGE = 250
 #: Contents of a part that go to one suffix array at most, and bytes of contents of an array of several parts.
 GROUP, ARRAY_BYTES = 1000, 1 << 18
 #: Bytes of a document hashed at once.
@@ -408,6 +410,36 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def cover(spans: Column) -> Column:
+    """struct<total, longest>: the bytes that spans cover, and those of their longest run without a gap."""
+    start = F.struct(F.lit(0).alias("begin"), F.lit(0).alias("reach"), F.lit(0).alias("total"), F.lit(0).alias("longest"))
+
+    def step(s: Column, x: Column) -> Column:
+        begin = F.when(x["start"] > s["reach"], x["start"]).otherwise(s["begin"])
+        reach = F.greatest(s["reach"], x["end"])
+        total = s["total"] + F.greatest(reach - F.greatest(s["reach"], x["start"]), F.lit(0))
+        return F.struct(begin.alias("begin"), reach.alias("reach"), total.alias("total"), F.greatest(s["longest"], reach - begin).alias("longest"))
+
+    done = F.aggregate(F.array_sort(spans), start, step)
+    return F.transform(F.array(done), lambda x: F.struct(x["total"].alias("total"), x["longest"].alias("longest")))[0]
+
+
+def repeats_and_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
+    """remove_repeats with n_shared: the bytes covered by shorter strings too, of `passage` bytes, that start anywhere else; these stay in the text.
+
+    The shorter strings are looked for first. A string of `length` bytes that starts elsewhere lies in a run of them, so texts without a run of that size need no second look."""
+    small_batches(df)
+    near = repeat_spans(df, text_col, passage, min(gram, passage // 5))
+    rows = _keyed(df, text_col, F.col(id_col).alias("id_")).join(near, "node", "left")
+    rows = written(rows.select("id_", "text", cover(F.coalesce("spans", F.array().cast(near.schema["spans"].dataType))).alias("cover_")), "passages")
+    runs = rows.filter(F.col("cover_.longest") >= length).select("id_", "text", F.col("cover_.total").alias("shared_"))
+    cut = remove_repeats(runs, "id_", "text", length, gram, keep=("shared_",))
+    whole = rows.filter(F.col("cover_.longest") < length)
+    kept = F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
+    rest = whole.select("id_", F.col("cover_.total").alias("shared_"), F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"), kept)
+    return cut.unionByName(rest).select(F.col("id_").alias(id_col), "n_bytes", "n_removed", "spans", "kept_sha256", F.col("shared_").cast("long").alias("n_shared"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeats(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    out = repeats_and_passages(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256", "n_shared")

@@ -118,8 +118,22 @@ def test_groups_hold_all_occurrences(spark, monkeypatch, group):
 def test_documents_against_brute_force(spark):
     rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{DIR}/documents.parquet").collect())
     want = {i: x for (i, _), x in zip(rows, brute([t for _, t in rows], 400), strict=True)}
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sx.op3_suffix_dedup(spark, DIR).collect()}
-    assert got == want
+    out = sx.op3_suffix_dedup(spark, DIR).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == want and len(out) == len(rows)
+    shared = {i: x[1] for (i, _), x in zip(rows, brute([t for _, t in rows], sx.PASSAGE), strict=True)}
+    assert {r.doc_id: r.n_shared for r in out} == shared
+
+
+def test_passages_and_repeats(spark):
+    """Nulls, repeated rows, runs that are long enough without a repeat of that size, and extra columns."""
+    r = random.Random(11)
+    texts = [*some_texts(r, 80, 40), None, "", "q" * 100, "copy of a text that is there twice, no more", "copy of a text that is there twice, no more"]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)] + [(None, texts[0], "x", 1)], "doc_id long, text string, cover_ string, shared_ int")
+    out = sx.repeats_and_passages(df, length=40, passage=20, gram=8).collect()
+    every = [*texts, texts[0]]
+    want = {i if i < len(texts) else None: (*x, y[1]) for i, (x, y) in enumerate(zip(brute(every, 40), brute(every, 20), strict=True))}
+    assert {x.doc_id: (x.n_bytes, x.n_removed, len(x.spans), x.kept_sha256, x.n_shared) for x in out} == want and len(out) == len(every)
+    assert sx.repeats_and_passages(df.limit(0)).count() == 0
 
 
 def test_edges(spark):
