@@ -12,6 +12,9 @@ An array takes the contents of one part whole. An anchor of more contents than a
 right, so the contents are cut in two halves of their windows and parted by the bytes that all windows of a half share. This goes on, at most until parts are of single windows, where contents that are
 in one part are equal. The answers are the same at every limit; hashes only choose anchors, and no decision rests on them.
 
+Before they go to the array, the contents of a part are narrowed to what any other may share: equal windows have their anchors at the same place, so no shared string reaches farther from the anchor than the longest prefix that
+a content has in common with another to the right of the anchor, and to its left.
+
 Defined results: a null text is empty; texts shorter than LENGTH keep all bytes; matches never cross documents; repeated rows are copies of each other; an empty table gives
 an empty result; extra input columns are ignored.
 """
@@ -21,6 +24,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from itertools import groupby, pairwise
 
 import numpy as np
 import pandas as pd
@@ -107,31 +111,32 @@ def suffix_array(contents: list[bytes], least: int) -> tuple[np.ndarray, np.ndar
     for k in range(7):  # the first ranks: 7 symbols of 9 bits, 0 after the end
         inside = left > k
         code = (code << 9) | np.where(inside, np.concatenate([data[k:], np.zeros(k, np.uint8)])[: len(data)].astype(np.int64) + 1, 0)
-    ranks, step = [], 7
-    rank = _ranks(code)
-    ranks.append((step, rank.astype(np.int32)))
-    while step < size.max():
-        nxt = np.zeros(len(data), np.int64)
-        nxt[:-step] = rank[step:]
-        rank = _ranks(rank * (len(data) + 2) + np.where(left > step, nxt + 1, 0))
-        step *= 2
-        ranks.append((step, rank.astype(np.int32)))
+    wide = 3 if len(data) < 1 << 20 else 2  # ranks that one number holds
     places = np.flatnonzero(left >= least)
-    places = places[np.argsort(rank[places], kind="stable")]
+
+    def joined(rank: np.ndarray, step: int, at: np.ndarray | slice) -> np.ndarray:
+        """From ranks of `step` bytes, a code of `wide` times as many."""
+        out = rank[at]
+        for k in range(step, wide * step, step):
+            after = np.concatenate([rank[k:], np.zeros(min(k, len(rank)), np.int64)])
+            out = out * (len(data) + 2) + np.where(left[at] > k, after[at] + 1, 0)
+        return out
+
+    ranks, step, rank = [(1, data)], 7, _ranks(code)
+    while step * wide < size.max():
+        ranks.append((step, rank.astype(np.int32)))
+        rank, step = _ranks(joined(rank, step, slice(None))), step * wide
+    ranks.append((step, rank.astype(np.int32)))
+    places = places[np.argsort(joined(rank, step, places))]  # the last round needs no others
     a, b = places[:-1], places[1:]
     most = np.minimum(left[a], left[b])
     lcp = np.zeros(len(a), np.int64)
     for step, rank in reversed(ranks):  # equal blocks of falling length
-        fits = lcp + step <= most
-        same = fits.copy()
-        same[fits] = rank[a[fits] + lcp[fits]] == rank[b[fits] + lcp[fits]]
-        lcp[same] += step
-    for _ in range(7):
-        more = lcp < most
-        more[more] = data[a[more] + lcp[more]] == data[b[more] + lcp[more]]
-        if not more.any():
-            break
-        lcp[more] += 1
+        live = np.arange(len(a))
+        while len(live):
+            live = live[lcp[live] + step <= most[live]]
+            live = live[rank[a[live] + lcp[live]] == rank[b[live] + lcp[live]]]
+            lcp[live] += step
     return places, np.concatenate([[0], lcp])[: len(places)], of, data
 
 
@@ -150,17 +155,16 @@ def maximal_repeats(contents: list[bytes], least: int) -> list[tuple[int, np.nda
         return []
     places, lcp, of, data = suffix_array(contents, least)
     size = np.array([len(c) for c in contents])
-    begin = np.cumsum(size) - size
-    start = places - begin[of[places]]
+    start = places - (np.cumsum(size) - size)[of[places]]
     before = np.where(start > 0, data[np.maximum(places - 1, 0)].astype(np.int64), -1 - of[places])  # a content's begin is unlike all else
     change = np.concatenate([[0], np.cumsum(before[1:] != before[:-1])])  # equal over an interval without diversity to the left
-    out, stack = [], []  # stack of (common prefix, first suffix)
-    deep = np.flatnonzero(lcp >= least)
-    runs = np.split(deep, np.flatnonzero(np.diff(deep) > 1) + 1) if len(deep) else []
-    for run in runs:  # suffixes run[0]-1 .. run[-1] share at least `least` bytes
-        values = lcp[run].tolist()
-        stack = []
-        for k, value in zip([*run.tolist(), int(run[-1]) + 1], [*values, 0], strict=True):
+    out = []
+    deep = np.concatenate([[False], lcp >= least, [False]])
+    first, last = np.flatnonzero(deep[1:-1] & ~deep[:-2]), np.flatnonzero(deep[1:-1] & ~deep[2:])
+    diverse = change[last] != change[first - 1]  # the others have no maximal repeats
+    for begin, end in zip(first[diverse].tolist(), last[diverse].tolist(), strict=True):  # suffixes begin-1 .. end share at least `least` bytes
+        stack = []  # of (common prefix, first suffix)
+        for k, value in zip(range(begin, end + 2), [*lcp[begin : end + 1].tolist(), 0], strict=True):
             low = k - 1
             while stack and stack[-1][0] > value:
                 length, low = stack.pop()
@@ -171,6 +175,25 @@ def maximal_repeats(contents: list[bytes], least: int) -> list[tuple[int, np.nda
     return out
 
 
+def common(a: bytes, b: bytes) -> int:
+    """Bytes of the longest common prefix."""
+    n = min(len(a), len(b))
+    return n - ((int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])).bit_length() + 7) // 8
+
+
+def narrowed(contents: list[bytes], offsets: list[int], least: int) -> list[tuple[int, int]]:
+    """(start, end) in each content of a part: all strings of at least `least` bytes around the anchor, which is at its offset, that another content has around its anchor are inside; (0, 0) if there are none."""
+    reach = []
+    for sides in ([c[:k][::-1] for c, k in zip(contents, offsets, strict=True)], [c[k:] for c, k in zip(contents, offsets, strict=True)]):
+        order = sorted(range(len(sides)), key=sides.__getitem__)
+        near = [0, *[common(sides[a], sides[b]) for a, b in pairwise(order)], 0]  # in order, the most alike stand side by side
+        most = [0] * len(sides)
+        for k, c in enumerate(order):
+            most[c] = max(near[k], near[k + 1])
+        reach.append(most)
+    return [(k - a, k + b) if a + b >= least else (0, 0) for k, a, b in zip(offsets, *reach, strict=True)]
+
+
 def covered(repeats: list[tuple[int, np.ndarray, np.ndarray]], n: int) -> list[list[tuple[int, int]]]:
     """Spans of each of n contents that repeats cover, merged."""
     spans: list[list[tuple[int, int]]] = [[] for _ in range(n)]
@@ -180,6 +203,16 @@ def covered(repeats: list[tuple[int, np.ndarray, np.ndarray]], n: int) -> list[l
     return [merged(x) for x in spans]
 
 
+def long_runs(bounds: np.ndarray, length: int) -> list[tuple[int, int]]:
+    """Runs of at least `length` bytes that spans cover without a gap, from start, end, start, end and so on."""
+    start, end = np.asarray(bounds, np.int64).reshape(-1, 2).T
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(end[order])
+    first = np.flatnonzero(np.concatenate([[True], start[1:] > reach[:-1]])[: len(start)])
+    last = np.append(first[1:], len(start))[: len(first)] - 1
+    return [(a, b) for a, b in zip(start[first].tolist(), reach[last].tolist(), strict=True) if b - a >= length]
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -197,16 +230,20 @@ def _keyed(df: DataFrame, text_col: str, *more) -> DataFrame:
     return df.select(*more, F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32)).alias("node"), text.alias("text"))
 
 
+def _node() -> Column:
+    """The digest of a text from n1 and n2, the numbers that it goes by where rows are many."""
+    return F.unhex(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("n1", "n2")]))
+
+
 def _frames(names: str, parts: Iterable[tuple]) -> Iterator[pd.DataFrame]:
-    """Frames of about FRAME_ROWS rows from (first column's value, arrays of the other columns)."""
+    """Frames of about FRAME_ROWS rows from (digest of a text, arrays of the columns after n1 and n2)."""
     held: list[tuple] = []
     rows = 0
 
     def frame() -> pd.DataFrame:
-        sizes = [len(p[1]) for p in held]
-        first = np.empty(len(held), object)
-        first[:] = [p[0] for p in held]
-        return pd.DataFrame(dict(zip(names.split(), [np.repeat(first, sizes), *(np.concatenate(x) for x in list(zip(*held, strict=True))[1:])], strict=True)))
+        nodes = np.frombuffer(b"".join(bytes(p[0]) for p in held), ">i8").astype(np.int64).reshape(-1, 2)
+        nodes = np.repeat(nodes, [len(p[1]) for p in held], axis=0)
+        return pd.DataFrame(dict(zip(names.split(), [nodes[:, 0], nodes[:, 1], *(np.concatenate(x) for x in list(zip(*held, strict=True))[1:])], strict=True)))
 
     for part in parts:
         if len(part[1]):
@@ -222,22 +259,32 @@ def _frames(names: str, parts: Iterable[tuple]) -> Iterator[pd.DataFrame]:
 CONTENT = ["c1", "c2"]
 
 
-def _occurrences(df: DataFrame, text_col: str, length: int, gram: int, every: bool) -> tuple[DataFrame, DataFrame]:
-    """(met, found). met (node, anchor, c1, c2, start, windows, offset): the segments whose anchors occur more than once. found (c1, c2, start, end, s1, s2): the strings in the contents that are repeats; a content that has
+def _occurrences(texts: DataFrame, length: int, gram: int, every: bool) -> tuple[DataFrame, DataFrame]:
+    """(met, found) of texts (node, text, and perhaps runs: bounds of the byte spans outside which no repeat is looked for). met (n1, n2, anchor, c1, c2, start, windows, offset): the segments whose anchors occur more than once. found (c1, c2, start, end, s1, s2): the strings in the contents that are repeats; a content that has
     copies is one as a whole. Unless every, contents with copies have no further rows, and overlapping spans of the others are merged, with null digests s1, s2."""
-    texts = _keyed(df, text_col)
 
     def cut(batches):
         own = Segmenter(length, gram)
-        yield from _frames("node anchor c1 c2 start windows offset", ((node, *own.segments(text.encode())) for pdf in batches for node, text in zip(pdf["node"], pdf["text"], strict=True)))
+
+        def parts():
+            for pdf in batches:
+                for node, text, *runs in zip(*(pdf[c] for c in pdf.columns), strict=True):
+                    data = text.encode()
+                    for a, b in long_runs(*runs, length) if runs else [(0, len(data))]:
+                        anchor, c1, c2, start, windows, offset = own.segments(data[a:b])
+                        yield node, anchor, c1, c2, start + a, windows, offset
+
+        yield from _frames("n1 n2 anchor c1 c2 start windows offset", parts())
 
     long = texts.filter(F.octet_length("text") >= length)
-    segments = written(long.mapInPandas(cut, "node binary, anchor long, c1 long, c2 long, start int, windows int, offset int"), "segments")
+    texts = texts.select("node", "text")
+    segments = written(long.mapInPandas(cut, "n1 long, n2 long, anchor long, c1 long, c2 long, start int, windows int, offset int"), "segments")
     often = written(segments.groupBy("anchor").count().filter("count > 1").select("anchor"), "anchors")
-    met = written(segments.join(often, "anchor", "left_semi"), "met")
+    met = written(segments.join(often.hint("shuffle_hash"), "anchor", "left_semi"), "met")
     discard(segments, often)
     # a row for each different content (its bytes give its anchor): what only one text has needs a closer look if its anchor has others
-    own = written(met.groupBy("anchor", *CONTENT).agg(F.count("*").alias("copies"), F.min(F.struct("node", "start")).alias("at"), F.any_value("windows").alias("windows"), F.any_value("offset").alias("offset")), "contents")
+    one = [F.any_value(c).alias(c) for c in ("n1", "n2", "start", "windows", "offset")]  # of one and the same row; numbers alone need no sort
+    own = written(met.groupBy("anchor", *CONTENT).agg(F.count("*").alias("copies"), *one), "contents")
     many = written(own.groupBy("anchor").agg(F.count("*").alias("contents"), F.min("copies").alias("least")).filter((F.col("contents") > 1) & (F.lit(every) | (F.col("least") == 1))).select("anchor", "contents"), "parts")
     zero = F.lit(0)
     look = written(_with_bytes(texts, own.join(many, "anchor"), length).select(F.col("anchor").alias("k1"), zero.cast("long").alias("k2"), zero.alias("low"), F.lit(length - gram + 1).alias("high"), "contents", F.col("c1").alias("d1"), F.col("c2").alias("d2"), *CONTENT, zero.alias("first"), "offset", "copies", "bytes"), "look")
@@ -269,7 +316,7 @@ KEYS = "k1 long, k2 long, d1 long, d2 long, c1 long, c2 long"
 def _with_bytes(texts: DataFrame, contents: DataFrame, length: int) -> DataFrame:
     """contents with their bytes, from one of the texts they are in."""
     columns = ["anchor", "c1", "c2", "contents", "copies", "offset"]
-    wanted = written(contents.groupBy(F.col("at.node").alias("node")).agg(F.collect_list(F.struct(*columns, F.col("at.start").alias("start"), "windows")).alias("wanted")), "wanted")
+    wanted = written(contents.groupBy("n1", "n2").agg(F.collect_list(F.struct(*columns, "start", "windows")).alias("wanted")).select(_node().alias("node"), "wanted"), "wanted")
 
     def take(batches):
         for pdf in batches:
@@ -281,7 +328,10 @@ def _with_bytes(texts: DataFrame, contents: DataFrame, length: int) -> DataFrame
                 seen.add(bytes(node))
                 data = text.encode()
                 rows += [(*[w[c] for c in columns], data[w["start"] : w["start"] + w["windows"] + length - 1]) for w in wanted]
-            yield pd.DataFrame(rows, columns=[*columns, "bytes"])
+            out = pd.DataFrame(rows, columns=[*columns, "bytes"])
+            if (digests(out["bytes"]) != out[CONTENT].to_numpy(np.int64)).any():
+                raise ValueError("a content isn't where its row says")
+            yield out
 
     got = texts.join(wanted, "node").mapInPandas(take, "anchor long, c1 long, c2 long, contents long, copies long, offset int, bytes binary")
     return got.dropDuplicates(CONTENT)
@@ -317,28 +367,36 @@ def _halved(large: DataFrame, length: int, every: bool) -> tuple[DataFrame, Data
 
 
 def _arrays(length: int, every: bool) -> Callable:
-    """Suffix arrays over whole parts, as many as ARRAY_BYTES hold; rows come sorted by part."""
+    """Suffix arrays over whole parts, narrowed, as many as ARRAY_BYTES hold; rows come sorted by part."""
 
     def solve(rows):
         contents = [r[-1] for r in rows]
         groups = maximal_repeats(contents, length)
         if every:
             keys = digests(contents[which[0]][starts[0] : starts[0] + n] for n, which, starts in groups)
-            at = [(c, s, s + n, *key) for (n, which, starts), key in zip(groups, keys.tolist(), strict=True) for c, s in zip(which.tolist(), starts.tolist(), strict=True)]
+            at = [(c, rows[c][-2] + s, rows[c][-2] + s + n, *key) for (n, which, starts), key in zip(groups, keys.tolist(), strict=True) for c, s in zip(which.tolist(), starts.tolist(), strict=True)]
         else:
-            at = [(c, a, b, None, None) for c, spans in enumerate(covered(groups, len(rows))) if rows[c][-2] == 1 for a, b in spans]
+            at = [(c, rows[c][-2] + a, rows[c][-2] + b, None, None) for c, spans in enumerate(covered(groups, len(rows))) if rows[c][-3] == 1 for a, b in spans]
         out = pd.DataFrame([(*rows[c][:7], *x) for c, *x in at], columns=["k1", "k2", "d1", "d2", "c1", "c2", "first", "start", "end", "s1", "s2"])
         return out.astype({"s1": "Int64", "s2": "Int64"})
 
+    def narrow(part):
+        spans = narrowed([r[-1] for r in part], [r[-2] for r in part], length)
+        return [(*r[:-2], a, r[-1][a:b]) for r, (a, b) in zip(part, spans, strict=True) if b > a]
+
+    def rows(batches):
+        for pdf in batches:
+            yield from zip(*(pdf[c].tolist() for c in ("k1", "k2", "d1", "d2", "c1", "c2", "first", "copies", "offset")), map(bytes, pdf["bytes"]), strict=True)
+
     def run(batches):
         held, size = [], 0
-        for pdf in batches:
-            for row in zip(*(pdf[c].tolist() for c in ("k1", "k2", "d1", "d2", "c1", "c2", "first", "copies")), map(bytes, pdf["bytes"]), strict=True):
-                if size > ARRAY_BYTES and row[:2] != held[-1][:2]:
-                    yield solve(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[-1])
+        for _, part in groupby(rows(batches), lambda r: r[:2]):
+            part = narrow(list(part))
+            held += part
+            size += sum(len(r[-1]) for r in part)
+            if size > ARRAY_BYTES:
+                yield solve(held)
+                held, size = [], 0
         if held:
             yield solve(held)
 
@@ -347,20 +405,25 @@ def _arrays(length: int, every: bool) -> Callable:
 
 def repeat_spans(df: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(node, spans array<struct<start, end>>): byte spans, not yet merged, that repeats cover in the texts of digest node."""
+    return _spans(_keyed(df, text_col), length, gram)
+
+
+def _spans(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """repeat_spans of texts as _occurrences takes them."""
     before = scratch_tables()
-    met, found = _occurrences(df, text_col, length, gram, every=False)
-    at = met.select(*CONTENT, "node", F.col("start").alias("base")).join(found, CONTENT)
+    met, found = _occurrences(texts, length, gram, every=False)
+    at = met.select(*CONTENT, "n1", "n2", F.col("start").alias("base")).join(found.hint("shuffle_hash"), CONTENT)
     span = F.struct((F.col("base") + F.col("start")).alias("start"), (F.col("base") + F.col("end")).alias("end"))
-    spans = written(at.select("node", span.alias("span")).distinct().groupBy("node").agg(F.collect_list("span").alias("spans")), "spans")
-    sweep(df.sparkSession, before, spans)
+    spans = written(at.select("n1", "n2", span.alias("span")).distinct().groupBy("n1", "n2").agg(F.collect_list("span").alias("spans")).select(_node().alias("node"), "spans"), "spans")
+    sweep(texts.sparkSession, before, spans)
     return spans
 
 
 def repeat_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(string binary: a digest, size, id, start): a row for every occurrence of each maximal repeat group, rows of equal texts included. A group's string is maximal among the windows that share an anchor, or a part of one: longer
     repeats are groups that overlap, and together the groups cover all that occurs more than once."""
-    met, found = _occurrences(df, text_col, length, gram, every=True)
-    at = met.select(*CONTENT, "node", F.col("start").alias("base")).join(found, CONTENT)
+    met, found = _occurrences(_keyed(df, text_col), length, gram, every=True)
+    at = met.select(*CONTENT, _node().alias("node"), F.col("start").alias("base")).join(found, CONTENT)
     key = F.unhex(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("s1", "s2")]))
     groups = at.select(key.alias("string"), (F.col("end") - F.col("start")).alias("size"), "node", (F.col("base") + F.col("start")).alias("start")).distinct()
     rows = _keyed(df, text_col, F.col(id_col).alias("id")).select("id", "node")
@@ -396,8 +459,12 @@ def _without(texts: bool) -> Callable:
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep: tuple[str, ...] = (), texts: bool = False) -> DataFrame:
     """(id, the columns of keep, n_bytes, n_removed, spans array<struct<start, end>> merged, kept_sha256, and with texts: kept, the remaining bytes as text, those cut within a character left out). Only texts that lose bytes go to Python."""
     named = {id_col: "id_"} | {c: f"keep_{i}" for i, c in enumerate(keep) if c != id_col}
-    rows = _keyed(df, text_col, *[F.col(c).alias(n) for c, n in named.items()])
-    rows = rows.join(repeat_spans(df, text_col, length, gram).withColumnRenamed("spans", "found_"), "node", "left")
+    return _removed(_keyed(df, text_col, *[F.col(c).alias(n) for c, n in named.items()]), repeat_spans(df, text_col, length, gram), named, texts)
+
+
+def _removed(rows: DataFrame, spans: DataFrame, named: dict[str, str], texts: bool = False) -> DataFrame:
+    """remove_repeats of rows (node, text, and what named has by the answer's column) without the spans of their nodes."""
+    rows = rows.join(spans.withColumnRenamed("spans", "found_"), "node", "left")
     rows = rows.withColumn("cut_", _without(texts)(F.when(F.col("found_").isNotNull(), F.col("text")), F.col("found_")))
     whole = F.array().cast("array<struct<start:int,end:int>>")
     return rows.select(
@@ -427,17 +494,18 @@ def cover(spans: Column) -> Column:
 def repeats_and_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
     """remove_repeats with n_shared: the bytes covered by shorter strings too, of `passage` bytes, that start anywhere else; these stay in the text.
 
-    The shorter strings are looked for first. A string of `length` bytes that starts elsewhere lies in a run of them, so texts without a run of that size need no second look."""
+    The shorter strings are looked for first. A string of `length` bytes that starts elsewhere lies in a run of them at each place, so only runs of that size need a second look."""
     small_batches(df)
     near = repeat_spans(df, text_col, passage, min(gram, passage // 5))
-    rows = _keyed(df, text_col, F.col(id_col).alias("id_")).join(near, "node", "left")
-    rows = written(rows.select("id_", "text", cover(F.coalesce("spans", F.array().cast(near.schema["spans"].dataType))).alias("cover_")), "passages")
-    runs = rows.filter(F.col("cover_.longest") >= length).select("id_", "text", F.col("cover_.total").alias("shared_"))
-    cut = remove_repeats(runs, "id_", "text", length, gram, keep=("shared_",))
-    whole = rows.filter(F.col("cover_.longest") < length)
+    rows = _keyed(df, text_col, F.col(id_col).alias("id_")).join(near.select("node", "spans", cover(F.col("spans")).alias("cover_")), "node", "left")
+    bounds = F.when(F.col("cover_.longest") >= length, F.flatten(F.transform("spans", lambda s: F.array(s["start"], s["end"])))).alias("runs")
+    shared = F.coalesce("cover_.total", F.lit(0)).cast("long").alias("shared_")
+    rows = written(rows.select("id_", "node", "text", shared, bounds), "passages")
+    spans = _spans(rows.filter(F.col("runs").isNotNull()).select("node", "text", "runs"), length, gram)
+    cut = _removed(rows.filter(F.col("runs").isNotNull()).drop("runs"), spans, {"id_": "id_", "shared_": "shared_"})
     kept = F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
-    rest = whole.select("id_", F.col("cover_.total").alias("shared_"), F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"), kept)
-    return cut.unionByName(rest).select(F.col("id_").alias(id_col), "n_bytes", "n_removed", "spans", "kept_sha256", F.col("shared_").cast("long").alias("n_shared"))
+    rest = rows.filter(F.col("runs").isNull()).select("id_", "shared_", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"), kept)
+    return cut.unionByName(rest).select(F.col("id_").alias(id_col), "n_bytes", "n_removed", "spans", "kept_sha256", F.col("shared_").alias("n_shared"))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,6 +136,46 @@ def test_passages_and_repeats(spark):
     assert sx.repeats_and_passages(df.limit(0)).count() == 0
 
 
+def test_narrowed_contents_hold_what_is_shared():
+    r = random.Random(5)
+    for _ in range(200):
+        offsets = [r.randint(0, 12) for _ in range(r.randint(1, 6))]
+        contents = [bytes(r.choice(b"ab") for _ in range(k)) + b"##" + bytes(r.choice(b"ab") for _ in range(r.randint(0, 12))) for k in offsets]
+        got = sx.narrowed(contents, offsets, 6)
+        for i, (c, k) in enumerate(zip(contents, offsets, strict=True)):
+            left = right = 0  # the longest reach that any other has too
+            for j, (d, m) in enumerate(zip(contents, offsets, strict=True)):
+                if i != j:
+                    left = max([left, *[n for n in range(min(k, m) + 1) if c[k - n : k] == d[m - n : m]]])
+                    right = max([right, *[n for n in range(min(len(c) - k, len(d) - m) + 1) if c[k : k + n] == d[m : m + n]]])
+            assert got[i] == ((k - left, k + right) if left + right >= 6 else (0, 0))
+
+
+def test_arrays_get_only_what_may_be_shared(monkeypatch):
+    """A content that shares its anchor, and no window, with others doesn't go to the array, nor do the ends that only one content has."""
+    seen, whole = [], sx.maximal_repeats
+    monkeypatch.setattr(sx, "maximal_repeats", lambda contents, least: seen.extend(contents) or whole(contents, least))
+    contents = [b"a" * 30 + b"anchor#" + b"b" * 30, b"c" * 30 + b"anchor#" + b"d" * 30, b"x" * 10 + b"y" * 20 + b"anchor#" + b"b" * 30]
+    rows = [(1, 0, k, k, k, k, 0, 1, 30, c) for k, c in enumerate(contents)]
+    pdf = sx.pd.DataFrame(rows, columns=["k1", "k2", "d1", "d2", "c1", "c2", "first", "copies", "offset", "bytes"])
+    out = sx.pd.concat(sx._arrays(35, every=False)(iter([pdf])))
+    assert seen == [b"anchor#" + b"b" * 30] * 2
+    assert out[["c1", "start", "end"]].to_numpy().tolist() == [[0, 30, 67], [2, 30, 67]]
+
+
+def test_second_look_stays_within_runs(spark):
+    r = random.Random(12)
+    text = "".join(r.choice("abcdefgh") for _ in range(900))
+    runs = [(100, 180), (170, 200), (400, 420), (600, 700)]
+    assert sx.long_runs(sx.np.array([x for span in reversed(runs) for x in span]), 40) == [(100, 200), (600, 700)]
+    df = spark.createDataFrame([(bytes(16), text, [x for span in runs for x in span]), (bytes(range(16)), text, [0, 900])], "node binary, text string, runs array<int>")
+    met, _ = sx._occurrences(df, 40, 8, every=False)
+    own = sorted((x.start, x.start + x.windows + 39) for x in met.filter("n1 = 0 and n2 = 0").collect())
+    assert sx.merged(own) == [(100, 200), (600, 700)]
+    got = {bytes(x.node): sx.merged([(s.start, s.end) for s in x.spans]) for x in sx._spans(df, 40, 8).collect()}
+    assert got == {bytes(16): [(100, 200), (600, 700)], bytes(range(16)): [(100, 200), (600, 700)]}
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(1, None, 0), (None, "é" * 300, 1), (None, "é" * 300, 1)], "doc_id long, text string, n_bytes int")
     got = sx.remove_repeats(df, texts=True).collect()
