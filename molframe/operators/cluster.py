@@ -1,7 +1,7 @@
 """Grouping templates by position and UMI: identity, edit, adjacency and paired.
 
 All work is on the distinct UMIs of a position group with their counts, never on reads. A group of one UMI needs none; groups of up to LOCAL distinct UMIs are clustered many to a task;
-larger ones as a distributed fixpoint of least labels over edges found by equal chunks (the pigeonhole rule), with the same result.
+larger ones as a distributed fixpoint of least labels, in blocks of LOCAL ranks, over edges found by equal chunks (the pigeonhole rule), with the same result.
 
 Rank in a group: count descending, then UMI ascending. identity: each UMI for itself. edit: connected components of at most k mismatches.
 adjacency: a parent reaches a child within k mismatches whose count is at most count div 2 + 1; a UMI's label is the least rank that reaches it. paired: adjacency of
@@ -95,32 +95,94 @@ def _local(nodes: DataFrame, keys: list[str], strategy: str, k: int) -> DataFram
     return nodes.repartition(*keys).sortWithinPartitions(*keys, "rank").mapInPandas(run, shape)
 
 
-def edges(nodes: DataFrame, keys: list[str], strategy: str, k: int) -> DataFrame:
-    """(keys, a, b: ranks of parent and child) of all pairs of a group within k mismatches, and by counts where the strategy asks."""
+def _met(nodes: DataFrame, keys: list[str], strategy: str, k: int) -> DataFrame:
+    """The pairs of edges, a pair as often as chunks of it are equal. Tables of nodes are never broadcast: their files are small, their rows are not."""
     chunks = lambda umi: F.transform(F.sequence(F.lit(0), F.lit(k)), lambda i: F.struct(i.alias("i"), F.substring(umi, F.floor(i * F.length(umi) / (k + 1)).cast("int") + 1, (F.floor((i + 1) * F.length(umi) / (k + 1)) - F.floor(i * F.length(umi) / (k + 1))).cast("int")).alias("s"), F.length(umi).alias("l")))
     left = nodes.select(*keys, F.col("rank").alias("a"), F.col("umi").alias("ua"), F.col("n").alias("na"), F.explode(chunks(F.col("umi"))).alias("chunk"))
     forms = F.array("umi", flipped(F.col("umi"))) if strategy == "paired" else F.array("umi")
     right = nodes.select(*keys, F.col("rank").alias("b"), F.col("n").alias("nb"), F.explode(forms).alias("ub")).withColumn("chunk", F.explode(chunks(F.col("ub"))))
-    met = left.join(right, [*keys, "chunk"]).filter(F.col("a") != F.col("b"))
+    met = left.hint("merge").join(right.hint("merge"), [*keys, "chunk"]).filter(F.col("a") != F.col("b"))
     if strategy != "edit":
         met = met.filter(F.expr("nb <= na div 2 + 1"))
-    return met.filter(distance(F.col("ua"), F.col("ub")) <= k).select(*keys, "a", "b").distinct()
+    width = nodes.agg(F.max(F.length("umi"))).first()[0] or 0
+    # letter by letter up to the greatest width, as compiled code; pairs in a bucket are of one length
+    unlike = sum((F.when(F.substring("ua", i, 1) != F.substring("ub", i, 1), 1).otherwise(0) for i in range(1, width + 1)), F.lit(0))
+    return met.filter(unlike <= k).select(*keys, "a", "b")
+
+
+def edges(nodes: DataFrame, keys: list[str], strategy: str, k: int) -> DataFrame:
+    """(keys, a, b: ranks of parent and child) of all pairs of a group within k mismatches, and by counts where the strategy asks."""
+    return _met(nodes, keys, strategy, k).distinct()
+
+
+def _spread(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, rank, label, block: where it comes from) of the nodes that the links of a block reach: the least label of all that lead to them inside the block. rows are links (keys, block, a, b) and the labels known so far (a, label; b is 0)."""
+
+    def solved(pdf: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+        part = np.cumsum(first) - 1
+        a, b, label = (pdf[c].to_numpy(np.int64) for c in ("a", "b", "label"))
+        span = int(max(a.max(), b.max())) + 1
+        link = b > 0
+        nodes, at = np.unique(np.concatenate([part * span + a, (part * span + b)[link]]), return_inverse=True)
+        own, to = at[: len(a)], at[len(a) :]
+        best = nodes % span
+        np.minimum.at(best, own[~link], label[~link])
+        source = own[link]
+        while True:
+            new = best.copy()
+            np.minimum.at(new, to, best[source])
+            if (new == best).all():
+                break
+            best = new
+        reached = np.unique(to)
+        where = np.flatnonzero(first)[nodes[reached] // span]
+        return pdf[[*keys, "block"]].iloc[where].reset_index(drop=True).assign(rank=nodes[reached] % span, label=best[reached])[[*keys, "rank", "label", "block"]]
+
+    def run(batches):
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            by = pdf[[*keys, "block"]]
+            first = np.zeros(len(pdf), bool)
+            first[:1] = True
+            for c in by.columns:
+                x = by[c].to_numpy()
+                first[1:] |= x[1:] != x[:-1]
+            last = np.flatnonzero(first)[-1]  # the last block may go on
+            if last:
+                yield solved(pdf.iloc[:last], first[:last])
+            held = pdf.iloc[last:]
+        if held is not None:
+            held = held.reset_index(drop=True)
+            yield solved(held, np.arange(len(held)) == 0)
+
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema) + ", rank int, label int, block int"
+    return rows.repartition(*keys, "block").sortWithinPartitions(*keys, "block").mapInPandas(run, shape)
 
 
-def _fixpoint(nodes: DataFrame, keys: list[str], strategy: str, k: int) -> DataFrame:
-    links = written(edges(nodes, keys, strategy, k), "umi-edges")
-    labels = written(nodes.select(*keys, "rank", F.col("rank").alias("label")), "umi-labels")
+def _fixpoint(nodes: DataFrame, keys: list[str], strategy: str, k: int, block: int = LOCAL) -> DataFrame:
+    """Least labels, in rounds over blocks of `block` ranks of a group: a block is settled by the task that has its links, and labels go from block to block. A block goes another round only if a lesser label came from elsewhere."""
+    place = lambda rank: F.floor((F.col(rank) - 1) / block).cast("int")
+    links = written(_met(nodes, keys, strategy, k).select(*keys, place("a").alias("block"), "a", "b"), "umi-edges")
+    labels = nodes.select(*keys, "rank", F.col("rank").alias("label"))
+    rows = links.withColumn("label", F.lit(0))
     while True:
-        reach = links.join(labels.withColumnRenamed("rank", "a"), [*keys, "a"]).groupBy(*keys, F.col("b").alias("rank")).agg(F.min("label").alias("near"))
-        new = written(labels.join(reach, [*keys, "rank"], "left").select(*keys, "rank", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label")), "umi-labels")
-        labels = new.drop("was")
-        if new.filter("label < was").isEmpty():
+        least = lambda test: F.min(F.when(test, F.col("label")))
+        reach = _spread(rows, keys).groupBy(*keys, "rank").agg(F.min("label").alias("near"), least(F.col("block") == place("rank")).alias("own"))
+        known = labels.hint("merge").join(reach.hint("merge"), [*keys, "rank"], "left")
+        labels = written(known.select(*keys, "rank", F.least("label", "near").alias("label"), F.least("label", "own").alias("own")), "umi-labels")
+        open_ = labels.filter("label < own").select(*keys, place("rank").alias("block")).distinct()
+        if open_.isEmpty():
             break
+        again = labels.select(*keys, place("rank").alias("block"), F.col("rank").alias("a"), F.lit(0).alias("b"), "label").unionByName(links.withColumn("label", F.lit(0)))
+        rows = again.join(open_.hint("merge"), [*keys, "block"], "left_semi")
+        labels = labels.drop("own")
     roots = nodes.select(*keys, F.col("rank").alias("root_rank"), F.col("umi").alias("root"))
-    return nodes.join(labels.withColumnRenamed("label", "root_rank"), [*keys, "rank"]).join(roots, [*keys, "root_rank"]).select(*nodes.columns, "root_rank", "root")
+    rooted = nodes.hint("merge").join(labels.select(*keys, "rank", F.col("label").alias("root_rank")).hint("merge"), [*keys, "rank"])
+    return rooted.join(roots.hint("merge"), [*keys, "root_rank"]).select(*nodes.columns, "root_rank", "root")
 
 
-def cluster(reads: DataFrame, keys: list[str], umi: str = "umi", strategy: str = "adjacency", k: int = 1, local: int = LOCAL) -> DataFrame:
+def cluster(reads: DataFrame, keys: list[str], umi: str = "umi", strategy: str = "adjacency", k: int = 1, local: int = LOCAL, block: int = LOCAL) -> DataFrame:
     """(keys, umi, n, valid, rank, root_rank, root) of every distinct UMI of every group; null UMIs have none. An error where UMIs to be compared are of unlike lengths."""
     nodes = reads.filter(F.col(umi).isNotNull()).groupBy(*keys, F.upper(umi).alias("umi")).agg(F.count("*").alias("n"))
     if strategy == "identity":
@@ -141,7 +203,7 @@ def cluster(reads: DataFrame, keys: list[str], umi: str = "umi", strategy: str =
     large = sized.filter(F.col("distinct") > local)
     if large.isEmpty():
         return found
-    return found.unionByName(_fixpoint(large.drop("distinct"), keys, strategy, k))
+    return found.unionByName(_fixpoint(large.drop("distinct"), keys, strategy, k, block))
 
 
 def local_ids(clusters: DataFrame, keys: list[str], strategy: str) -> DataFrame:
