@@ -61,13 +61,13 @@ def _consensus_sql(family: str, pre: int = PRE, post: int = POST, min_qual: int
 _FAM = "tid, pos, rx"
 
 
-def _families(spark, d):
-    return consensus.masked(reads(spark, d), 12)
+#: The quality below which a base is N.
+MASK = 12
 
 
 @query("consensus_positions", _consensus_sql(_FAM) + """ SELECT tid, pos, rx, CAST("at" AS INT) AS "at", base, qual, depth, errors FROM con""")
 def _(spark, d):
-    return consensus.consensus_positions(_families(spark, d), _FAM.split(", "))
+    return consensus.consensus_positions(reads(spark, d), _FAM.split(", "), mask=MASK)
 
 
 @query(
@@ -76,7 +76,7 @@ def _(spark, d):
     + """ SELECT tid, pos, rx, string_agg(base, '' ORDER BY "at") AS seq, string_agg(qual::VARCHAR, ',' ORDER BY "at") AS qual, max(depth) AS cD, min(depth) AS cM, CAST(coalesce(sum(errors) / nullif(sum(depth), 0), 0) AS FLOAT) AS cE FROM con GROUP BY tid, pos, rx""",
 )
 def _(spark, d):
-    rows = consensus.assembled(consensus.consensus_positions(_families(spark, d), _FAM.split(", ")), _FAM.split(", "))
+    rows = consensus.simplex(reads(spark, d), _FAM.split(", "), mask=MASK)
     return rows.select(*_FAM.split(", "), "seq", F.array_join(F.col("qual").cast("array<string>"), ",").alias("qual"), "cD", "cM", "cE")
 
 
@@ -91,8 +91,8 @@ def _(spark, d):
    FROM m GROUP BY tid, pos, rx""",
 )
 def _(spark, d):
-    rows = _families(spark, d).withColumn("strand", F.when(F.col("reverse"), "A").otherwise("B"))
-    out = consensus.duplex(rows, _FAM.split(", "))
+    rows = reads(spark, d).withColumn("strand", F.when(F.col("reverse"), "A").otherwise("B"))
+    out = consensus.duplex(rows, _FAM.split(", "), mask=MASK)
     return out.select(*_FAM.split(", "), "seq", F.array_join(F.col("qual").cast("array<string>"), ",").alias("qual"), F.array_max("depths").alias("cD"), "ac", "bc", F.aggregate("errors", F.lit(0).cast("long"), lambda s, e: s + e).alias("errors"))
 
 

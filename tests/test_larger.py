@@ -53,7 +53,29 @@ def test_overlap_odd_rows(spark):
     assert got == {"x": ("ACG", [9, 18, 2], "CG", [18, 2]), "null": ("AC", [5, 6], "GG", [7, 8]), "none": ("", [], "A", [4]), "short": ("AA", [18, None], "AA", [18, 9])}
 
 
-@pytest.mark.parametrize("name", ["codec_consensus", "overlap_consensus", "overlap_mask_lower"])
+@pytest.mark.parametrize("name", ["codec_consensus", "overlap_consensus", "overlap_mask_lower", "consensus_positions", "simplex_consensus", "umi_consensus"])
 def test_no_lambda_for_each_base(spark, name):
     """Lambdas of Catalyst are interpreted, base by base."""
     assert "lambda" not in catalog.queries()[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["consensus_positions", "simplex_consensus", "duplex_consensus", "umi_consensus"])
+def test_a_family_moves_once(spark, name):
+    """Neither positions nor qualities are rows that are sorted or listed: they spilled."""
+    plan = physical(catalog.queries()[name](spark, DIR))
+    assert "collect_list" not in plan and "Generate" not in plan
+    assert plan.count("Exchange hashpartitioning") == (2 if name == "umi_consensus" else 1)
+
+
+def test_families_across_batches(spark):
+    """Families longer than an Arrow batch are called whole."""
+    rng = random.Random(2)
+    rows = [("f%d" % (i % 4), rng.choice("AB"), s, [rng.randint(2, 40) for _ in s], s[:3].ljust(3, "A")) for i in range(90) for s in ["".join(rng.choice("ACGTN") for _ in range(rng.randint(0, 9)))]]
+    df = spark.createDataFrame([*rows, (None, "A", "ACG", [30, 30, 30], None)], "fam string, strand string, seq string, qual array<int>, rx string").coalesce(1)
+    run = lambda: [sorted(map(repr, x.collect())) for x in (consensus.simplex(df, ["fam"], min_reads=3), consensus.consensus_positions(df, ["fam"]), consensus.duplex(df, ["fam"], min_reads=(2, 1, 0)), consensus.umi_consensus(df, ["fam"]))]
+    one = run()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert run() == one
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
