@@ -217,7 +217,7 @@ def duplex_step(family: list[str], strand: str, mask: int | None, min_reads: tup
 
 
 def umi_step(family: list[str]) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-    """rows (family, seq: a distinct UMI, n: its reads), by family and UMI."""
+    """rows (family, seq: a UMI, n: its reads), by family and UMI."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         first = changes(batch, family)
@@ -246,3 +246,32 @@ def umi_step(family: list[str]) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([*[batch[k].take(keys) for k in family], text_column(text, out), pa.array(mixed)], [*family, "umi", "mixed_lengths"])
 
     return step
+
+
+def observed_step(family: list[str]) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    """rows (family, seq: a UMI in upper case or null, text: as it was read, n: its reads), by family and UMI: the family's consensus UMI with the reads that have it or another one, and those that have another one."""
+    consensus = umi_step(family)
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        first = changes(batch, family)
+        part, begin = np.cumsum(first) - 1, np.flatnonzero(first)
+        there = batch["seq"].is_valid().to_numpy(zero_copy_only=False)
+        n = batch["n"].to_numpy(zero_copy_only=False)
+        known = np.flatnonzero(np.bincount(part[there], minlength=len(begin)))
+        umis = consensus(batch.filter(pa.array(there)))["umi"]  # of the known ones, in their order
+        place = np.full(len(begin), -1)
+        place[known] = np.arange(len(known))
+        codes, bounds = letters(batch["text"])
+        own, own_bounds = letters(umis)
+        row, at = places(bounds)
+        mine = place[part]
+        same_size = np.zeros(len(part), bool)
+        same_size[there] = np.diff(bounds)[there] == np.diff(own_bounds)[mine[there]]
+        used = same_size[row]
+        unlike = np.bincount(row[used & (value_at(own, own_bounds, np.maximum(mine[row], 0), at, 0) != codes)], minlength=len(part)) > 0
+        wrong = there & (~same_size | unlike)
+        count = lambda test: pa.array(np.bincount(part, np.where(test, n, 0), len(begin)).astype(np.int64))
+        keys = pa.array(begin)
+        return pa.RecordBatch.from_arrays([*[batch[k].take(keys) for k in family], umis.take(pa.array(place, mask=place < 0)), count(True), count(wrong)], [*family, "umi", "raw", "wrong"])
+
+    return step

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from molframe.functions.dna import flipped, molecule_base
 from molframe.functions.namehash import name_hash
 from molframe.functions.rejections import COUNTED, COUNTER, SIMPLEX
-from molframe.operators.consensus import umi_consensus
+from molframe.operators import calls
 
 
 def size_distribution(sizes: DataFrame, size: str = "size", named: str = "family_size") -> DataFrame:
@@ -67,6 +67,19 @@ def umi_counts(reads: DataFrame, umi: str, consensus: str, molecule: list[str])
     return rows.withColumn("fraction_raw_observations", F.col("raw_observations") / F.sum("raw_observations").over(all_)).withColumn("fraction_unique_observations", F.col("unique_observations") / F.sum("unique_observations").over(all_))
 
 
+def observed_umis(kinds: DataFrame, family: list[str], umi: str) -> DataFrame:
+    """(family, umi, raw, wrong): each family's consensus UMI, its reads, and those with another UMI, of kinds (family, umi as it was read, n)."""
+    rows = kinds.select(*family, F.upper(umi).alias("seq"), F.col(umi).alias("text"), "n").repartition(family[0])
+    return calls.families(rows, family, calls.observed_step(family), calls.named(rows, family) + ", umi string, raw bigint, wrong bigint", ("seq",))
+
+
+def observed_counts(observed: DataFrame, molecule: str) -> DataFrame:
+    """umi_counts of observed_umis."""
+    rows = observed.groupBy("umi").agg(F.sum("raw").alias("raw_observations"), F.sum("wrong").alias("raw_observations_with_errors"), F.count_distinct(molecule).alias("unique_observations"))
+    all_ = Window.partitionBy()
+    return rows.withColumn("fraction_raw_observations", F.col("raw_observations") / F.sum("raw_observations").over(all_)).withColumn("fraction_unique_observations", F.col("unique_observations") / F.sum("unique_observations").over(all_))
+
+
 def expected_dual(duplex: DataFrame, single: DataFrame) -> DataFrame:
     """duplex UMI counts with the fraction expected of independent halves."""
     f = lambda n: single.select(F.col("umi").alias(f"half{n}"), F.col("fraction_unique_observations").alias(f"f{n}"))
@@ -112,15 +125,17 @@ def eligible(reads: DataFrame, cd: str | None = None) -> DataFrame:
 
 def simplex_metrics(reads: DataFrame, position: list[str], mi: str = "mi", umi: str = "rx", name: str = "qname", least: int = 1) -> dict[str, DataFrame]:
     """family_sizes, umi_counts and yields of templates with molecule ids of one strand. Molecules with reads of both strands (/A and /B) are an error: they are for duplex_metrics."""
-    base = molecule_base(F.col(mi))
-    strand = F.regexp_extract(mi, "/([AB])$", 1)
-    both = reads.groupBy(base.alias("molecule")).agg(F.min(strand).alias("x"), F.max(strand).alias("y")).filter("x = 'A' AND y = 'B'")
+    # only ids of a strand meet
+    stranded = reads.filter(F.substring(mi, -2, 2).isin("/A", "/B"))
+    both = stranded.groupBy(molecule_base(F.col(mi)).alias("molecule")).agg(F.bool_or(F.substring(mi, -1, 1) == "A").alias("a"), F.bool_or(F.substring(mi, -1, 1) == "B").alias("b")).filter("a AND b")
     if not both.isEmpty():
         raise ValueError("molecules have reads of both strands")
     sizes = lambda keys: reads.groupBy(*keys).agg(F.count("*").alias("size"))
-    named = reads.join(umi_consensus(reads, [mi], umi).select(mi, F.col("umi").alias("consensus_umi")), mi, "left")
+    # reads without a molecule have no consensus
+    observed = observed_umis(reads.groupBy(mi, umi).agg(F.count("*").alias("n")), [mi], umi)
+    observed = observed.withColumn("umi", F.when(F.col(mi).isNotNull(), F.col("umi"))).withColumn("wrong", F.when(F.col(mi).isNotNull(), F.col("wrong")).otherwise(0))
     yields = simplex_yield(nested_sizes(reads, [mi], name_place(F.col(name)), {"n": F.lit(True)}), ["fraction"], least)
-    return {"family_sizes": size_distributions({"cs": sizes(position), "ss": sizes([mi])}), "umi_counts": umi_counts(named, umi, "consensus_umi", [mi]), "yield": yields}
+    return {"family_sizes": size_distributions({"cs": sizes(position), "ss": sizes([mi])}), "umi_counts": observed_counts(observed, mi), "yield": yields}
 
 
 def duplex_metrics(reads: DataFrame, position: list[str], mi: str = "mi", umi: str = "rx", name: str = "qname", r1_forward: str = "r1_forward", min_ab: int = 1, min_ba: int = 1) -> dict[str, DataFrame]:
@@ -130,11 +145,12 @@ def duplex_metrics(reads: DataFrame, position: list[str], mi: str = "mi", umi: s
     sizes = lambda keys: rows.groupBy(*keys).agg(F.count("*").alias("size"))
     strands = strand_sizes(rows, ["molecule"])
     turned = F.when(F.col(r1_forward), F.col(umi)).otherwise(flipped(F.col(umi)))
-    halves = rows.select("molecule", F.explode(F.transform(F.split(turned, "-"), lambda x, i: F.struct(i.alias("half"), x.alias("half_umi")))).alias("h")).select("molecule", "h.*")
-    of_half = umi_consensus(halves, ["molecule", "half"], "half_umi").select("molecule", "half", F.col("umi").alias("consensus_umi"))
-    single = umi_counts(halves.join(of_half, ["molecule", "half"]), "half_umi", "consensus_umi", ["molecule"])
-    both = of_half.groupBy("molecule").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("half", "consensus_umi"))), lambda x: x["consensus_umi"]), "-").alias("consensus_umi"))  # two halves
-    dual = umi_counts(rows.withColumn("turned", turned).join(both, "molecule"), "turned", "consensus_umi", ["molecule"])
+    kinds = rows.filter(F.col("molecule").isNotNull()).groupBy("molecule", turned.alias("turned")).agg(F.count("*").alias("n"))
+    halves = kinds.select("molecule", "n", F.posexplode(F.split("turned", "-")).alias("half", "half_umi")).groupBy("molecule", "half", "half_umi").agg(F.sum("n").alias("n"))
+    of_half = observed_umis(halves, ["molecule", "half"], "half_umi")
+    single = observed_counts(of_half, "molecule")
+    both = of_half.groupBy("molecule").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("half", "umi"))), lambda x: x["umi"]), "-").alias("umi"))  # two halves
+    dual = observed_counts(kinds.join(both, "molecule").select("molecule", "umi", F.col("n").alias("raw"), F.when(F.col("turned") != F.col("umi"), F.col("n")).otherwise(0).alias("wrong")), "molecule")
     nested = nested_sizes(rows, ["molecule"], name_place(F.col(name)), {"a": F.col("strand") == "A", "b": F.col("strand") == "B"})
     return {
         "family_sizes": size_distributions({"cs": sizes(position), "ss": sizes([mi]), "ds": sizes(["molecule"])}), "duplex_family_sizes": dominance(strands), "umi_counts": single,

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from molframe import catalog
-from molframe.operators import cluster, consensus
+from molframe.operators import cluster, consensus, metrics
 
 DIR = "/root/testdata/sf0.001"
 
@@ -79,3 +79,17 @@ def test_families_across_batches(spark):
         assert run() == one
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_observed_umis(spark):
+    """Case, nulls, unlike lengths and reads without a molecule count as they did by joins; reads and consensuses are not joined."""
+    rows = [("1", "acg"), ("1", "ACG"), ("1", "ACT"), ("2", None), ("2", "AC"), ("3", None), (None, "GG"), ("4", "AC"), ("4", "ACG"), ("5", "ACG"), ("5", "NCG")]
+    df = spark.createDataFrame([(1, f"q{i}", m, u) for i, (m, u) in enumerate(rows)], "pos int, qname string, mi string, rx string")
+    counts = metrics.simplex_metrics(df, ["pos"])["umi_counts"]
+    got = {r.umi: (r.raw_observations, r.raw_observations_with_errors, r.unique_observations) for r in counts.collect()}
+    assert got == {"ACG": (5, 3, 2), "AC": (4, 1, 2), None: (2, 0, 1)}
+    assert "Join" not in physical(counts)
+
+
+def test_duplex_halves_are_not_joined(spark):
+    assert "Join" not in physical(catalog.queries()["duplex_metrics_umis"](spark, DIR))
