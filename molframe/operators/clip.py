@@ -5,13 +5,21 @@ Alignments are (pos, ops, seq, qual) with ops a list of (op, len). Functions cli
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from molframe.functions.flat import at as value_at, letters, number_column, numbers, places, text_column
+
 QUERY, REFERENCE = "MIS=X", "MDN=X"
 SOFT, MASK, HARD = "soft", "soft-with-mask", "hard"
 REASONS = ("five", "three", "overlap", "beyond")
+#: Shapes of pairs a task remembers, and the first letter of stand-ins for places.
+MOST_PLANS, FIRST = 100_000, 1000
 READ_TYPES = ("Fragment", "ReadOne", "ReadTwo", "Pair", "All")
 
 
@@ -120,7 +128,7 @@ def past_mate(pos: int, ops: list, reverse: bool, mate_pos: int, mate_ops: list)
 
 def clip_pairs(pairs: DataFrame, mode: str = HARD, fixed: tuple[int, int, int, int] = (0, 0, 0, 0), overlap: bool = False, beyond_mate: bool = False, upgrading: bool = False) -> DataFrame:
     """pairs (qname; pos<i>, cigar<i> struct array, seq<i>, qual<i>, reverse<i> of reads 1 and 2; a fragment has a null cigar2) clipped in order: upgrade, fixed bases off read 1's and read 2's 5' and 3' ends, overlap, beyond the mate.
-    clipped<i> counts bases; pre<i> those clipped before, five<i>, three<i>, overlap<i> and beyond<i> the ones clipped for each reason, post<i> all that are clipped now. CIGAR surgery is irregular, so it runs in Arrow batches."""
+    clipped<i> counts bases; pre<i> those clipped before, five<i>, three<i>, overlap<i> and beyond<i> the ones clipped for each reason, post<i> all that are clipped now. CIGAR surgery is irregular, so it runs once for each shape of pairs in Arrow batches."""
 
     def one(row: dict) -> dict:
         here = [i for i in (1, 2) if row[f"cigar{i}"] is not None]
@@ -153,15 +161,80 @@ def clip_pairs(pairs: DataFrame, mode: str = HARD, fixed: tuple[int, int, int, i
             out |= {f"pos{i}": pos, f"cigar{i}": "".join(f"{k}{op}" for op, k in ops), f"seq{i}": seq, f"qual{i}": qual, f"clipped{i}": lost, f"bases{i}": t["aligned"] + t["pre"], f"pre{i}": t["pre"], f"post{i}": post} | {f"{k}{i}": t[k] for k in REASONS}
         return out
 
-    numbers = ("clipped", "bases", "pre", "post", *REASONS)
-    columns = ["qname", *[f"{c}{i}" for i in (1, 2) for c in ("pos", "cigar", "seq", "qual", *numbers)]]
+    counts = ("clipped", "bases", "pre", "post", *REASONS)
+    columns = ["qname", *[f"{c}{i}" for i in (1, 2) for c in ("pos", "cigar", "seq", "qual", *counts)]]
+    plans: dict[tuple, dict] = {}
+
+    def plan(key: tuple) -> dict:
+        """What becomes of pairs of one shape: one() of stand-ins, whose letters and qualities are places in the read; N and -1 stand for masked ones."""
+        if key not in plans:
+            if len(plans) >= MOST_PLANS:
+                plans.clear()
+            p1, p2, *sides = key
+            row = {"qname": ""}
+            for i, pos, (ops, length, quals, reverse) in ((1, p1, sides[0]), (2, p2, sides[1])):
+                row |= {f"pos{i}": pos, f"cigar{i}": None if ops is None else [{"op": x[-1], "len": int(x[:-1])} for x in re.findall("[0-9]+[^0-9]", ops)], f"seq{i}": "".join(chr(FIRST + j) for j in range(length)), f"qual{i}": list(range(FIRST, FIRST + quals)), f"reverse{i}": reverse}
+            plans[key] = one(row)
+        return plans[key]
 
     def run(batches):
-        for pdf in batches:
-            out = pd.DataFrame([one(row) for row in pdf.to_dict("records")], columns=columns)
-            yield out.astype({f"{c}{i}": "Int64" for i in (1, 2) for c in ("pos", *numbers)})
+        for batch in batches:
+            keys, kind, shift = _shapes(batch)
+            done = [plan(k) for k in keys]
+            made = {"qname": batch["qname"]}
+            for i in (1, 2):
+                there = np.array([d[f"pos{i}"] is not None for d in done])
+                taken = lambda values, kind_type: pa.array(values, kind_type).take(pa.array(kind))
+                for c in counts:
+                    made[f"{c}{i}"] = taken([d[f"{c}{i}"] for d in done], pa.int64())
+                made[f"cigar{i}"] = taken([d[f"cigar{i}"] for d in done], pa.string())
+                pos = np.array([-1 if d[f"pos{i}"] is None else d[f"pos{i}"] for d in done])[kind]
+                made[f"pos{i}"] = pa.array(np.where(pos < 0, pos, pos + shift), mask=~there[kind])
+                text = [d[f"seq{i}"] or "" for d in done]
+                codes, bounds = _picked(*letters(batch[f"seq{i}"]), [[-1 if x == "N" else ord(x) - FIRST for x in t] for t in text], kind, ord("N"))
+                made[f"seq{i}"] = pc.if_else(pa.array(there[kind]), text_column(codes, bounds), None)
+                values, bounds = _picked(*numbers(batch[f"qual{i}"]), [[-1 if x < FIRST else x - FIRST for x in d[f"qual{i}"] or []] for d in done], kind, 2)
+                made[f"qual{i}"] = pc.if_else(pa.array(there[kind]), number_column(values, bounds), None)
+            yield pa.RecordBatch.from_arrays([made[c] for c in columns], columns)
+
+    return pairs.mapInArrow(run, "qname string, " + ", ".join(f"pos{i} long, cigar{i} string, seq{i} string, qual{i} array<int>, " + ", ".join(f"{c}{i} long" for c in counts) for i in (1, 2)))
+
+
+def _picked(values: np.ndarray, bounds: np.ndarray, templates: list[list[int]], kind: np.ndarray, masked: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the values at the places of its kind's template; -1 gives `masked`."""
+    flat = np.array([x for t in templates for x in t], np.int64)
+    begin = np.concatenate([[0], np.cumsum([len(t) for t in templates])]).astype(np.int64)
+    out = np.concatenate([[0], np.cumsum(np.diff(begin)[kind])]).astype(np.int64)
+    row, at = places(out)
+    place = value_at(flat, begin, kind[row], at, -1)
+    return np.where(place < 0, masked, value_at(values, bounds, row, place, masked)), out
+
+
+def _cigar_text(column: pa.Array) -> pa.Array:
+    bounds = np.append(0, np.cumsum(pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)))
+    ops = column.flatten()
+    each = pc.binary_join_element_wise(pc.struct_field(ops, "len").cast(pa.string()), pc.struct_field(ops, "op"), "")
+    return pc.if_else(column.is_valid(), pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), each), ""), None)
+
 
-    return pairs.mapInPandas(run, "qname string, " + ", ".join(f"pos{i} long, cigar{i} string, seq{i} string, qual{i} array<int>, " + ", ".join(f"{c}{i} long" for c in numbers) for i in (1, 2)))
+def _shapes(batch: pa.RecordBatch) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+    """(shapes, each row's shape, what its places are beyond those of the shape): pairs whose reads lie alike to each other, are aligned alike and equally long are clipped alike. Reads without a place keep their own."""
+    pos = [batch[f"pos{i}"].fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2)]
+    gone = batch["cigar2"].is_null().to_numpy(zero_copy_only=False)
+    pos[1] = np.where(gone, pos[0], pos[1])
+    shift = np.where((pos[0] >= 0) & (pos[1] >= 0), np.minimum(*pos), 0)
+    pos = [p - shift for p in pos]
+    parts = [pa.array(p) for p in pos]
+    for i in (1, 2):
+        size = lambda c: pc.fill_null(c, 0)
+        parts += [_cigar_text(batch[f"cigar{i}"]), size(pc.binary_length(batch[f"seq{i}"])), size(pc.list_value_length(batch[f"qual{i}"])), batch[f"reverse{i}"]]
+    code = np.zeros(batch.num_rows, np.int64)
+    for p in parts:
+        x = p.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        code = np.unique(code * (batch.num_rows + 2) + x, return_inverse=True)[1]
+    _, first, kind = np.unique(code, return_index=True, return_inverse=True)
+    rows = zip(*[p.take(pa.array(first)).to_pylist() for p in parts], strict=True)
+    return [(r[0], r[1], tuple(r[2:6]), tuple(r[6:10])) for r in rows], kind, shift
 
 
 def clipping_metrics(clipped: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
 """Steps that must not grow faster than their input: what larger tables found."""
 
 import random
+import re
 
+import pyarrow as pa
 import pytest
 
 from molframe import catalog
-from molframe.operators import cluster, consensus, metrics
+from molframe.operators import clip, cluster, consensus, metrics
 
 DIR = "/root/testdata/sf0.001"
 
@@ -93,3 +95,27 @@ def test_observed_umis(spark):
 
 def test_duplex_halves_are_not_joined(spark):
     assert "Join" not in physical(catalog.queries()["duplex_metrics_umis"](spark, DIR))
+
+
+def test_clip_once_for_a_shape(spark):
+    """Pairs of one shape are clipped alike, wherever they lie: surgery runs once for each."""
+    ops = lambda text: [(x[-1], int(x[:-1])) for x in re.findall("[0-9]+[A-Z]", text)]
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        size = lambda c: sum(n for op, n in ops(c) if op in "MIS")
+        c1, c2 = rng.choice(["2S8M", "4M1I5M", "10M"]), rng.choice([None, "9M", "3M2D6M1S", "1H6M3S"])
+        p1, p2 = rng.choice([(-1, 7), (0, 3), (500, 497), (500, 504), (2**33, 2**33 + 2)])
+        one = lambda c: ("".join(rng.choice("ACGT") for _ in range(size(c))), [rng.randint(2, 40) for _ in range(size(c))]) if c else (None, None)
+        rows.append((f"q{i}", p1, ops(c1), *one(c1), False, p2, ops(c2) if c2 else None, *one(c2), True))
+    side = lambda i: f"pos{i} long, cigar{i} array<struct<op string, len int>>, seq{i} string, qual{i} array<int>, reverse{i} boolean"
+    df = spark.createDataFrame(rows, f"qname string, {side(1)}, {side(2)}")
+    for mode in (clip.SOFT, clip.MASK, clip.HARD):
+        options = {"mode": mode, "fixed": (1, 0, 2, 1), "overlap": True, "beyond_mate": True, "upgrading": mode == clip.HARD}
+        whole = sorted(map(repr, clip.clip_pairs(df, **options).collect()))
+        assert len(whole) == 60
+        if mode == clip.MASK:
+            assert whole == sorted(map(repr, clip.clip_pairs(df.repartition(60, "qname"), **options).collect()))
+    batch = pa.RecordBatch.from_pylist([{"pos1": p, "cigar1": [{"op": "M", "len": 3}], "seq1": "ACG", "qual1": [1, 2, 3], "reverse1": False, "pos2": p + 1, "cigar2": [{"op": "M", "len": 3}], "seq2": "ACG", "qual2": [1, 2, 3], "reverse2": True} for p in range(500)])
+    keys, kind, shift = clip._shapes(batch)
+    assert len(keys) == 1 and set(kind) == {0} and list(shift) == list(range(500))
