@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from molframe.functions.flat import NO_QUALITY, at as value_at, letters, number_column, numbers, places, text_column
@@ -275,3 +277,88 @@ def observed_step(family: list[str]) -> Callable[[pa.RecordBatch], pa.RecordBatc
         return pa.RecordBatch.from_arrays([*[batch[k].take(keys) for k in family], umis.take(pa.array(place, mask=place < 0)), count(True), count(wrong)], [*family, "umi", "raw", "wrong"])
 
     return step
+
+
+def cigar_text(column: pa.Array) -> pa.Array:
+    """CIGAR strings of array<struct<op, len>>."""
+    bounds = np.append(0, np.cumsum(pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)))
+    ops = column.flatten()
+    each = pc.binary_join_element_wise(pc.struct_field(ops, "len").cast(pa.string()), pc.struct_field(ops, "op"), "")
+    return pc.if_else(column.is_valid(), pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), each), ""), pa.scalar(None, pa.string()))
+
+
+def simplified(cigar: str, length: int) -> tuple:
+    """consensus.simplified of one alignment: (op, len) with clips, = and X as M, neighbours joined, cut to the first `length` bases."""
+    joined: list[tuple[str, int]] = []
+    for n, op in re.findall("([0-9]+)([^0-9])", cigar):
+        op = "M" if op in "SH=XM" else op
+        if joined and joined[-1][0] == op:
+            joined[-1] = (op, joined[-1][1] + int(n))
+        else:
+            joined.append((op, int(n)))
+    out, left = [], length
+    for op, n in joined:
+        if left <= 0:
+            break
+        take = min(n, left) if op in "MI" else n
+        out.append((op, take))
+        left -= take if op in "MI" else 0
+    return tuple(out)
+
+
+def fits(shorter: tuple, longer: tuple) -> bool:
+    n = len(shorter)
+    if n == 0:
+        return True
+    return n <= len(longer) and shorter[: n - 1] == longer[: n - 1] and shorter[-1][0] == longer[n - 1][0] and shorter[-1][1] <= longer[n - 1][1]
+
+
+def majority(counts: list[tuple[int, tuple, int]]) -> frozenset:
+    """The shapes that stay, of (length, shape, reads)."""
+    groups: list[list] = []
+    for _, shape, n in sorted((-size, shape, n) for size, shape, n in counts):
+        joined = [g for g in groups if fits(shape, g[0])]
+        for g in joined:
+            g[1] += n
+            g[2].append(shape)
+        if not joined:
+            groups.append([shape, n, [shape]])
+    return frozenset(min(groups, key=lambda g: (-g[1], [(n, "MIDNSHP=X".find(op) + 1) for op, n in g[0]], g[2]))[2])
+
+
+def majority_step(family: list[str], ops: str, seq: str, mapped: str | None) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        first = changes(batch, family)
+        part = np.cumsum(first) - 1
+        size = pc.binary_length(batch[seq]).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        text = cigar_text(batch[ops]).dictionary_encode()
+        kind = text.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        there = np.ones(len(part), bool)
+        live = there
+        if mapped is not None:
+            there = batch[mapped].fill_null(False).to_numpy(zero_copy_only=False)
+            live = there | (np.bincount(part[there], minlength=int(part[-1]) + 1) == 0)[part]
+            kind = np.where(there, kind, 0)
+        names = ["", *text.dictionary.to_pylist()]
+        most = int(size.max()) + 1
+        # distinct (alignment, length) of the batch get their shapes, distinct shapes their places
+        pair, which = np.unique(kind * most + size, return_inverse=True)
+        shapes = [simplified(names[p // most], int(p % most)) for p in pair.tolist()]
+        entry, inverse, n = np.unique(part[live] * len(pair) + which[live], return_inverse=True, return_counts=True)
+        owner, entry_pair = entry // len(pair), entry % len(pair)
+        kept = np.ones(len(entry), bool)
+        begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else owner
+        known: dict[tuple, frozenset] = {}
+        for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(owner)], strict=True):
+            if b - a > 1:
+                key = (tuple(entry_pair[a:b].tolist()), tuple(n[a:b].tolist()))
+                if key not in known:
+                    merged: dict[tuple, int] = {}
+                    for p, c in zip(*key, strict=True):
+                        k = (int(pair[p] % most), shapes[p])
+                        merged[k] = merged.get(k, 0) + c
+                    known[key] = majority([(size_, shape, c) for (size_, shape), c in merged.items()])
+                kept[a:b] = [shapes[p] in known[key] for p in key[0]]
+        return batch.take(pa.array(np.flatnonzero(live)[kept[inverse]]))
+
+    return step

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from molframe.functions.flat import at as value_at, letters, number_column, numbers, places, text_column
+from molframe.operators.calls import cigar_text
 
 QUERY, REFERENCE = "MIS=X", "MDN=X"
 SOFT, MASK, HARD = "soft", "soft-with-mask", "hard"
@@ -210,13 +211,6 @@ def _picked(values: np.ndarray, bounds: np.ndarray, templates: list[list[int]],
     return np.where(place < 0, masked, value_at(values, bounds, row, place, masked)), out
 
 
-def _cigar_text(column: pa.Array) -> pa.Array:
-    bounds = np.append(0, np.cumsum(pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)))
-    ops = column.flatten()
-    each = pc.binary_join_element_wise(pc.struct_field(ops, "len").cast(pa.string()), pc.struct_field(ops, "op"), "")
-    return pc.if_else(column.is_valid(), pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), each), ""), None)
-
-
 def _shapes(batch: pa.RecordBatch) -> tuple[list[tuple], np.ndarray, np.ndarray]:
     """(shapes, each row's shape, what its places are beyond those of the shape): pairs whose reads lie alike to each other, are aligned alike and equally long are clipped alike. Reads without a place keep their own."""
     pos = [batch[f"pos{i}"].fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2)]
@@ -227,7 +221,7 @@ def _shapes(batch: pa.RecordBatch) -> tuple[list[tuple], np.ndarray, np.ndarray]
     parts = [pa.array(p) for p in pos]
     for i in (1, 2):
         size = lambda c: pc.fill_null(c, 0)
-        parts += [_cigar_text(batch[f"cigar{i}"]), size(pc.binary_length(batch[f"seq{i}"])), size(pc.list_value_length(batch[f"qual{i}"])), batch[f"reverse{i}"]]
+        parts += [cigar_text(batch[f"cigar{i}"]), size(pc.binary_length(batch[f"seq{i}"])), size(pc.list_value_length(batch[f"qual{i}"])), batch[f"reverse{i}"]]
     code = np.zeros(batch.num_rows, np.int64)
     for p in parts:
         x = p.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1

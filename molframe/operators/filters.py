@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from molframe.functions.flat import NO_QUALITY, at as value_at, letters, number_column, numbers, places, text_column
 from molframe.functions.phred import LEAST
 
+N = ord("N")
+
 
 def three(values: tuple) -> tuple:
     """One to three thresholds (consensus, better strand, worse strand): the last is repeated."""
@@ -69,21 +75,34 @@ def mask_simplex(reads: DataFrame, min_reads: int, max_base_error: float, min_qu
 def mask_duplex(reads: DataFrame, min_reads: tuple = (1,), max_base_error: tuple = (0.1,), min_qual: int | None = None, agreement: bool = False) -> DataFrame:
     """The same for duplex reads (ad, ae, bd, be per base; ac, bc the strands' bases): by both strands together, the better and the worse one, and where asked by the strands' bases differing."""
     (r0, r1, r2), (e0, e1, e2) = three(min_reads), three(max_base_error)
-    zipped = F.arrays_zip(F.split("seq", "").alias("s"), F.col("qual").alias("q"), "ad", "ae", "bd", "be", F.split("ac", "").alias("ac"), F.split("bc", "").alias("bc"))
-
-    def test(x: Column) -> Column:
-        a, b = F.coalesce(x["ad"], F.lit(0)), F.coalesce(x["bd"], F.lit(0))
-        ea, eb = F.coalesce(x["ae"], F.lit(0)), F.coalesce(x["be"], F.lit(0))
-        rate = lambda e, d: F.when(d > 0, F.try_divide(e, d)).otherwise(0.0)
-        bad = (a + b < r0) | (rate(ea + eb, a + b) > e0) | (F.greatest(a, b) < r1) | (F.least(rate(ea, a), rate(eb, b)) > e1) | (F.least(a, b) < r2) | (F.greatest(rate(ea, a), rate(eb, b)) > e2)
+    used = ("seq", "qual", "ad", "ae", "bd", "be", "ac", "bc")
+
+    def rate(e: np.ndarray, d: np.ndarray) -> np.ndarray:
+        return np.divide(e, d, out=np.zeros(len(d)), where=d > 0)
+
+    # all bases of an Arrow batch at a time; a read without one of the columns has no result
+    @F.arrow_udf("seq string, qual array<int>, newly int")
+    def masked(seq: pa.Array, qual: pa.Array, ad: pa.Array, ae: pa.Array, bd: pa.Array, be: pa.Array, ac: pa.Array, bc: pa.Array) -> pa.Array:
+        codes, bounds = letters(seq)
+        values, value_bounds = numbers(qual)
+        row, place = places(bounds)
+        a, ea, b, eb = (value_at(*numbers(x, 0), row, place, 0) for x in (ad, ae, bd, be))
+        own, other = rate(ea, a), rate(eb, b)
+        bad = (a + b < r0) | (rate(ea + eb, a + b) > e0) | (np.maximum(a, b) < r1) | (np.minimum(own, other) > e1) | (np.minimum(a, b) < r2) | (np.maximum(own, other) > e2)
         if min_qual:
-            bad = bad | (x["q"] < min_qual)
+            q = value_at(values, value_bounds, row, place, NO_QUALITY)
+            bad |= (q != NO_QUALITY) & (q < min_qual)
         if agreement:
-            bad = bad | ((a > 0) & (b > 0) & (F.coalesce(x["ac"], F.lit("N")) != F.coalesce(x["bc"], F.lit("N"))))
-        return (x["s"] != "N") & bad
-
-    seq, qual, count = _masked(F.col("seq"), F.col("qual"), F.transform(zipped, test))
-    return reads.withColumn("seq_", seq).withColumn("newly", count).withColumn("qual", qual).withColumn("seq", F.col("seq_")).drop("seq_")
+            bad |= (a > 0) & (b > 0) & (value_at(*letters(ac), row, place, N) != value_at(*letters(bc), row, place, N))
+        bad &= codes != N
+        row_q, place_q = places(value_bounds)
+        quals = np.where(value_at(bad, bounds, row_q, place_q, 0) > 0, LEAST, values)
+        void = pa.array(np.logical_or.reduce([x.is_null().to_numpy(zero_copy_only=False) for x in (seq, qual, ad, ae, bd, be, ac, bc)]))
+        count = pa.array(np.bincount(row[bad], minlength=len(seq)).astype(np.int32))
+        made = [text_column(np.where(bad, N, codes), bounds), number_column(quals, value_bounds), count]
+        return pa.StructArray.from_arrays([pc.if_else(void, pa.scalar(None, x.type), x) for x in made], ["seq", "qual", "newly"])
+
+    return reads.withColumn("masked_", masked(*used)).withColumns({n: F.col(f"masked_.{n}") for n in ("seq", "newly", "qual")}).drop("masked_")
 
 
 def no_calls(seq: Column) -> Column:

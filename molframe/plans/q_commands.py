@@ -199,7 +199,7 @@ def _(spark, d):
     from molframe.functions.align import cigar
 
     rows = reads(spark, d).withColumn("cigar", F.expr(_SHAPE)).withColumn("ops", cigar(F.col("cigar")))
-    return consensus.majority_alignment(rows, ["tid", "pos", "rx"]).select("qname", "cigar")
+    return consensus.majority_alignment(rows.select("tid", "pos", "rx", "qname", "cigar", "ops", "seq"), ["tid", "pos", "rx"]).select("qname", "cigar")
 
 
 @query("consensus_statistics", """, x AS (SELECT CASE WHEN line = 7 THEN 'minority_alignment' WHEN line = 6 THEN 'insufficient_reads' END AS reason FROM reads), n AS (SELECT count(*) AS a, count(reason) AS g, count(*) FILTER (reason = 'minority_alignment') AS m, count(*) FILTER (reason = 'insufficient_reads') AS i FROM x),

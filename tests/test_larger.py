@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from molframe import catalog
-from molframe.operators import clip, cluster, consensus, metrics
+from molframe.operators import clip, cluster, consensus, filters, metrics
 
 DIR = "/root/testdata/sf0.001"
 
@@ -119,3 +119,24 @@ def test_clip_once_for_a_shape(spark):
     batch = pa.RecordBatch.from_pylist([{"pos1": p, "cigar1": [{"op": "M", "len": 3}], "seq1": "ACG", "qual1": [1, 2, 3], "reverse1": False, "pos2": p + 1, "cigar2": [{"op": "M", "len": 3}], "seq2": "ACG", "qual2": [1, 2, 3], "reverse2": True} for p in range(500)])
     keys, kind, shift = clip._shapes(batch)
     assert len(keys) == 1 and set(kind) == {0} and list(shift) == list(range(500))
+
+
+@pytest.mark.parametrize("mapped", [None, "mapped"])
+def test_majority_moves_reads_once(spark, monkeypatch, mapped):
+    """In batches and by counts (deep families) the same reads stay, and reads aren't joined."""
+    rng = random.Random(3)
+    cigars = ["6M", "3M1I2M", "2M1D4M", "2S4M", "3M1I1M", "4M", "3M2I1M", "6=", ""]
+    rows = [(rng.randrange(12) or None, f"q{i}", [(x[-1], int(x[:-1])) for x in re.findall("[0-9]+[A-Z=]", rng.choice(cigars))], "ACGTAC"[: rng.randint(3, 6)], rng.random() < 0.8) for i in range(150)]
+    df = spark.createDataFrame(rows, "fam int, qname string, ops array<struct<op string, len int>>, seq string, mapped boolean").filter("fam IS NOT NULL")
+    names = lambda x: sorted(r.qname for r in x.collect())
+    found = consensus.majority_alignment(df, ["fam"], mapped=mapped)
+    assert "Join" not in physical(found)
+    monkeypatch.setattr(consensus, "DEEP", 0)
+    assert names(found) == names(consensus.majority_alignment(df, ["fam"], mapped=mapped))
+
+
+def test_mask_duplex_without_lambdas(spark):
+    df = spark.createDataFrame([("ACGN", [30, 5, 30, 2], [2, 2, 0, 2], [0, 0, 0, 0], [2, 2, 2, 2], [0, 0, 2, 0], "ACGT", "ACTT"), ("AC", [30, 30], None, [0], [1], [0], "A", "A")], "seq string, qual array<int>, ad array<int>, ae array<int>, bd array<int>, be array<int>, ac string, bc string")
+    out = filters.mask_duplex(df, (1,), (0.5,), 10, agreement=True)
+    assert [(r.seq, r.qual, r.newly) for r in out.collect()] == [("ANNN", [30, 2, 2, 2], 2), (None, None, None)]
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
