@@ -20,3 +20,12 @@ def running_offsets(groups: DataFrame, order: list[str], size: str | list[str],
     inner = Window.partitionBy("range_").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = dealt.join(F.broadcast(totals), "range_")  # a row for each range
     return rows.select(*groups.columns, *[(F.col(f"base_{i}") + F.coalesce(F.sum(s).over(inner), F.lit(0))).alias(n) for i, (s, n) in enumerate(zip(sizes, names, strict=True))])
+
+
+def numbered(rows: DataFrame, order: list[str], out: str = "place") -> DataFrame:
+    """rows with their place, from 0, in the order of the unique key `order`. As running_offsets of ones, but rows move once: a sorted range counts its own."""
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"range_": F.spark_partition_id(), "nth_": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    dealt = written(dealt, "ranges")
+    before = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("range_").agg(F.count("*").alias("total_")).select("range_", F.coalesce(F.sum("total_").over(before), F.lit(0)).alias("base_"))
+    return dealt.join(F.broadcast(totals), "range_").select(*rows.columns, (F.col("base_") + F.col("nth_")).alias(out))  # a row for each range

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from molframe.functions.align import flag_order, natural_key, read_position, reference_length
 from molframe.functions.dna import molecule_base
+from molframe.session import written
 
 LAST = 2**31 - 1
 
@@ -93,16 +94,24 @@ def overlapping(reads: DataFrame, intervals: DataFrame, width: int = 1024, start
     return reads.join(found, (F.col("tid") == F.col("t_")) & (F.col(start) == F.col("a_")) & (F.col(end) == F.col("b_")), "left_semi")
 
 
+#: Sites up to which a table of them goes to every task.
+FEW_SITES = 100_000
+
+
 def pileup(reads: DataFrame, variants: DataFrame, seq: str = "seq") -> DataFrame:
-    """(variant columns, qname, mi, base) of ungapped reads (tid, pos, seq) at variant sites (tid, site): the site is an equi-join key, as reads are exploded to positions of few bases."""
+    """(variant columns, qname, mi, base) of ungapped reads (tid, pos, seq) at variant sites (tid, site): the site is an equi-join key, as reads are exploded to positions of few bases. Few sites go to the reads, so that no base moves that lies at
+    none of them."""
     bases = reads.select("qname", "mi", "tid", F.col("pos").alias("pos_"), F.posexplode(F.split(seq, "")).alias("at", "base"))
     sites = variants.withColumnRenamed("tid", "v_tid")
+    if variants.limit(FEW_SITES + 1).count() <= FEW_SITES:
+        sites = F.broadcast(sites)
     return bases.join(sites, (F.col("tid") == F.col("v_tid")) & (F.col("pos_") + F.col("at") == F.col("site"))).drop("v_tid", "pos_", "at")
 
 
 def review(consensus: DataFrame, grouped: DataFrame, variants: DataFrame) -> DataFrame:
     """A row for each consensus base unlike the reference at a variant: the counts of its raw reads' bases (distinct by base and name) at the site."""
     calls = pileup(consensus, variants).filter(F.col("base") != F.col("ref")).select("site", "tid", "ref", "mi", F.col("qname").alias("consensus_read"), F.col("base").alias("consensus_call"))
+    calls = written(calls, "calls")  # they are needed twice, and consensuses may be costly
     raw = pileup(grouped, variants).select("site", "tid", "mi", "base", "qname").distinct()
     count = lambda b: F.count_if(F.col("base") == b).alias(f"raw_{b.lower()}")
     counts = raw.join(calls.select("site", "tid", "mi").distinct(), ["site", "tid", "mi"], "left_semi").groupBy("site", "tid", "mi").agg(*[count(b) for b in "ACGTN"])
@@ -118,21 +127,28 @@ def genotype(alleles: Column, phased: Column) -> Column:
     return F.when(phased, F.array_join(alleles, "|")).otherwise(F.array_join(alleles, "/"))
 
 
+def _with_mate(reads: DataFrame, name: str, taken: list[str]) -> DataFrame:
+    """reads with mate_, a struct of the columns `taken` of the other segment of their name (null without one). Reads move once, by name."""
+    of = lambda segment: F.max(F.when(F.col("segment") == segment, F.struct(*taken))).over(Window.partitionBy(name))
+    own = F.when(F.col("segment") == 1, F.col("mate2_")).when(F.col("segment") == 2, F.col("mate1_"))
+    return reads.withColumns({"mate1_": of(1), "mate2_": of(2)}).withColumn("mate_", F.when(F.col(name).isNotNull(), own)).drop("mate1_", "mate2_")
+
+
 def mate_info(reads: DataFrame, name: str = "qname") -> DataFrame:
     """Primary pairs (segment 1 and 2 of a name) with their mates' place, strand, quality and the template length."""
-    m = reads.select(F.col(name).alias("n_"), (3 - F.col("segment")).alias("s_"), F.col("tid").alias("mate_tid"), F.col("pos").alias("mate_pos"), F.col("reverse").alias("mate_reverse"), F.col("mapq").alias("mq"), F.col("end").alias("mate_end"))
-    out = reads.drop("mate_tid", "mate_pos", "mate_reverse", "mq").join(m, (F.col(name) == F.col("n_")) & (F.col("segment") == F.col("s_")), "left")
-    five, mate_five = F.when(F.col("reverse"), F.col("end")).otherwise(F.col("pos")), F.when(F.col("mate_reverse"), F.col("mate_end")).otherwise(F.col("mate_pos"))
-    length = F.when(F.col("tid") == F.col("mate_tid"), mate_five - five + F.when(mate_five >= five, 1).otherwise(-1)).otherwise(0)
-    return out.withColumn("tlen", length).drop("n_", "s_", "mate_end")
+    mate = lambda c: F.col(f"mate_.{c}")
+    out = _with_mate(reads.drop("mate_tid", "mate_pos", "mate_reverse", "mq"), name, ["tid", "pos", "reverse", "mapq", "end"])
+    five, mate_five = F.when(F.col("reverse"), F.col("end")).otherwise(F.col("pos")), F.when(mate("reverse"), mate("end")).otherwise(mate("pos"))
+    length = F.when(F.col("tid") == mate("tid"), mate_five - five + F.when(mate_five >= five, 1).otherwise(-1)).otherwise(0)
+    return out.withColumns({"mate_tid": mate("tid"), "mate_pos": mate("pos"), "mate_reverse": mate("reverse"), "mq": mate("mapq"), "tlen": length}).drop("mate_")
 
 
 def full_mate_info(reads: DataFrame, name: str = "qname") -> DataFrame:
     """Primary pairs (segment 1 and 2 of a name; tid, pos, end, reverse, mapq, cigar, unmapped) with mate_tid, mate_pos, mate_reverse, mate_unmapped, mq and mc of their mates and tlen. An unmapped read with a mapped mate is placed where the mate
     is; mq and mc of unmapped mates are null; tlen is 0 unless both are mapped to one reference. A read without a mate keeps nulls."""
     taken = ["tid", "pos", "end", "reverse", "mapq", "cigar", "unmapped"]
-    mates = reads.select(F.col(name).alias("n_"), (3 - F.col("segment")).alias("s_"), *[F.col(c).alias(f"{c}_") for c in taken])
-    both = reads.drop("mate_tid", "mate_pos", "mate_reverse", "mate_unmapped", "mq", "mc", "tlen").join(mates, (F.col(name) == F.col("n_")) & (F.col("segment") == F.col("s_")), "left")
+    both = _with_mate(reads.drop("mate_tid", "mate_pos", "mate_reverse", "mate_unmapped", "mq", "mc", "tlen"), name, taken)
+    both = both.withColumns({f"{c}_": F.col(f"mate_.{c}") for c in taken} | {"n_": F.when(F.col("mate_").isNotNull(), F.col(name))}).drop("mate_")
     to_mate, mate_to = F.col("unmapped") & ~F.col("unmapped_"), ~F.col("unmapped") & F.col("unmapped_")
     five = lambda end, pos, reverse: F.when(F.col(reverse), F.col(end)).otherwise(F.col(pos))
     one, two = five("end", "pos", "reverse"), five("end_", "pos_", "reverse_")

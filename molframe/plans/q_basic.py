@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from molframe.functions import align, dna
 from molframe.functions.structure import parse, pieces
 from molframe.operators import dedup, metrics, template
-from molframe.operators.numbering import running_offsets
+from molframe.operators.numbering import numbered, running_offsets
 from molframe.plans.readview import DUCK, reads
 
 QUERIES: dict = {}
@@ -370,7 +370,7 @@ def _(spark, d):
 
 @query("zip_names", """ SELECT row_number() OVER (ORDER BY qname) AS ord, qname, seq AS left_seq, dual AS right_seq FROM reads""")
 def _(spark, d):
-    rows = running_offsets(reads(spark, d).withColumn("one", F.lit(1)), ["qname"], "one").withColumn("ord", F.col("offset") + 1)
+    rows = numbered(reads(spark, d).select("qname", "seq", "dual"), ["qname"]).withColumn("ord", F.col("place") + 1)
     both = template.zip_names(rows.select("ord", "qname", "seq"), rows.select("ord", "qname", "dual"))
     return both.select("ord", "qname", F.col("r1.seq").alias("left_seq"), F.col("r2.dual").alias("right_seq"))
 

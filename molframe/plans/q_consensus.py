@@ -8,7 +8,7 @@ from molframe.functions import phred
 from molframe.functions.align import natural_key
 from molframe.operators import consensus, filters, order
 from molframe.operators.clip import overlap_midpoint
-from molframe.operators.numbering import running_offsets
+from molframe.operators.numbering import numbered
 from molframe.plans.q_basic import _FLAG
 from molframe.plans.readview import DUCK, LENGTH, reads
 
@@ -244,8 +244,8 @@ _ORDERED = """ SELECT qname, row_number() OVER (ORDER BY {}) - 1 AS place FROM r
 def _place(df, keys):
     """Each row's place in an order, as the last of its keys is unique."""
     names = [f"k{i}" for i in range(len(keys))]
-    rows = df.select("qname", *[k.alias(n) for n, k in zip(names, keys, strict=True)], F.lit(1).alias("one"))
-    return running_offsets(rows, names, "one", "place").select("qname", "place")
+    rows = df.select("qname", *[k.alias(n) for n, k in zip(names, keys, strict=True)])
+    return numbered(rows, names).select("qname", "place")
 
 
 @query("sort_coordinate", _ORDERED.format("tid, pos, reverse, qname"))
@@ -261,7 +261,7 @@ def _(spark, d):
 @query("sort_queryname_natural", """ SELECT ord, line, row_number() OVER (ORDER BY ord, line, qname) - 1 AS place FROM reads""")
 def _(spark, d):
     rows = reads(spark, d).withColumn("name", F.concat(F.lit("r"), F.col("ord"), F.lit("x"), F.col("line")))
-    placed = running_offsets(rows.select("ord", "line", "qname", natural_key(F.col("name")).alias("key"), F.lit(1).alias("one")), ["key", "qname"], "one", "place")
+    placed = numbered(rows.select("ord", "line", "qname", natural_key(F.col("name")).alias("key")), ["key", "qname"])
     return placed.select("ord", "line", "place")
 
 
@@ -276,7 +276,7 @@ _NUMBERED = ", k AS (SELECT *, row_number() OVER (ORDER BY ord, qname) - 1 AS o
 
 @query("sort_verify", _NUMBERED + """, l AS (SELECT *, lag(tid) OVER w AS t0, lag(pos) OVER w AS p0, lag(reverse) OVER w AS r0 FROM k WINDOW w AS (ORDER BY o)) SELECT qname FROM l WHERE t0 IS NOT NULL AND (tid, pos, reverse) < (t0, p0, r0)""")
 def _(spark, d):
-    rows = running_offsets(reads(spark, d).withColumn("one", F.lit(1)), ["ord", "qname"], "one", "o")
+    rows = numbered(reads(spark, d).select("ord", "qname", "tid", "pos", "reverse"), ["ord", "qname"], "o")
     return order.out_of_order(rows, "coordinate", ordinal="o", parts=1000).select("qname")
 
 

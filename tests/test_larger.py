@@ -5,9 +5,10 @@ import re
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from molframe import catalog
-from molframe.operators import clip, cluster, consensus, filters, metrics
+from molframe.operators import clip, cluster, consensus, filters, metrics, numbering, order
 
 DIR = "/root/testdata/sf0.001"
 
@@ -140,3 +141,27 @@ def test_mask_duplex_without_lambdas(spark):
     out = filters.mask_duplex(df, (1,), (0.5,), 10, agreement=True)
     assert [(r.seq, r.qual, r.newly) for r in out.collect()] == [("ANNN", [30, 2, 2, 2], 2), (None, None, None)]
     assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize(("name", "most"), [("mate_info", 1), ("full_mate_info", 1), ("zip_names", 2), ("sort_verify", 3)])
+def test_reads_move_no_oftener(spark, name, most):
+    """Mates meet by name in one exchange; numbered rows are not dealt anew for their numbers."""
+    plan = physical(catalog.queries()[name](spark, DIR))
+    assert plan.count("Exchange hashpartitioning(") - plan.count("Exchange hashpartitioning(range_") <= most
+
+
+def test_review_sends_sites_to_reads(spark):
+    plan = physical(catalog.queries()["review"](spark, DIR))
+    assert "BroadcastHashJoin [tid" in plan and "SortMergeJoin [tid" not in plan
+
+
+def test_mates_of_odd_names(spark):
+    rows = [("a", 1, 0, 10, 15, False, 7), ("a", 2, 0, 30, 35, True, 8), ("b", 1, 0, 1, 6, False, 9), (None, 1, 0, 5, 9, False, 1), (None, 2, 0, 6, 9, True, 2), ("c", 0, 0, 1, 2, False, 3)]
+    df = spark.createDataFrame(rows, "qname string, segment int, tid int, pos long, `end` long, reverse boolean, mapq int")
+    got = sorted((r.qname or "", r.segment, r.mate_pos, r.mq, r.tlen) for r in order.mate_info(df).collect())
+    assert got == [("", 1, None, None, 0), ("", 2, None, None, 0), ("a", 1, 30, 8, 26), ("a", 2, 10, 7, -26), ("b", 1, None, None, 0), ("c", 0, None, None, 0)]
+
+
+def test_numbered(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(7)
+    assert all(r.k == r.place for r in numbering.numbered(df, ["k"]).collect())
