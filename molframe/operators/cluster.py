@@ -182,9 +182,9 @@ def _fixpoint(nodes: DataFrame, keys: list[str], strategy: str, k: int, block: i
     return rooted.join(roots.hint("merge"), [*keys, "root_rank"]).select(*nodes.columns, "root_rank", "root")
 
 
-def cluster(reads: DataFrame, keys: list[str], umi: str = "umi", strategy: str = "adjacency", k: int = 1, local: int = LOCAL, block: int = LOCAL) -> DataFrame:
-    """(keys, umi, n, valid, rank, root_rank, root) of every distinct UMI of every group; null UMIs have none. An error where UMIs to be compared are of unlike lengths."""
-    nodes = reads.filter(F.col(umi).isNotNull()).groupBy(*keys, F.upper(umi).alias("umi")).agg(F.count("*").alias("n"))
+def cluster(reads: DataFrame, keys: list[str], umi: str = "umi", strategy: str = "adjacency", k: int = 1, local: int = LOCAL, block: int = LOCAL, count: str | None = None) -> DataFrame:
+    """(keys, umi, n, valid, rank, root_rank, root) of every distinct UMI of every group; null UMIs have none. Where reads were counted before, `count` names their number. An error where UMIs to be compared are of unlike lengths."""
+    nodes = reads.filter(F.col(umi).isNotNull()).groupBy(*keys, F.upper(umi).alias("umi")).agg((F.sum(count) if count else F.count("*")).alias("n"))
     if strategy == "identity":
         nodes = nodes.withColumn("valid", F.lit(True)).withColumn("rank", _rank(keys).cast("int"))
         return nodes.withColumn("root_rank", F.col("rank")).withColumn("root", F.col("umi"))
@@ -208,7 +208,9 @@ def cluster(reads: DataFrame, keys: list[str], umi: str = "umi", strategy: str =
 
 def local_ids(clusters: DataFrame, keys: list[str], strategy: str) -> DataFrame:
     """clusters with id, from 0 in each group: by UMI (identity), by the component's least UMI (edit), else by the root's rank; UMIs that aren't clustered come last."""
-    if strategy in ("identity", "edit"):
+    if strategy == "identity":
+        clusters = clusters.withColumn("order_", F.col("umi"))
+    elif strategy == "edit":
         clusters = clusters.withColumn("order_", F.min("umi").over(Window.partitionBy(*keys, "root_rank")))
     else:
         clusters = clusters.withColumn("order_", F.col("root_rank"))
@@ -218,7 +220,7 @@ def local_ids(clusters: DataFrame, keys: list[str], strategy: str) -> DataFrame:
 
 def number_molecules(clusters: DataFrame, keys: list[str], strategy: str) -> DataFrame:
     """clusters with mi, the molecule's number over all groups in the order of their keys."""
-    ids = local_ids(clusters, keys, strategy)
+    ids = written(local_ids(clusters, keys, strategy), "molecules")  # needed twice: clusters are made once
     offsets = running_offsets(ids.groupBy(*keys).agg((F.max("id") + 1).alias("molecules")), keys, "molecules").drop("molecules")
     return ids.join(offsets, keys).withColumn("mi", F.col("offset") + F.col("id")).drop("offset", "id")
 

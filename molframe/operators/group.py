@@ -9,6 +9,7 @@ from molframe.functions.dna import flipped
 from molframe.operators.cluster import cluster, number_molecules
 from molframe.operators.dedup import mark_duplicates
 from molframe.operators.metrics import grouping_summary, size_distribution
+from molframe.session import written
 
 STRATEGIES = ("identity", "edit", "adjacency", "paired")
 
@@ -38,7 +39,9 @@ def group(
         raise ValueError(f"no strategy {strategy!r}")
     if strategy == "paired" and min_umi_length is not None:
         raise ValueError("UMIs of two halves can't be cut")
-    kept = templates.filter(reason.isNull()) if reason is not None else templates
+    # written once, as they are needed twice: to be counted and to get their molecules; and what derives and rejects them is not repeated in every filter that Catalyst moves down
+    rows = written(templates.withColumn("reason_", reason if reason is not None else F.lit(None).cast("string")), "templates")
+    kept = rows.filter("reason_ IS NULL").drop("reason_")
     earlier = F.coalesce(F.col(r1_earlier), F.lit(True)) if r1_earlier in templates.columns else F.lit(True)
     kept = kept.withColumn("umi_", molecule_umi(F.lit(None) if no_umi else F.col(umi), strategy, earlier, min_umi_length, no_umi))
     parted = [] if strategy == "paired" or not split_strands else ["r1_", "r2_"]

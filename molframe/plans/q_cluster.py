@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from molframe.operators import cluster as c
 from molframe.plans.readview import DUCK, reads
+from molframe.session import written
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -50,10 +51,11 @@ _CANON = f"least(dual, {_FLIP.format('dual')})"
 def _group_paired(spark, d):
     from molframe.functions.dna import canonical
 
-    rows = reads(spark, d).withColumn("umi", canonical(F.col("dual")))
-    roots = c.cluster(rows, KEYS, strategy="paired").select(*KEYS, "umi", "root")
-    strands = rows.join(roots, [*KEYS, "umi"]).withColumn("strand", c.paired_strand(F.col("dual"), F.col("root")))
-    return strands.groupBy(*KEYS, "root", "strand").agg(F.count("*").alias("reads"), F.count_distinct("dual").alias("umis"))
+    # distinct UMIs as they were read, with counts, are made once and serve both steps
+    kinds = written(reads(spark, d).groupBy(*KEYS, "dual").agg(F.count("*").alias("reads")).withColumn("umi", canonical(F.col("dual"))), "duals")
+    roots = c.cluster(kinds, KEYS, strategy="paired", count="reads").select(*KEYS, "umi", "root")
+    strands = kinds.join(roots, [*KEYS, "umi"]).withColumn("strand", c.paired_strand(F.col("dual"), F.col("root")))
+    return strands.groupBy(*KEYS, "root", "strand").agg(F.sum("reads").alias("reads"), F.count("*").alias("umis"))
 
 
 QUERIES["group_paired"] = _group_paired

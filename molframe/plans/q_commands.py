@@ -25,6 +25,11 @@ def templates(spark, d):
     return reads(spark, d).withColumns({"r1_forward": ~F.col("reverse"), "r2_forward": ~F.col("mate_reverse"), "r1_earlier": F.col("line") % 2 == 0})
 
 
+def _narrow(spark, d):
+    """Templates without the columns that grouping doesn't need."""
+    return templates(spark, d).select("qname", *KEYS, "r1_forward", "r2_forward", "r1_earlier", "rx", "raw_umi", "dual", "mapq", "mate_mapq")
+
+
 _T = ", t AS (SELECT *, NOT reverse AS r1, NOT mate_reverse AS r2, line % 2 = 0 AS earlier FROM reads)"
 _PART = "tid, pos, r1, r2"
 
@@ -50,7 +55,7 @@ _KEPT = _T + ", k AS (SELECT * FROM t WHERE mapq >= 2 AND mate_mapq >= 2 AND raw
 
 @query("group_command", _KEPT + _clusters("k", "raw_umi", _PART) + """ SELECT k.qname, CAST(m.molecule AS BIGINT) AS molecule, CAST(m.molecule AS VARCHAR) AS mi FROM k JOIN mol m ON k.tid = m.tid AND k.pos = m.pos AND k.r1 = m.r1 AND k.r2 = m.r2 AND k.raw_umi = m.umi""")
 def _(spark, d):
-    return group.group(templates(spark, d), KEYS, "adjacency", 1, "raw_umi", _reason()).select("qname", "molecule", "mi")
+    return group.group(_narrow(spark, d), KEYS, "adjacency", 1, "raw_umi", _reason()).select("qname", "molecule", "mi")
 
 
 _FLIP = "concat(split_part(dual, '-', 2), '-', split_part(dual, '-', 1))"
@@ -59,12 +64,12 @@ _ORDERED = _T + f", k AS (SELECT *, CASE WHEN earlier THEN dual ELSE {_FLIP} END
 
 @query("group_command_paired", _ORDERED + _clusters("k", "ordered", "tid, pos") + """ SELECT k.qname, concat(m.molecule, CASE WHEN k.earlier THEN '/A' ELSE '/B' END) AS mi FROM k JOIN mol m ON k.tid = m.tid AND k.pos = m.pos AND k.ordered = m.umi""")
 def _(spark, d):
-    return group.group(templates(spark, d), KEYS, "paired", 1, "dual").select("qname", "mi")
+    return group.group(_narrow(spark, d), KEYS, "paired", 1, "dual").select("qname", "mi")
 
 
 @query("group_command_cut", _T + """, g AS (SELECT *, substr(rx, 1, 2) AS umi FROM t) SELECT qname, CAST(dense_rank() OVER (ORDER BY tid, pos, r1, r2, umi) - 1 AS BIGINT) AS molecule FROM g""")
 def _(spark, d):
-    return group.group(templates(spark, d), KEYS, "identity", 0, "rx", min_umi_length=2).select("qname", "molecule")
+    return group.group(_narrow(spark, d), KEYS, "identity", 0, "rx", min_umi_length=2).select("qname", "molecule")
 
 
 _OUTCOMES = """, o AS (SELECT CASE WHEN mapq < 2 THEN 'low_mapq' WHEN mate_mapq < 2 THEN 'low_mate_mapq' WHEN raw_umi IS NULL THEN 'umi_missing' ELSE 'accepted' END AS outcome FROM t) SELECT outcome, count(*) AS templates FROM o GROUP BY outcome"""

@@ -165,3 +165,18 @@ def test_mates_of_odd_names(spark):
 def test_numbered(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(7)
     assert all(r.k == r.place for r in numbering.numbered(df, ["k"]).collect())
+
+
+@pytest.mark.parametrize("name", ["group_command", "group_command_paired", "group_command_cut", "group_paired"])
+def test_grouping_derives_templates_once(spark, name):
+    """Neither the input nor the clusters are computed again for the last join."""
+    plan = physical(catalog.queries()[name](spark, DIR))
+    assert "lineitem" not in plan and "MapInPandas" not in plan.replace("MapInPandas", "", 1)
+    assert name == "group_paired" or "MapInPandas" not in plan
+
+
+def test_cluster_of_counts(spark):
+    rows = [("AAA", 3), ("AAC", 1), ("GGG", 2), ("aaa", 1), (None, 5)]
+    df = spark.createDataFrame(rows, "umi string, k int").withColumn("g", F.lit(1))
+    pick = lambda x: sorted((r.umi, r.n, r.root) for r in x.collect())
+    assert pick(cluster.cluster(df, ["g"], count="k")) == pick(cluster.cluster(df.withColumn("i", F.explode(F.sequence(F.lit(1), "k"))), ["g"])) == [("AAA", 4, "AAA"), ("AAC", 1, "AAA"), ("GGG", 2, "GGG")]
